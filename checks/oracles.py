@@ -251,8 +251,17 @@ dim_order_status(status, status_group, is_terminal, display_order) AS (
          ('COMPLETED', 'terminal', 1, 4), ('CANCELLED', 'terminal', 1, 5))"""
 _IS_OPEN = "IN (SELECT status FROM dim_order_status WHERE is_terminal = 0)"
 
-ORACLES["dim_date"] = _with(_DIM_DATE, "SELECT * FROM dim_date")
-ORACLES["dim_order_status"] = _with(_STATUS, "SELECT * FROM dim_order_status")
+ORACLES["dim_date"] = _with(
+    [_current("orders"), _DIM_DATE],
+    """SELECT d.*, (SELECT count(*) FROM cur_orders o WHERE o.delivery_date = d.date_key)
+         AS order_count FROM dim_date d""",
+)
+ORACLES["dim_order_status"] = _with(
+    [_current("orders"), _STATUS],
+    """SELECT o.status, s.status_group, s.is_terminal, s.display_order, o.order_count
+       FROM (SELECT status, count(*) AS order_count FROM cur_orders GROUP BY status) o
+       LEFT JOIN dim_order_status s ON o.status = s.status""",
+)
 for _name, _by in (
     ("calendar_weekend_split", "is_weekend"),
     ("calendar_monthly", "year, month"),

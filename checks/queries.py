@@ -89,7 +89,7 @@ def late_event_order(spark, sf):
     root = scratch_folder(use_utc(spark), "late")
     log = L.log(spark, sf, ORDERS)
     for batch_id, part in enumerate([log.filter(F.col(SEQ) > 0), log.filter(F.col(SEQ) == 0)]):
-        ingest.land(to_messages(part, ORDERS), batch_id, root, [ORDERS])
+        ingest.land(spark, to_messages(part, ORDERS), batch_id, root, [ORDERS])
     return ingest.current(spark, root, ORDERS)
 
 
@@ -146,18 +146,27 @@ def audit_op_counts(spark, sf):
 # --- dimensions and calendar -------------------------------------------------------------------------
 
 
+def _dated(spark, sf):
+    return L.current(spark, sf, ORDERS, ["order_id", "delivery_date"])
+
+
 @query
 def dim_date(spark, sf):
-    return dims.dim_date(use_utc(spark))
+    """Every day of the calendar with the number of orders due on it."""
+    due = _dated(spark, sf).groupBy("delivery_date").agg(F.count(F.lit(1)).alias("_due"))
+    return (
+        dims.dim_date(spark)
+        .join(due, F.col("date_key") == F.col("delivery_date"), "left")
+        .withColumn("order_count", F.coalesce("_due", F.lit(0).cast("bigint")))
+        .drop("delivery_date", "_due")
+    )
 
 
 @query
 def dim_order_status(spark, sf):
-    return dims.dim_order_status(spark)
-
-
-def _dated(spark, sf):
-    return L.current(spark, sf, ORDERS, ["order_id", "delivery_date"])
+    """Orders per status, with what the dimension says about it; unknown statuses get nulls."""
+    counts = _orders(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("order_count"))
+    return counts.join(F.broadcast(dims.dim_order_status(spark)), "status", "left")
 
 
 _register("calendar_weekend_split", lambda spark, sf: calendar.weekend_split(_dated(spark, sf)))
@@ -389,7 +398,8 @@ def stream_current_orders(spark, sf):
     root = scratch_folder(use_utc(spark), "keyed")
     files = L.save_messages(to_messages(L.log(spark, sf, ORDERS), ORDERS), f"{root}/topics")
     messages = file_messages(spark, f"{root}/topics", ceil(files / 3))
-    keyed.start(messages, root, ORDERS, every=None).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    keyed.start(messages, root, ORDERS, every=None, partitions=cores).awaitTermination()
     return keyed.current(spark, root, ORDERS)
 
 

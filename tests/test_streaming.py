@@ -1,0 +1,167 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from records import last_versions, log, record
+
+from tidemark.entities import ENTITIES, ORDER_ITEMS, ORDERS, SEQ
+from tidemark.operators import cdc, dims, history, state
+from tidemark.plans import marts
+from tidemark.plans.batch import Tables, analytical_orders
+from tidemark.sources.changes import file_messages, saved_messages, to_messages
+from tidemark.sources.tables import committed
+from tidemark.streaming import ingest, keyed, polling
+
+
+def order_rows(seed=11, n=300):
+    rng = random.Random(seed)
+    names = [s[0] for s in dims.ORDER_STATUSES]
+    return [
+        record(
+            ORDERS, rng.randrange(70), rng.randrange(40), i, rng.choice("ccuud"),
+            status=rng.choice(names), delivery_date=rng.randrange(20_000, 20_005),
+            customer_id=rng.randrange(9),
+        )
+        for i in range(n)
+    ]
+
+
+def item_rows(n=400):
+    rng = random.Random(12)
+    return [
+        record(ORDER_ITEMS, rng.randrange(150), rng.randrange(40), i, rng.choice("cu"),
+               order_id=rng.randrange(70), product_id=rng.randrange(6), quantity=i % 9)
+        for i in range(n)
+    ]
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    """All messages, shuffled over eight files; some delivered twice, one malformed, one empty."""
+    orders, items = log(spark, ORDERS, order_rows()), log(spark, ORDER_ITEMS, item_rows())
+    messages = to_messages(orders, ORDERS).unionByName(to_messages(items, ORDER_ITEMS))
+    again = messages.filter("offset % 13 = 0")
+    odd = spark.createDataFrame(
+        [(ORDERS.topic(), 900, '{"order_id": 1'), (ORDERS.topic(), 901, None)], messages.schema
+    )
+    folder = str(tmp_path / "topics")
+    messages.unionByName(again).unionByName(odd).orderBy(F.xxhash64("value")).repartition(8).write.json(folder)
+    return folder
+
+
+def run(spark, folder, root, files=3, **options):
+    ingest.start(file_messages(spark, folder, files), root, every=None, **options).awaitTermination()
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_stream_gives_what_one_batch_gives(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    run(spark, feed, root)
+    whole = saved_messages(spark, feed)
+    staged = {e: cdc.stage(cdc.decode(whole, e), e) for e in ENTITIES}
+    now = {e: state.current(staged[e], e) for e in ENTITIES}
+    for e in ENTITIES:
+        assert same(ingest.current(spark, root, e), now[e])
+        kept = ingest.history(spark, root, e).select(*e.columns, SEQ)
+        assert same(kept, staged[e])
+        assert same(
+            history.with_intervals(history.drop_redelivered(kept, e), e, hot=[]),
+            history.with_intervals(history.drop_redelivered(staged[e], e), e, hot=[]),
+        )
+    statuses = dims.dim_order_status(spark)
+    customers, products, orders, items = (now[e] for e in ENTITIES)
+    expected = (
+        marts.orders_by_date_status(orders),
+        marts.top_delivery_dates(orders, statuses),
+        marts.pending_items_by_product(items, orders, products, statuses),
+        marts.top_customers_open(orders, customers, statuses),
+    )
+    for name, mart in zip(marts.MARTS, expected, strict=True):
+        assert same(ingest.mart(spark, root, name), mart) and not mart.isEmpty()
+    assert {r.offset for r in ingest.quarantined(spark, root, ORDERS).collect()} == {900}
+    live = {k for k, r in last_versions(ORDERS, order_rows()).items() if not r["cdc_deleted"]}
+    assert {r.order_id for r in ingest.current(spark, root, ORDERS).collect()} == live
+
+
+def test_restart_and_replay_add_nothing(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    run(spark, feed, root, refresh=False)
+    before = ingest.history(spark, root, ORDERS).select(*ORDERS.columns, SEQ).collect()
+    batches = committed(spark, root, "history/orders")
+    assert len(batches) == 3
+    run(spark, feed, root, refresh=False)  # the checkpoint knows everything was read
+    run(spark, feed, root, refresh=False, checkpoint=str(tmp_path / "lost"))  # all of it again
+    after = ingest.history(spark, root, ORDERS).select(*ORDERS.columns, SEQ).collect()
+    assert committed(spark, root, "history/orders") == batches
+    assert sorted(map(repr, after)) == sorted(map(repr, before))
+
+
+def test_compaction_keeps_state_and_remembers_deletes(spark, feed, tmp_path):
+    plain, root = str(tmp_path / "plain"), str(tmp_path / "out")
+    run(spark, feed, plain, refresh=False)
+    run(spark, feed, root, refresh=False, compact_every=2)
+    assert committed(spark, root, "compacted/orders") == [1]
+    assert same(ingest.current(spark, root, ORDERS), ingest.current(spark, plain, ORDERS))
+    assert ingest.compact(spark, root, ORDERS) == 2
+    assert same(ingest.current(spark, root, ORDERS), ingest.current(spark, plain, ORDERS))
+
+    gone = next(k for k, r in last_versions(ORDERS, order_rows()).items() if r["cdc_deleted"])
+    late = log(spark, ORDERS, [record(ORDERS, gone, -1, 0, "c", status="PENDING")])
+    ingest.land(spark, to_messages(late, ORDERS), 3, root, [ORDERS])
+    assert ingest.current(spark, root, ORDERS).filter(F.col("order_id") == gone).isEmpty()
+
+
+def test_a_batch_without_its_marker_is_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    for n in range(2):
+        rows = log(spark, ORDERS, [record(ORDERS, n, 1, 0, "c")])
+        ingest.land(spark, to_messages(rows, ORDERS), n, root, [ORDERS])
+    (tmp_path / "current/orders/batch_id=1/_SUCCESS").unlink()
+    assert [r.order_id for r in ingest.current(spark, root, ORDERS).collect()] == [0]
+
+
+def test_marts_are_read_from_one_complete_refresh(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    assert ingest.mart(spark, root, marts.MARTS[0]).isEmpty()
+    run(spark, feed, root)
+    last = committed(spark, root, f"marts/{marts.MARTS[0]}")[-1]
+    before = ingest.mart(spark, root, marts.MARTS[0]).collect()
+    empty = ingest.mart(spark, root, marts.MARTS[0]).limit(0)
+    ingest.write_batch(empty, root, f"marts/{marts.MARTS[0]}", last + 1)  # a refresh that broke off
+    assert sorted(ingest.mart(spark, root, marts.MARTS[0]).collect()) == sorted(before)
+
+
+def test_keyed_state_matches_batch(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    messages = file_messages(spark, feed, 3)
+    keyed.start(messages, root, ORDERS, every=None, partitions=2).awaitTermination()
+    assert len(committed(spark, root, "keyed/orders")) >= 3
+    whole = cdc.stage(cdc.decode(saved_messages(spark, feed), ORDERS), ORDERS)
+    assert same(keyed.current(spark, root, ORDERS), state.current(whole, ORDERS))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # settings are put back
+
+
+def test_polling_survives_a_failing_cycle(spark, tmp_path):
+    from test_batch import order, tables
+
+    calls = []
+
+    def source() -> Tables:
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("source away")
+        return tables(spark, [order(1)], [(1, 1, 100, 2)])
+
+    query = polling.start(spark, source, str(tmp_path), every="1 second")
+    try:
+        for _ in range(60):
+            if committed(spark, str(tmp_path), "analytical_orders"):
+                break
+            query.awaitTermination(1)
+        assert query.isActive and len(calls) >= 2
+    finally:
+        query.stop()
+    assert analytical_orders(spark, str(tmp_path)).first().total_items == 2

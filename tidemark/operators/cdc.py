@@ -12,42 +12,50 @@ from pyspark.sql import types as T
 
 from tidemark.entities import SEQ, VERSION, Entity
 
-_BAD = "_malformed"
+_MALFORMED = "_malformed"
 
 
-def _parse(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    # The flag may arrive as a JSON boolean or as the text "true"; text covers both.
-    fields = [
-        T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.BooleanType) else f
-        for f in schema
-    ]
-    with_bad = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+def _of_topic(messages: DataFrame, entity: Entity, prefix: str) -> DataFrame:
     # A message without a value is a tombstone and says nothing the delete before it did not say.
-    return messages.filter(F.col("value").isNotNull()).withColumn(
-        "record", F.from_json("value", with_bad, options)
-    )
-
+    return messages.filter((F.col("topic") == entity.topic(prefix)) & F.col("value").isNotNull())
 
-def _of_topic(messages: DataFrame, entity: Entity, prefix: str) -> DataFrame:
-    return messages.filter(F.col("topic") == entity.topic(prefix))
 
+def parse(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
+    """Each message of an entity with its fields and ``bad``: not JSON, wrong types, or no key.
 
-def _is_bad(entity: Entity):
-    return F.col(f"record.{_BAD}").isNotNull() | F.col(f"record.{entity.key}").isNull()
+    The parsed record goes through ``inline`` because a filter is not pushed below a generator: pushed
+    further down it would parse every message again.
+    """
+    # A flag may arrive as a JSON boolean or as the text "true"; text covers both.
+    fields = [
+        T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.BooleanType) else f
+        for f in entity.wire_schema
+    ]
+    with_bad = T.StructType([*fields, T.StructField(_MALFORMED, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    record = F.from_json("value", with_bad, options)
+    bad = F.col(_MALFORMED).isNotNull() | F.col(entity.key).isNull()
+    return _of_topic(messages, entity, prefix).select(
+        "topic", "offset", "value", F.inline(F.array(record))
+    ).withColumn("bad", bad)
+
+
+def good_records(parsed: DataFrame, entity: Entity) -> DataFrame:
+    """Flat change records in wire types, with the offset as ``seq``."""
+    return parsed.filter(~F.col("bad")).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in entity.wire_schema],
+        F.col("offset").cast("bigint").alias(SEQ),
+    )
 
 
 def decode(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """Flat change records of one entity, in wire types, with the offset as ``seq``."""
-    parsed = _parse(_of_topic(messages, entity, prefix), entity.wire_schema).filter(~_is_bad(entity))
-    fields = [F.col(f"record.{f.name}").cast(f.dataType).alias(f.name) for f in entity.wire_schema]
-    return parsed.select(*fields, F.col("offset").cast("bigint").alias(SEQ))
+    """The flat change records of one entity; :func:`quarantine` has what is left out."""
+    return good_records(parse(messages, entity, prefix), entity)
 
 
 def quarantine(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """The messages :func:`decode` leaves out: not JSON, wrong types, or no key."""
-    parsed = _parse(_of_topic(messages, entity, prefix), entity.wire_schema)
-    return parsed.filter(_is_bad(entity)).select("topic", "offset", "value")
+    """The messages :func:`decode` leaves out."""
+    return parse(messages, entity, prefix).filter("bad").select("topic", "offset", "value")
 
 
 def envelope_schema(entity: Entity) -> T.StructType:
@@ -69,10 +77,8 @@ def unwrap(messages: DataFrame, entity: Entity, prefix: str = "operations") -> D
     A delete becomes a flagged record with the last known row.
     """
     options = {"mode": "PERMISSIVE"}
-    parsed = (
-        _of_topic(messages, entity, prefix)
-        .filter(F.col("value").isNotNull())
-        .select("offset", F.from_json("value", envelope_schema(entity), options).alias("e"))
+    parsed = _of_topic(messages, entity, prefix).select(
+        "offset", F.from_json("value", envelope_schema(entity), options).alias("e")
     )
     is_delete = F.col("e.op") == "d"
     flat = parsed.select(

@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import money, name_or, user_number
-from tidemark.sources.tables import BATCH, committed, read_batches, schema_of, write_batch
+from tidemark.sources.tables import (
+    BATCH,
+    committed,
+    read_batch,
+    read_batches,
+    schema_of,
+    write_batch,
+)
 
 ORDERS_TABLE = "analytical_orders"
 ITEMS_TABLE = "analytical_order_items"
@@ -205,7 +212,7 @@ def stored_watermark(spark: SparkSession, root: str) -> datetime | None:
     last = last_cycle(spark, root)
     if last is None:
         return None
-    rows = read_batches(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, after=last - 1, upto=last)
+    rows = read_batch(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, last)
     return next_watermark(rows).first()["watermark"]
 
 

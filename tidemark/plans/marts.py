@@ -18,7 +18,7 @@ ITEM_COLUMNS = ["order_id", "product_id", "quantity"]
 PRODUCT_COLUMNS = ["product_id", "product_name"]
 CUSTOMER_COLUMNS = ["customer_id", "customer_name"]
 
-# In refresh order: a later mart being there means the earlier ones are.
+# In refresh order.
 MARTS = (
     "agg_orders_by_date_status",
     "agg_top_delivery_dates",

@@ -56,3 +56,10 @@ def read_batches(
         return spark.createDataFrame([], full)
     paths = [batch_path(root, table, b) for b in done]
     return spark.read.schema(full).option("basePath", f"{root}/{table}").parquet(*paths)
+
+
+def read_batch(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, batch_id: int
+) -> DataFrame:
+    """One batch, known to be committed."""
+    return spark.read.schema(schema).parquet(batch_path(root, table, batch_id))

@@ -17,19 +17,31 @@ from tidemark.entities import SEQ, VERSION, Entity
 from tidemark.operators import cdc, state
 from tidemark.sources.tables import read_batches, write_batch
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB instead of executor memory."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB instead of executor memory.
+
+    ``partitions`` of the state are fixed at the first start of a query, for its whole life.
+    """
+    wanted = dict(_ON_DISK)
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def start(
@@ -38,6 +50,7 @@ def start(
     entity: Entity,
     prefix: str = "operations",
     every: str | None = "5 seconds",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Write the changed keys of every micro-batch; :func:`current` reads them."""
     spark = messages.sparkSession
@@ -50,7 +63,7 @@ def start(
         write_batch(rows, root, f"keyed/{entity.name}", batch_id, [entity.key])
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    with state_on_disk(spark):
+    with state_settings(spark, partitions):
         return (
             kept.writeStream.outputMode("update")
             .foreachBatch(write)
