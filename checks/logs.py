@@ -27,8 +27,20 @@ ITEM_FIELDS = [
 ]
 
 
+# The columns the derivation reads. Declared, so that no job has to look them up.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_returnflag string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return use_utc(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _version(when: Column | None, seq: int, op: str, key: Column, **changes: Column) -> Column:
@@ -268,30 +280,35 @@ def envelopes(records: DataFrame, entity: Entity) -> DataFrame:
 
 
 def flawed_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders topic with cut-off messages (every 997th key) and a tombstone after each delete."""
-    messages = to_messages(orders_log(spark, sf_dir), ORDERS)
-    key = F.get_json_object("value", "$.order_id").cast("bigint")
-    cut = F.concat(F.lit('{"order_id": '), key.cast("string"))
-    flawed = messages.withColumn("value", F.when(key % 997 == 0, cut).otherwise(F.col("value")))
-    tombstones = (
+    """The orders topic with cut-off messages (every 997th key) and a tombstone after each delete.
+
+    Offsets are not unique across keys, as in all logs here: they order the versions of one key.
+    """
+    key = F.col("order_id")
+    cut = F.when(key % 997 == 0, F.concat(F.lit('{"order_id": '), key.cast("string")))
+    tombstone = F.struct(F.lit(None).cast("string").alias("value"), (F.col(SEQ) + 1).alias("offset"))
+    message = F.struct(
+        F.coalesce(cut, F.to_json(F.struct(*ORDERS.columns))).alias("value"),
+        F.col(SEQ).alias("offset"),
+    )
+    sent = F.array(message, F.when(F.col("cdc_op") == "d", tombstone))
+    return (
         orders_log(spark, sf_dir)
-        .filter("cdc_op = 'd'")
-        .select(
-            F.lit(ORDERS.topic()).alias("topic"),
-            (F.col(SEQ) + 1).alias("offset"),
-            F.lit(None).cast("string").alias("value"),
-        )
+        .select(F.explode(sent).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .select(F.lit(ORDERS.topic()).alias("topic"), "m.offset", "m.value")
     )
-    return flawed.unionByName(tombstones)
+
+
+def spread(records: DataFrame) -> DataFrame:
+    """Deal records out over all cores, in no particular order, before they grow into JSON."""
+    return records.repartition(records.sparkSession.sparkContext.defaultParallelism)
 
 
 def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [to_messages(log(spark, sf_dir, e), e) for e in ENTITIES]
+    parts = [to_messages(spread(log(spark, sf_dir, e)), e) for e in ENTITIES]
     return reduce(DataFrame.unionByName, parts)
 
 
-def save_messages(messages: DataFrame, folder: str) -> int:
-    """Write messages to JSON-lines files in no particular order; returns the number of files."""
-    files = messages.sparkSession.sparkContext.defaultParallelism
-    messages.repartition(files).write.json(folder)
-    return files
+def save_messages(messages: DataFrame, folder: str) -> None:
+    messages.write.json(folder)

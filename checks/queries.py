@@ -147,7 +147,7 @@ def audit_op_counts(spark, sf):
 
 
 def _dated(spark, sf):
-    return L.current(spark, sf, ORDERS, ["order_id", "delivery_date"])
+    return L.current(spark, sf, ORDERS, ["delivery_date"])
 
 
 @query
@@ -165,7 +165,7 @@ def dim_date(spark, sf):
 @query
 def dim_order_status(spark, sf):
     """Orders per status, with what the dimension says about it; unknown statuses get nulls."""
-    counts = _orders(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("order_count"))
+    counts = _orders(spark, sf, "status").groupBy("status").agg(F.count(F.lit(1)).alias("order_count"))
     return counts.join(F.broadcast(dims.dim_order_status(spark)), "status", "left")
 
 
@@ -177,24 +177,28 @@ _register("calendar_quarterly", lambda spark, sf: calendar.quarterly(_dated(spar
 # --- marts and reports -------------------------------------------------------------------------------
 
 
-def _orders(spark, sf):
-    return L.current(spark, sf, ORDERS, marts.ORDER_COLUMNS)
+def _orders(spark, sf, *columns):
+    return L.current(spark, sf, ORDERS, columns)
 
 
 @query
 def mart_orders_by_date_status(spark, sf):
-    return marts.orders_by_date_status(_orders(spark, sf))
+    return marts.orders_by_date_status(_orders(spark, sf, "delivery_date", "status"))
 
 
 @query
 def mart_top_delivery_dates(spark, sf):
-    return marts.top_delivery_dates(_orders(spark, sf), dims.dim_order_status(spark))
+    return marts.top_delivery_dates(
+        _orders(spark, sf, "delivery_date", "customer_id", "status"), dims.dim_order_status(spark)
+    )
 
 
 @query
 def mart_top_delivery_dates_approx(spark, sf):
     return marts.top_delivery_dates(
-        _orders(spark, sf), dims.dim_order_status(spark), approximate=True
+        _orders(spark, sf, "delivery_date", "customer_id", "status"),
+        dims.dim_order_status(spark),
+        approximate=True,
     )
 
 
@@ -202,7 +206,7 @@ def mart_top_delivery_dates_approx(spark, sf):
 def mart_pending_items_by_product(spark, sf):
     return marts.pending_items_by_product(
         L.current(spark, sf, ORDER_ITEMS, marts.ITEM_COLUMNS),
-        _orders(spark, sf),
+        _orders(spark, sf, "order_id", "status"),
         L.current(spark, sf, PRODUCTS, marts.PRODUCT_COLUMNS),
         dims.dim_order_status(spark),
     )
@@ -211,7 +215,7 @@ def mart_pending_items_by_product(spark, sf):
 @query
 def mart_top_customers_open(spark, sf):
     return marts.top_customers_open(
-        _orders(spark, sf),
+        _orders(spark, sf, "customer_id", "status"),
         L.current(spark, sf, CUSTOMERS, marts.CUSTOMER_COLUMNS),
         dims.dim_order_status(spark),
     )
@@ -377,10 +381,16 @@ def export_reports(spark, sf):
 # --- streaming ---------------------------------------------------------------------------------------
 
 
+def _feed(spark, messages, root) -> DataFrame:
+    """The messages as a stream of about three micro-batches."""
+    L.save_messages(messages, f"{root}/topics")
+    files = len(spark.read.text(f"{root}/topics").inputFiles())
+    return file_messages(spark, f"{root}/topics", ceil(files / 3))
+
+
 def _ingest(spark, sf, root, refresh=False) -> DataFrame:
-    """Run the change stream over all four topics, in several micro-batches."""
-    files = L.save_messages(L.all_messages(use_utc(spark), sf), f"{root}/topics")
-    messages = file_messages(spark, f"{root}/topics", ceil(files / 3))
+    """Run the change stream over all four topics."""
+    messages = _feed(spark, L.all_messages(use_utc(spark), sf), root)
     ingest.start(messages, root, every=None, refresh=refresh).awaitTermination()
     return messages
 
@@ -396,8 +406,7 @@ def _ingested_counts(spark, root):
 @query
 def stream_current_orders(spark, sf):
     root = scratch_folder(use_utc(spark), "keyed")
-    files = L.save_messages(to_messages(L.log(spark, sf, ORDERS), ORDERS), f"{root}/topics")
-    messages = file_messages(spark, f"{root}/topics", ceil(files / 3))
+    messages = _feed(spark, to_messages(L.spread(L.log(spark, sf, ORDERS)), ORDERS), root)
     cores = spark.sparkContext.defaultParallelism
     keyed.start(messages, root, ORDERS, every=None, partitions=cores).awaitTermination()
     return keyed.current(spark, root, ORDERS)

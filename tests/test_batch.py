@@ -97,6 +97,25 @@ def test_cycles_upsert_and_keep_first_creation(spark, tmp_path):
     assert {r.id for r in batch.analytical_items(spark, root).collect()} == {1, 2}
 
 
+def test_compaction_changes_nothing_for_readers(spark, tmp_path):
+    root = str(tmp_path)
+    assert batch.compact(spark, root) is None
+    batch.run_cycle(tables(spark, [order(1, at=T1), order(2, at=T1)], [(1, 1, 100, 1)]), root)
+    assert batch.compact(spark, root, buckets=4) == 0
+    later = tables(
+        spark, [order(2, status="COMPLETED", at=T2, by=9), order(3, at=T2)], [(1, 2, 101, 6)]
+    )
+    batch.run_cycle(later, root)
+    for _ in range(2):
+        got = {r.order_id: r for r in batch.analytical_orders(spark, root).collect()}
+        assert {k: r.status for k, r in got.items()} == {1: "PENDING", 2: "COMPLETED", 3: "PENDING"}
+        assert (got[2].created_at, got[2].created_by) == (T1, "7")
+        assert [(r.id, r.order_id, r.quantity) for r in batch.analytical_items(spark, root).collect()] == [
+            (1, 2, 6)
+        ]
+        assert batch.compact(spark, root, buckets=4) == 1
+
+
 def test_a_failed_cycle_is_repeated_from_the_same_watermark(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     batch.run_cycle(tables(spark, [order(1, at=T1)], [(1, 1, 100, 1)]), root)

@@ -49,6 +49,23 @@ def current(records: DataFrame, entity: Entity, columns: Sequence[str] | None =
     return live(latest(records, entity, needed)).select(*wanted)
 
 
+def merge_latest(base: DataFrame, changes: DataFrame, entity: Entity) -> DataFrame:
+    """The newer row per key of two relations with one row per key each.
+
+    A ``base`` bucketed by key is read in place; only ``changes`` are shuffled.
+    """
+    rest = [c for c in changes.columns if c not in (entity.key, VERSION, SEQ)]
+    row = F.struct(VERSION, SEQ, *rest)
+    return (
+        base.select(entity.key, row.alias("_base"))
+        .join(changes.select(entity.key, row.alias("_change")), entity.key, "full_outer")
+        .select(entity.key, F.greatest("_base", "_change").alias("_last"))  # greatest skips nulls
+        .select(
+            *[F.col(c) if c == entity.key else F.col(f"_last.{c}").alias(c) for c in changes.columns]
+        )
+    )
+
+
 def reinserted(records: DataFrame, entity: Entity) -> DataFrame:
     """Live rows of keys that were deleted at some time and came back."""
     rest = [c for c in entity.columns if c not in (entity.key, VERSION)]

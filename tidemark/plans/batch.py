@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import money, name_or, user_number
+from tidemark.operators.state import upsert
 from tidemark.sources.tables import (
     BATCH,
+    BUCKETS,
+    batch_path,
     committed,
+    last_base,
     read_batch,
     read_batches,
     schema_of,
+    write_base,
     write_batch,
 )
 
 ORDERS_TABLE = "analytical_orders"
 ITEMS_TABLE = "analytical_order_items"
+LINES_TABLE = "extracted_lines"
 
 ORDERS_KEEP = ("created_at", "created_by")  # an update leaves these as first stored
 ITEMS_KEEP = ("created_at",)
@@ -126,20 +132,22 @@ def _user_text(user: Column) -> Column:
     return F.coalesce(user.cast("string"), F.lit("None"))
 
 
-def transform_orders(extracted: Tables) -> DataFrame:
+def item_lines(extracted: Tables) -> DataFrame:
+    """Items with the name and exact price of their product; nulls where it is missing."""
+    products = extracted.products.select("product_id", "product_name", "unity_price")
+    return extracted.order_items.join(products, "product_id", "left")
+
+
+def transform_orders(extracted: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Analytic orders: customer name, number of items and amount. Orders without items have zeros.
 
-    A missing product adds nothing to the amount; a missing customer is named Unknown.
+    A missing product adds nothing to the amount; a missing customer is named Unknown. ``lines`` are
+    :func:`item_lines`, where they have been stored.
     """
-    prices = extracted.products.select("product_id", "unity_price")
-    totals = (
-        extracted.order_items.select("order_id", "product_id", "quantity")
-        .join(prices, "product_id", "left")
-        .groupBy("order_id")
-        .agg(
-            F.sum("quantity").alias("_items"),
-            F.sum(F.col("quantity") * F.col("unity_price")).alias("_amount"),
-        )
+    lines = item_lines(extracted) if lines is None else lines
+    totals = lines.groupBy("order_id").agg(
+        F.sum("quantity").alias("_items"),
+        F.sum(F.col("quantity") * F.col("unity_price")).alias("_amount"),
     )
     names = extracted.customers.select("customer_id", "customer_name")
     rows = extracted.orders.join(totals, "order_id", "left").join(names, "customer_id", "left")
@@ -159,16 +167,15 @@ def transform_orders(extracted: Tables) -> DataFrame:
     )
 
 
-def transform_items(extracted: Tables) -> DataFrame:
+def transform_items(extracted: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Analytic items: product name and price, and the status and delivery date of their order."""
+    lines = item_lines(extracted) if lines is None else lines
     parents = extracted.orders.select(
         "order_id",
         F.col("status").alias("order_status"),
         F.col("delivery_date").cast("timestamp_ntz").alias("delivery_date"),
     )
-    products = extracted.products.select("product_id", "product_name", "unity_price")
-    rows = extracted.order_items.join(parents, "order_id").join(products, "product_id", "left")
-    return rows.select(
+    return lines.join(parents, "order_id").select(
         F.col("order_item_id").alias("id"),
         "order_id",
         "product_id",
@@ -228,20 +235,51 @@ def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
     if extracted.orders.isEmpty():
         return None
     cycle = 0 if last is None else last + 1
-    write_batch(transform_items(extracted), root, ITEMS_TABLE, cycle, ["product_id"])
-    write_batch(transform_orders(extracted), root, ORDERS_TABLE, cycle, ["delivery_date"])
+    # Both results need the items with their products: join them once, into a table of their own.
+    write_batch(item_lines(extracted), root, LINES_TABLE, cycle)
+    lines = spark.read.parquet(batch_path(root, LINES_TABLE, cycle))
+    items = transform_items(extracted, lines)
+    write_batch(items, root, ITEMS_TABLE, cycle, ["product_id"], ITEMS_SCHEMA)
+    orders = transform_orders(extracted, lines)
+    write_batch(orders, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA)
     return cycle
 
 
+def _upserted(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, key: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """All complete cycles, folded: those since the last base, upserted into it."""
+    last = last_cycle(spark, root)
+    upto = -1 if last is None else last
+    base = last_base(spark, root, table, schema, key)
+    if base is None:
+        return fold(read_batches(spark, root, table, schema, upto=upto), key, schema.names, keep)
+    reached, rows = base
+    later = read_batches(spark, root, table, schema, after=reached, upto=upto)
+    return upsert(rows, fold(later, key, schema.names, keep), key, keep)
+
+
 def analytical_orders(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_batches(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, upto=last_cycle(spark, root))
-    return fold(rows, "order_id", ORDERS_SCHEMA.names, ORDERS_KEEP)
+    return _upserted(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, "order_id", ORDERS_KEEP)
 
 
 def analytical_items(spark: SparkSession, root: str) -> DataFrame:
+    return _upserted(spark, root, ITEMS_TABLE, ITEMS_SCHEMA, "id", ITEMS_KEEP)
+
+
+def compact(spark: SparkSession, root: str, buckets: int = BUCKETS) -> int | None:
+    """Fold the complete cycles of both tables into bases, so that readers fold only later ones."""
     last = last_cycle(spark, root)
-    rows = read_batches(spark, root, ITEMS_TABLE, ITEMS_SCHEMA, upto=-1 if last is None else last)
-    return fold(rows, "id", ITEMS_SCHEMA.names, ITEMS_KEEP)
+    if last is None:
+        return None
+    for table, schema, key, read in (
+        (ORDERS_TABLE, ORDERS_SCHEMA, "order_id", analytical_orders),
+        (ITEMS_TABLE, ITEMS_SCHEMA, "id", analytical_items),
+    ):
+        base = last_base(spark, root, table, schema, key)
+        if base is None or base[0] < last:
+            write_base(read(spark, root), root, table, schema, last, key, buckets)
+    return last
 
 
 # --- reports on the analytic tables ----------------------------------------------------------------

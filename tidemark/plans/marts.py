@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import name_or
 from tidemark.operators.dims import open_orders
 
-# Columns of current state each mart reads. Pass them to ``state.current`` to prune early.
+# Columns of current state the marts read. Pass them, or fewer where fewer are enough, to
+# ``state.current``, which prunes by name.
 ORDER_COLUMNS = ["order_id", "delivery_date", "customer_id", "status"]
 ITEM_COLUMNS = ["order_id", "product_id", "quantity"]
 PRODUCT_COLUMNS = ["product_id", "product_name"]

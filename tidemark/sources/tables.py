@@ -1,11 +1,15 @@
-"""Append-only tables on shared storage: one folder per batch, written whole and idempotently.
+"""Tables on shared storage: one folder per batch, and now and then a compacted base below them.
 
 A batch that is written again replaces its own folder, so a replayed batch adds nothing. A folder
 counts once its ``_SUCCESS`` marker is there; readers ask for committed batches only.
+
+A base holds one row per key of everything up to a batch, bucketed by key: merging later batches into
+it shuffles the batches alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +22,43 @@ def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
+# --- batches ---------------------------------------------------------------------------------------
+
+
 def batch_path(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/{BATCH}={batch_id}"
 
 
 def write_batch(
-    df: DataFrame, root: str, table: str, batch_id: int, sort: Sequence[str] = ()
+    df: DataFrame,
+    root: str,
+    table: str,
+    batch_id: int,
+    sort: Sequence[str] = (),
+    schema: T.StructType | None = None,
 ) -> None:
-    """Write one batch. Sorting inside each file narrows its row-group statistics, without a shuffle."""
-    out = df.sortWithinPartitions(*sort) if sort else df
+    """Write one batch, in ``schema`` where one is declared: other columns or types are an error.
+
+    Sorting inside each file narrows its row-group statistics, without a shuffle.
+    """
+    out = df if schema is None else df.to(schema)
+    out = out.sortWithinPartitions(*sort) if sort else out
     out.write.mode("overwrite").parquet(batch_path(root, table, batch_id))
 
 
+def _markers(spark: SparkSession, pattern: str) -> list[dict[str, int]]:
+    """The ``name=number`` folders above each ``_SUCCESS`` marker that matches."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = []
+    for status in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []:
+        parts = [p.split("=") for p in status.getPath().toString().split("/") if "=" in p]
+        found.append({name: int(value) for name, value in parts if value.isdigit()})
+    return found
+
+
 def committed(spark: SparkSession, root: str, table: str) -> list[int]:
     """Ids of the completely written batches, ascending."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{BATCH}=*/_SUCCESS")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in files or [])
+    return sorted(m[BATCH] for m in _markers(spark, f"{root}/{table}/{BATCH}=*"))
 
 
 def read_batches(
@@ -63,3 +87,54 @@ def read_batch(
 ) -> DataFrame:
     """One batch, known to be committed."""
     return spark.read.schema(schema).parquet(batch_path(root, table, batch_id))
+
+
+# --- bases -----------------------------------------------------------------------------------------
+
+BUCKETS = 64  # choose so that a bucket of the largest table fits a task with ease
+
+
+def _bucketed_table(
+    spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int
+) -> str:
+    """Declare the folder as a bucketed table, which only the catalog can do. The name follows from
+    the path, so every session declares the same one."""
+    name = f"tidemark_base_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return name
+
+
+def _base_path(root: str, table: str, batch_id: int, buckets: int) -> str:
+    return f"{root}/base/{table}/buckets={buckets}/{BATCH}={batch_id}"
+
+
+def write_base(
+    df: DataFrame,
+    root: str,
+    table: str,
+    schema: T.StructType,
+    batch_id: int,
+    key: str,
+    buckets: int = BUCKETS,
+) -> None:
+    spark = df.sparkSession
+    path = _base_path(root, table, batch_id, buckets)
+    name = _bucketed_table(spark, path, schema, key, buckets)
+    df.to(schema).write.mode("overwrite").insertInto(name)
+
+
+def last_base(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, key: str
+) -> tuple[int, DataFrame] | None:
+    """The newest complete base and the batch it reaches to."""
+    found = _markers(spark, f"{root}/base/{table}/buckets=*/{BATCH}=*")
+    if not found:
+        return None
+    newest = max(found, key=lambda m: m[BATCH])
+    path = _base_path(root, table, newest[BATCH], newest["buckets"])
+    name = _bucketed_table(spark, path, schema, key, newest["buckets"])
+    return newest[BATCH], spark.table(name)
