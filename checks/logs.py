@@ -312,3 +312,13 @@ def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def save_messages(messages: DataFrame, folder: str) -> None:
     messages.write.json(folder)
+
+
+def forget_last_commit(spark: SparkSession, checkpoint: str) -> int:
+    """Put a checkpoint into the state a crash leaves: the last micro-batch written, not committed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{checkpoint}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in files.globStatus(hadoop.Path(folder, "[0-9]*")))
+    files.delete(hadoop.Path(folder, str(last)), False)
+    return last

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from records import last_versions, log, record
 
+from checks.logs import forget_last_commit
 from tidemark.entities import ENTITIES, ORDER_ITEMS, ORDERS, SEQ
 from tidemark.operators import cdc, dims, history, state
 from tidemark.plans import marts
@@ -93,25 +94,67 @@ def test_restart_and_replay_add_nothing(spark, feed, tmp_path):
     batches = committed(spark, root, "history/orders")
     assert len(batches) == 3
     run(spark, feed, root, refresh=False)  # the checkpoint knows everything was read
-    run(spark, feed, root, refresh=False, checkpoint=str(tmp_path / "lost"))  # all of it again
+    assert forget_last_commit(spark, f"{root}/_checkpoints/ingest") == 2
+    written = (tmp_path / "out/history/orders/batch_id=2/_SUCCESS").stat().st_mtime_ns
+    run(spark, feed, root, refresh=False)
+    assert (tmp_path / "out/history/orders/batch_id=2/_SUCCESS").stat().st_mtime_ns > written
     after = ingest.history(spark, root, ORDERS).select(*ORDERS.columns, SEQ).collect()
     assert committed(spark, root, "history/orders") == batches
     assert sorted(map(repr, after)) == sorted(map(repr, before))
 
 
-def test_compaction_keeps_state_and_remembers_deletes(spark, feed, tmp_path):
+def test_a_stream_without_its_offsets_does_not_start(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    rows = log(spark, ORDERS, [record(ORDERS, 1, 1, 0, "c")])
+    ingest.land(spark, to_messages(rows, ORDERS), 0, root, [ORDERS])
+    with pytest.raises(ValueError, match="offsets"):
+        run(spark, feed, root)
+
+
+def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_path):
     plain, root = str(tmp_path / "plain"), str(tmp_path / "out")
-    run(spark, feed, plain, refresh=False)
-    run(spark, feed, root, refresh=False, compact_every=2)
-    assert ingest.last_base(spark, root, "current/orders", ORDERS.staged_schema, "order_id")[0] == 1
-    assert same(ingest.current(spark, root, ORDERS), ingest.current(spark, plain, ORDERS))
-    assert ingest.compact(spark, root, ORDERS) == 2
-    assert same(ingest.current(spark, root, ORDERS), ingest.current(spark, plain, ORDERS))
+    run(spark, feed, plain, files=2, refresh=False)
+    run(spark, feed, root, files=2, refresh=False, tidy_every=2)
+    assert len(committed(spark, plain, "history/orders")) == 4
+
+    def base():
+        return ingest.last_base(spark, root, "current/orders", ORDERS.staged_schema, "order_id")[0]
+
+    def check():
+        for e in (ORDERS, ORDER_ITEMS):
+            assert same(ingest.current(spark, root, e), ingest.current(spark, plain, e))
+            kept = [*e.columns, SEQ, "batch_id"]
+            a, b = ingest.history(spark, root, e), ingest.history(spark, plain, e)
+            assert sorted(map(repr, a.select(*kept).collect())) == sorted(
+                map(repr, b.select(*kept).collect())
+            )
+
+    assert base() == 3 and committed(spark, root, "rolled/history/orders") == [1, 3]
+    assert committed(spark, root, "current/orders") == [2, 3]  # those below the older base are gone
+    assert committed(spark, root, "history/orders") == [2, 3]
+    check()
 
     gone = next(k for k, r in last_versions(ORDERS, order_rows()).items() if r["cdc_deleted"])
     late = log(spark, ORDERS, [record(ORDERS, gone, -1, 0, "c", status="PENDING")])
-    ingest.land(spark, to_messages(late, ORDERS), 3, root, [ORDERS])
+    ingest.land(spark, to_messages(late, ORDERS), 4, root, [ORDERS])
     assert ingest.current(spark, root, ORDERS).filter(F.col("order_id") == gone).isEmpty()
+    ingest.land(spark, to_messages(late, ORDERS), 4, plain, [ORDERS])
+    check()
+    ingest.tidy(spark, root, ORDERS)
+    ingest.tidy(spark, root, ORDERS)  # nothing new: nothing to do
+    assert base() == 4
+    check()
+
+
+def test_old_refreshes_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "KEPT_REFRESHES", 2)
+    rows = log(spark, ORDERS, [record(ORDERS, 1, 1, 0, "c", status="PENDING", delivery_date=5)])
+    ingest.land(spark, to_messages(rows, ORDERS), 0, str(tmp_path), [ORDERS])
+    for cycle in range(4):
+        ingest.refresh_marts(spark, str(tmp_path), cycle)
+    for name in marts.MARTS:
+        assert committed(spark, str(tmp_path), f"marts/{name}") == [2, 3]
+    assert ingest.mart(spark, str(tmp_path), marts.MARTS[0]).count() == 1
 
 
 def test_a_batch_without_its_marker_is_not_read(spark, tmp_path):

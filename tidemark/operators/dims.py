@@ -46,8 +46,10 @@ def dim_date(
 
 
 def dim_order_status(spark: SparkSession) -> DataFrame:
-    schema = "status string, status_group string, is_terminal int, display_order int"
-    return spark.createDataFrame(ORDER_STATUSES, schema)
+    rows = ", ".join(str(row) for row in ORDER_STATUSES)
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS s(status, status_group, is_terminal, display_order)"
+    )
 
 
 def open_orders(orders: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from tidemark.sources.tables import (
     BUCKETS,
     batch_path,
     committed,
+    drop_bases,
+    drop_batches,
     last_base,
     read_batch,
     read_batches,
@@ -279,6 +281,10 @@ def compact(spark: SparkSession, root: str, buckets: int = BUCKETS) -> int | Non
         base = last_base(spark, root, table, schema, key)
         if base is None or base[0] < last:
             write_base(read(spark, root), root, table, schema, last, key, buckets)
+        if base is not None:  # the base just replaced stays, for readers that have begun
+            drop_bases(spark, root, table, before=base[0])
+            drop_batches(spark, root, table, before=min(base[0] + 1, last))
+    drop_batches(spark, root, LINES_TABLE, before=last)
     return last
 
 

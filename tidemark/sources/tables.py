@@ -1,8 +1,10 @@
-"""Tables on shared storage: one folder per batch, and now and then a compacted base below them.
+"""Tables on shared storage: one folder per batch, rolled up or compacted now and then.
 
 A batch that is written again replaces its own folder, so a replayed batch adds nothing. A folder
 counts once its ``_SUCCESS`` marker is there; readers ask for committed batches only.
 
+Rolling up turns the small files of many batches into few large ones and keeps every row.
+
 A base holds one row per key of everything up to a batch, bucketed by key: merging later batches into
 it shuffles the batches alone.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BATCH = "batch_id"
+ROLLED = "from_batch"  # the batch id of a row that was rolled up
 
 
 def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -82,6 +85,23 @@ def read_batches(
     return spark.read.schema(full).option("basePath", f"{root}/{table}").parquet(*paths)
 
 
+def drop_batches(spark: SparkSession, root: str, table: str, before: int) -> None:
+    """Delete the folders of batches below ``before``, which nothing reads any more."""
+    for batch_id in committed(spark, root, table):
+        if batch_id < before:
+            _delete(spark, batch_path(root, table, batch_id))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_batch(
     spark: SparkSession, root: str, table: str, schema: T.StructType, batch_id: int
 ) -> DataFrame:
@@ -89,6 +109,41 @@ def read_batch(
     return spark.read.schema(schema).parquet(batch_path(root, table, batch_id))
 
 
+# --- segments --------------------------------------------------------------------------------------
+
+
+def roll_up(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, sort: Sequence[str]
+) -> int | None:
+    """Rewrite the batches since the last roll-up into one folder of few, large files.
+
+    Each row is rewritten once. Its batch id becomes a column. Batches that an earlier roll-up
+    covered are dropped; those of this one stay until the next, for readers that have begun.
+    """
+    rolled = committed(spark, root, f"rolled/{table}")
+    reached = rolled[-1] if rolled else None
+    done = committed(spark, root, table)
+    if not done or (reached is not None and done[-1] <= reached):
+        return reached
+    rows = read_batches(spark, root, table, schema, after=reached).withColumnRenamed(BATCH, ROLLED)
+    by_key = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    by_key.write.mode("overwrite").parquet(batch_path(root, f"rolled/{table}", done[-1]))
+    if reached is not None:
+        drop_batches(spark, root, table, reached + 1)
+    return done[-1]
+
+
+def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    """Every committed row of a table: what was rolled up, and the batches after it."""
+    rolled = committed(spark, root, f"rolled/{table}")
+    rest = read_batches(spark, root, table, schema, after=rolled[-1] if rolled else None)
+    if not rolled:
+        return rest
+    stored = T.StructType([*schema, T.StructField(ROLLED, T.LongType())])
+    large = read_batches(spark, root, f"rolled/{table}", stored).drop(BATCH)
+    return large.withColumnRenamed(ROLLED, BATCH).unionByName(rest)
+
+
 # --- bases -----------------------------------------------------------------------------------------
 
 BUCKETS = 64  # choose so that a bucket of the largest table fits a task with ease
@@ -127,6 +182,13 @@ def write_base(
     df.to(schema).write.mode("overwrite").insertInto(name)
 
 
+def drop_bases(spark: SparkSession, root: str, table: str, before: int) -> None:
+    """Delete the bases that reach to a batch below ``before``."""
+    for m in _markers(spark, f"{root}/base/{table}/buckets=*/{BATCH}=*"):
+        if m[BATCH] < before:
+            _delete(spark, _base_path(root, table, m[BATCH], m["buckets"]))
+
+
 def last_base(
     spark: SparkSession, root: str, table: str, schema: T.StructType, key: str
 ) -> tuple[int, DataFrame] | None:
