@@ -31,16 +31,22 @@ def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     return [t["item"] for t in found["top"] or [] if t["item"] is not None and t["count"] > limit]
 
 
-def with_time_slices(points: DataFrame, key: str, order: str, keys: int) -> DataFrame:
-    """Add ``_slice``: each key's range of ``order`` cut into parts with about equally many rows.
+def time_cuts(rows: DataFrame, key: str, order: str, keys: int) -> DataFrame:
+    """Per key the values of ``order`` that part its rows into slices of about equal size.
 
-    ``keys`` is the number of hot keys, all that ``points`` holds; at most ``MAX_CUTS`` cut points
-    are made over all of them, so they can be broadcast. Rows with equal ``order`` stay together;
-    callers make (key, order) unique first.
+    ``rows`` holds only the rows of ``keys`` hot keys. At most ``MAX_CUTS`` numbers come to the driver.
+    They are fixed there because a quantile sketch may answer differently each time it is evaluated,
+    and every part of a plan has to cut at the same places.
     """
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2, min(tasks, MAX_CUTS // max(1, keys)))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = points.groupBy(key).agg(F.percentile_approx(order, shares).alias("_cuts"))
+    found = rows.groupBy(key).agg(F.percentile_approx(order, shares).alias("_cuts"))
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def with_time_slices(points: DataFrame, key: str, order: str, cuts: DataFrame) -> DataFrame:
+    """Add ``_slice``, the number of the key's ``cuts`` below ``order``. Equal values stay together."""
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
     return points.join(F.broadcast(cuts), key).withColumn("_slice", below).drop("_cuts")

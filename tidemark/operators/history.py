@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.entities import SEQ, VERSION, Entity
 from tidemark.functions.columns import open_end
-from tidemark.functions.skew import hot_keys, with_time_slices
+from tidemark.functions.skew import hot_keys, time_cuts, with_time_slices
 from tidemark.operators.state import latest
 
 
@@ -63,7 +63,8 @@ def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFra
     """
     key = entity.key
     points = records.groupBy(key, VERSION).agg(F.max(SEQ).alias("_last_seq"))
-    sliced = with_time_slices(points, key, VERSION, keys)
+    cuts = time_cuts(records, key, VERSION, keys)
+    sliced = with_time_slices(points, key, VERSION, cuts)
     following = (
         sliced.groupBy(key, "_slice")
         .agg(F.min(VERSION).alias("_first"))
@@ -205,7 +206,11 @@ def _last_before_sliced(
     points = instants.join(last_at_instant, [key, "_at"], "full_outer").select(
         key, "_at", "_asked", F.col("_v._dim").alias("_dim")
     )
-    sliced = with_time_slices(points, key, "_at", keys)
+    moments = facts.select(key, F.col(at).alias("_at")).unionByName(
+        versions.select(key, F.col(VERSION).alias("_at"))
+    )
+    cuts = time_cuts(moments, key, "_at", keys)
+    sliced = with_time_slices(points, key, "_at", cuts)
     up_to_here = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.groupBy(key, "_slice")
