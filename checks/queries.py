@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tidemark.entities import CUSTOMERS, ENTITIES, ORDER_ITEMS, ORDERS, PRODUCTS
 from tidemark.operators import cdc, dims, quality, state
 from tidemark.operators import history as H
 from tidemark.plans import batch, calendar, exports, marts, reports
-from tidemark.session import scratch_folder, use_utc
+from tidemark.session import scratch_folder, together, use_utc
 from tidemark.sources.changes import file_messages, to_messages
 from tidemark.sources.tables import read_batches, write_batch
 from tidemark.streaming import ingest, keyed
@@ -89,7 +90,7 @@ def late_event_order(spark, sf):
     root = scratch_folder(use_utc(spark), "late")
     log = L.log(spark, sf, ORDERS)
     for batch_id, part in enumerate([log.filter(F.col(SEQ) > 0), log.filter(F.col(SEQ) == 0)]):
-        ingest.land(spark, to_messages(part, ORDERS), batch_id, root, [ORDERS])
+        ingest.land(spark, to_messages(L.spread(part), ORDERS), batch_id, root, [ORDERS])
     return ingest.current(spark, root, ORDERS)
 
 
@@ -97,13 +98,15 @@ def late_event_order(spark, sf):
 def history_append_count(spark, sf):
     """Snapshot reads in one batch, changes in another, the second one written twice."""
     root = scratch_folder(use_utc(spark), "history")
-    tables = {}
-    for e in ENTITIES:
+
+    def append(e):
         rows = L.staged(spark, sf, e).withColumn("_inserted_at", F.current_timestamp())
         is_read = F.col("cdc_op") == "r"
         for batch_id, part in [(0, is_read), (1, ~is_read), (1, ~is_read)]:
-            write_batch(rows.filter(part), root, e.name, batch_id, [e.key])
-        tables[e] = read_batches(spark, root, e.name, e.history_schema)
+            write_batch(rows.filter(part), root, e.name, batch_id, [e.key], e.history_schema)
+
+    together(spark, *[partial(append, e) for e in ENTITIES])
+    tables = {e: read_batches(spark, root, e.name, e.history_schema) for e in ENTITIES}
     return quality.row_counts(tables, "history_rows")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import money, name_or, user_number
 from tidemark.operators.state import upsert
+from tidemark.session import together
 from tidemark.sources.tables import (
     BATCH,
     BUCKETS,
@@ -211,9 +212,9 @@ def fold(batches: DataFrame, key: str, columns: list[str], keep: tuple[str, ...]
 
 
 def last_cycle(spark: SparkSession, root: str) -> int | None:
-    """The last complete cycle. Orders are written after items, so their marker closes a cycle."""
-    done = committed(spark, root, ORDERS_TABLE)
-    return done[-1] if done else None
+    """The last cycle both of whose tables are complete."""
+    orders, items = (set(committed(spark, root, t)) for t in (ORDERS_TABLE, ITEMS_TABLE))
+    return max(orders & items, default=None)
 
 
 def stored_watermark(spark: SparkSession, root: str) -> datetime | None:
@@ -228,8 +229,8 @@ def stored_watermark(spark: SparkSession, root: str) -> datetime | None:
 def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
     """One extract, transform and load. Returns the cycle's id, or None when nothing has changed.
 
-    A cycle that fails leaves no marker; the next one reads from the same watermark and replaces
-    what it wrote.
+    A cycle that fails lacks a marker; the next one reads from the same watermark and replaces what
+    it wrote.
     """
     spark = source.orders.sparkSession
     last = last_cycle(spark, root)
@@ -240,10 +241,12 @@ def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
     # Both results need the items with their products: join them once, into a table of their own.
     write_batch(item_lines(extracted), root, LINES_TABLE, cycle)
     lines = spark.read.parquet(batch_path(root, LINES_TABLE, cycle))
-    items = transform_items(extracted, lines)
-    write_batch(items, root, ITEMS_TABLE, cycle, ["product_id"], ITEMS_SCHEMA)
-    orders = transform_orders(extracted, lines)
-    write_batch(orders, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA)
+    items, orders = transform_items(extracted, lines), transform_orders(extracted, lines)
+    together(
+        spark,
+        lambda: write_batch(items, root, ITEMS_TABLE, cycle, ["product_id"], ITEMS_SCHEMA),
+        lambda: write_batch(orders, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA),
+    )
     return cycle
 
 

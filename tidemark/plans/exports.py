@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import batch
+from tidemark.session import together
 
 MAX_SINGLE_FILE_ROWS = 1_000_000  # a longer report is written by many tasks
 
@@ -62,8 +64,8 @@ def export_reports(
     limit: int = 3,
 ) -> DataFrame:
     """Write the chosen reports below ``folder``; the result lists each with its number of rows."""
-    written = [
-        (name, write_csv(report, f"{folder}/{name}.csv"))
-        for name, report in batch_reports(orders, items, selection, limit).items()
-    ]
-    return spark.createDataFrame(written, "report string, row_count bigint")
+    chosen = batch_reports(orders, items, selection, limit)
+    rows = together(
+        spark, *[partial(write_csv, df, f"{folder}/{name}.csv") for name, df in chosen.items()]
+    )
+    return spark.createDataFrame(list(zip(chosen, rows, strict=True)), "report string, row_count bigint")

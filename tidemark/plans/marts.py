@@ -38,7 +38,7 @@ def orders_by_date_status(orders: DataFrame) -> DataFrame:
 
 
 def top_delivery_dates(
-    orders: DataFrame, statuses: DataFrame, approximate: bool = False, rsd: float = 0.01
+    orders: DataFrame, statuses: DataFrame, approximate: bool = False, rsd: float = 0.05
 ) -> DataFrame:
     """Open orders per delivery date. Orders without a customer count as orders, not as customers."""
     customers = (

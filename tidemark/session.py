@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+Result = TypeVar("Result")
+
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on. On a cluster leave ``master`` to spark-submit."""
@@ -42,3 +48,12 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+
+
+def together(spark: SparkSession, *jobs: Callable[[], Result]) -> list[Result]:
+    """Run independent Spark jobs side by side; small ones leave most of a cluster idle."""
+    if not jobs:
+        return []
+    in_thread = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(in_thread(job)) for job in jobs]]
