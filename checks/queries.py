@@ -391,10 +391,10 @@ def _feed(spark, messages, root) -> DataFrame:
     return file_messages(spark, f"{root}/topics", ceil(files / 3))
 
 
-def _ingest(spark, sf, root, refresh=False) -> DataFrame:
+def _ingest(spark, sf, root, refresh_every=None) -> DataFrame:
     """Run the change stream over all four topics."""
     messages = _feed(spark, L.all_messages(use_utc(spark), sf), root)
-    ingest.start(messages, root, every=None, refresh=refresh).awaitTermination()
+    ingest.start(messages, root, every=None, refresh_every=refresh_every).awaitTermination()
     return messages
 
 
@@ -425,7 +425,7 @@ def stream_fanout_counts(spark, sf):
 @query
 def stream_mart_orders_by_date_status(spark, sf):
     root = scratch_folder(use_utc(spark), "marts")
-    _ingest(spark, sf, root, refresh=True)
+    _ingest(spark, sf, root, refresh_every=1)
     return ingest.mart(spark, root, "agg_orders_by_date_status")
 
 
@@ -434,9 +434,9 @@ def stream_replay_idempotent(spark, sf):
     """Restart from the checkpoint; then lose the last commit, so that its micro-batch runs again."""
     root = scratch_folder(use_utc(spark), "replay")
     messages = _ingest(spark, sf, root)
-    ingest.start(messages, root, every=None, refresh=False).awaitTermination()
+    ingest.start(messages, root, every=None, refresh_every=None).awaitTermination()
     L.forget_last_commit(spark, f"{root}/_checkpoints/ingest")
-    ingest.start(messages, root, every=None, refresh=False).awaitTermination()
+    ingest.start(messages, root, every=None, refresh_every=None).awaitTermination()
     return _ingested_counts(spark, root)
 
 

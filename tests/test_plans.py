@@ -12,6 +12,7 @@ from checks import logs as L
 from tidemark.entities import CUSTOMERS, ORDERS
 from tidemark.operators import cdc, dims, history
 from tidemark.plans import batch, marts
+from tidemark.sources import stored
 from tidemark.sources.changes import to_messages
 from tidemark.streaming import ingest
 
@@ -78,7 +79,7 @@ def test_a_base_is_not_shuffled(spark, tmp_path):
         rows = [record(ORDERS, k, n, n, "u", status=f"{n}") for k in range(n * 50, 100)]
         ingest.land(spark, to_messages(log(spark, ORDERS, rows), ORDERS), n, root, [ORDERS])
         if n == 0:
-            ingest.compact(spark, root, ORDERS, buckets=8)
+            stored.compact(spark, root, "current/orders", ORDERS, buckets=8)
     now = ingest.current(spark, root, ORDERS, ["order_id", "status"])
     counts = {r["status"]: r["count"] for r in now.groupBy("status").count().collect()}
     assert counts == {"0": 50, "1": 50}

@@ -10,7 +10,7 @@ from tidemark.operators import cdc, dims, history, state
 from tidemark.plans import marts
 from tidemark.plans.batch import Tables, analytical_orders
 from tidemark.sources.changes import file_messages, saved_messages, to_messages
-from tidemark.sources.tables import committed
+from tidemark.sources.tables import committed, last_base
 from tidemark.streaming import ingest, keyed, polling
 
 
@@ -89,14 +89,14 @@ def test_stream_gives_what_one_batch_gives(spark, feed, tmp_path):
 
 def test_restart_and_replay_add_nothing(spark, feed, tmp_path):
     root = str(tmp_path / "out")
-    run(spark, feed, root, refresh=False)
+    run(spark, feed, root, refresh_every=None)
     before = ingest.history(spark, root, ORDERS).select(*ORDERS.columns, SEQ).collect()
     batches = committed(spark, root, "history/orders")
     assert len(batches) == 3
-    run(spark, feed, root, refresh=False)  # the checkpoint knows everything was read
+    run(spark, feed, root, refresh_every=None)  # the checkpoint knows everything was read
     assert forget_last_commit(spark, f"{root}/_checkpoints/ingest") == 2
     written = (tmp_path / "out/history/orders/batch_id=2/_SUCCESS").stat().st_mtime_ns
-    run(spark, feed, root, refresh=False)
+    run(spark, feed, root, refresh_every=None)
     assert (tmp_path / "out/history/orders/batch_id=2/_SUCCESS").stat().st_mtime_ns > written
     after = ingest.history(spark, root, ORDERS).select(*ORDERS.columns, SEQ).collect()
     assert committed(spark, root, "history/orders") == batches
@@ -113,12 +113,12 @@ def test_a_stream_without_its_offsets_does_not_start(spark, feed, tmp_path):
 
 def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_path):
     plain, root = str(tmp_path / "plain"), str(tmp_path / "out")
-    run(spark, feed, plain, files=2, refresh=False)
-    run(spark, feed, root, files=2, refresh=False, tidy_every=2)
+    run(spark, feed, plain, files=2, refresh_every=None)
+    run(spark, feed, root, files=2, refresh_every=None, tidy_every=2)
     assert len(committed(spark, plain, "history/orders")) == 4
 
     def base():
-        return ingest.last_base(spark, root, "current/orders", ORDERS.staged_schema, "order_id")[0]
+        return last_base(spark, root, "current/orders", ORDERS.staged_schema, "order_id")[0]
 
     def check():
         for e in (ORDERS, ORDER_ITEMS):
@@ -157,6 +157,24 @@ def test_old_refreshes_are_dropped(spark, tmp_path, monkeypatch):
     assert ingest.mart(spark, str(tmp_path), marts.MARTS[0]).count() == 1
 
 
+def test_an_empty_micro_batch(spark, tmp_path):
+    root = str(tmp_path)
+    none = spark.createDataFrame([], ingest.MESSAGE)
+    ingest.land(spark, none, 0, root)
+    ingest.land(spark, spark.read.schema(ingest.MESSAGE).json(spark.sparkContext.parallelize([])), 1, root)
+    assert committed(spark, root, "history/orders") == [0, 1]
+    for e in ENTITIES:
+        assert ingest.history(spark, root, e).isEmpty() and ingest.current(spark, root, e).isEmpty()
+    ingest.refresh_marts(spark, root, 1)
+    assert ingest.mart(spark, root, marts.MARTS[3]).isEmpty()
+
+
+def test_marts_may_be_refreshed_less_often(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    run(spark, feed, root, files=2, refresh_every=2)
+    assert committed(spark, root, f"marts/{marts.MARTS[0]}") == [1, 3]
+
+
 def test_a_batch_without_its_marker_is_not_read(spark, tmp_path):
     root = str(tmp_path)
     for n in range(2):
@@ -184,6 +202,8 @@ def test_keyed_state_matches_batch(spark, feed, tmp_path):
     assert len(committed(spark, root, "keyed/orders")) >= 3
     whole = cdc.stage(cdc.decode(saved_messages(spark, feed), ORDERS), ORDERS)
     assert same(keyed.current(spark, root, ORDERS), state.current(whole, ORDERS))
+    assert keyed.compact(spark, root, ORDERS, buckets=4) == committed(spark, root, "keyed/orders")[-1]
+    assert same(keyed.current(spark, root, ORDERS), state.current(whole, ORDERS))
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # settings are put back
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.entities import SEQ, VERSION, Entity
-from tidemark.operators import cdc, state
-from tidemark.sources.tables import read_batches, write_batch
+from tidemark.operators import cdc
+from tidemark.sources import stored
+from tidemark.sources.tables import BUCKETS, write_batch
 
 _ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -74,5 +75,9 @@ def start(
 
 
 def current(spark: SparkSession, root: str, entity: Entity) -> DataFrame:
-    rows = read_batches(spark, root, f"keyed/{entity.name}", entity.staged_schema)
-    return state.current(rows, entity)
+    return stored.live_rows(spark, root, f"keyed/{entity.name}", entity)
+
+
+def compact(spark: SparkSession, root: str, entity: Entity, buckets: int = BUCKETS) -> int | None:
+    """Merge what the stream has written so far; run it from time to time."""
+    return stored.compact(spark, root, f"keyed/{entity.name}", entity, buckets)
