@@ -84,6 +84,22 @@ def test_bad_messages_are_set_aside_and_good_ones_kept(spark):
     assert sorted(r.offset for r in cdc.quarantine(df, ORDERS).collect()) == [1, 2, 3, 4]
 
 
+def test_bad_envelopes_are_set_aside(spark):
+    t = CUSTOMERS.topic()
+    rows = [
+        (t, 0, envelope("u", after={"customer_id": 1, "is_active": "false"})),
+        (t, 1, envelope("u", after={"customer_id": 1})[:-3]),
+        (t, 2, envelope("d", before=None)),
+        (t, 3, envelope("c", after={"customer_id": "x"})),
+        (t, 4, None),
+    ]
+    df = messages(spark, *rows)
+    got = cdc.unwrap(df, CUSTOMERS).collect()
+    assert [(r.seq, r.is_active) for r in got] == [(0, False)]
+    bad = cdc.quarantine(df, CUSTOMERS, envelope=True).collect()
+    assert sorted(r.offset for r in bad) == [1, 2, 3]
+
+
 def test_only_listed_topics_pass(spark):
     df = messages(spark, (ORDERS.topic(), 0, "{}"), ("operations.secrets", 1, "{}"))
     assert [r.topic for r in only_topics(df, ENTITIES).collect()] == [ORDERS.topic()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from records import last_versions, log, record
 
-from checks.logs import forget_last_commit
+from checks.logs import envelopes, forget_last_commit
 from tidemark.entities import ENTITIES, ORDER_ITEMS, ORDERS, SEQ
 from tidemark.operators import cdc, dims, history, state
 from tidemark.plans import marts
@@ -46,7 +46,8 @@ def feed(spark, tmp_path):
         [(ORDERS.topic(), 900, '{"order_id": 1'), (ORDERS.topic(), 901, None)], messages.schema
     )
     folder = str(tmp_path / "topics")
-    messages.unionByName(again).unionByName(odd).orderBy(F.xxhash64("value")).repartition(8).write.json(folder)
+    shuffled = messages.unionByName(again).unionByName(odd).orderBy(F.xxhash64("value"))
+    shuffled.repartition(8).write.json(folder)
     return folder
 
 
@@ -169,6 +170,15 @@ def test_an_empty_micro_batch(spark, tmp_path):
     assert ingest.mart(spark, root, marts.MARTS[3]).isEmpty()
 
 
+def test_envelopes_land_like_flat_messages(spark, tmp_path):
+    records = log(spark, ORDER_ITEMS, item_rows())
+    flat, wrapped = str(tmp_path / "flat"), str(tmp_path / "wrapped")
+    ingest.land(spark, to_messages(records, ORDER_ITEMS), 0, flat, [ORDER_ITEMS])
+    ingest.land(spark, envelopes(records, ORDER_ITEMS), 0, wrapped, [ORDER_ITEMS], envelope=True)
+    a, b = (ingest.current(spark, r, ORDER_ITEMS) for r in (flat, wrapped))
+    assert same(a, b) and not a.isEmpty()
+
+
 def test_marts_may_be_refreshed_less_often(spark, feed, tmp_path):
     root = str(tmp_path / "out")
     run(spark, feed, root, files=2, refresh_every=2)

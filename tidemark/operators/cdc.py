@@ -20,46 +20,15 @@ def _of_topic(messages: DataFrame, entity: Entity, prefix: str) -> DataFrame:
     return messages.filter((F.col("topic") == entity.topic(prefix)) & F.col("value").isNotNull())
 
 
-def parse(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """Each message of an entity with its fields and ``bad``: not JSON, wrong types, or no key.
-
-    The parsed record goes through ``inline`` because a filter is not pushed below a generator: pushed
-    further down it would parse every message again.
-    """
+def _tolerant(schema: T.StructType) -> list[T.StructField]:
     # A flag may arrive as a JSON boolean or as the text "true"; text covers both.
-    fields = [
-        T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.BooleanType) else f
-        for f in entity.wire_schema
-    ]
-    with_bad = T.StructType([*fields, T.StructField(_MALFORMED, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
-    record = F.from_json("value", with_bad, options)
-    bad = F.col(_MALFORMED).isNotNull() | F.col(entity.key).isNull()
-    return _of_topic(messages, entity, prefix).select(
-        "topic", "offset", "value", F.inline(F.array(record))
-    ).withColumn("bad", bad)
-
-
-def good_records(parsed: DataFrame, entity: Entity) -> DataFrame:
-    """Flat change records in wire types, with the offset as ``seq``."""
-    return parsed.filter(~F.col("bad")).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in entity.wire_schema],
-        F.col("offset").cast("bigint").alias(SEQ),
-    )
-
-
-def decode(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """The flat change records of one entity; :func:`quarantine` has what is left out."""
-    return good_records(parse(messages, entity, prefix), entity)
-
-
-def quarantine(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """The messages :func:`decode` leaves out."""
-    return parse(messages, entity, prefix).filter("bad").select("topic", "offset", "value")
+    text = T.StringType()
+    return [T.StructField(f.name, text) if f.dataType == T.BooleanType() else f for f in schema]
 
 
 def envelope_schema(entity: Entity) -> T.StructType:
-    image = entity.row_image
+    """A message before unwrapping: the row before and after the change, and where it came from."""
+    image = T.StructType(_tolerant(entity.row_image))
     return T.StructType(
         [
             T.StructField("before", image),
@@ -71,29 +40,69 @@ def envelope_schema(entity: Entity) -> T.StructType:
     )
 
 
-def unwrap(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
-    """Flat change records from messages that still carry the before/after envelope.
+def parse(
+    messages: DataFrame, entity: Entity, prefix: str = "operations", envelope: bool = False
+) -> DataFrame:
+    """Each message of an entity with its fields and ``bad``: not JSON, wrong types, or no key.
 
-    A delete becomes a flagged record with the last known row.
+    Messages are flat records, or with ``envelope`` still carry the rows before and after the change.
+    The parsed value goes through ``inline`` because a filter is not pushed below a generator: pushed
+    further down it would parse every message again.
     """
-    options = {"mode": "PERMISSIVE"}
+    fields = list(envelope_schema(entity)) if envelope else _tolerant(entity.wire_schema)
+    with_bad = T.StructType([*fields, T.StructField(_MALFORMED, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
     parsed = _of_topic(messages, entity, prefix).select(
-        "offset", F.from_json("value", envelope_schema(entity), options).alias("e")
+        "topic", "offset", "value", F.inline(F.array(F.from_json("value", with_bad, options)))
     )
-    is_delete = F.col("e.op") == "d"
+    flat = _unwrapped(parsed, entity) if envelope else parsed
+    return flat.withColumn("bad", F.col(_MALFORMED).isNotNull() | F.col(entity.key).isNull())
+
+
+def _unwrapped(parsed: DataFrame, entity: Entity) -> DataFrame:
+    """The new row of each change; a delete becomes a flagged record with the last known row."""
+    is_delete = F.col("op") == "d"
     flat = parsed.select(
-        F.when(is_delete, F.col("e.before")).otherwise(F.col("e.after")).alias("row"),
+        "topic",
+        "offset",
+        "value",
+        F.when(is_delete, F.col("before")).otherwise(F.col("after")).alias("row"),
         F.when(is_delete, "true").otherwise("false").alias("__deleted"),
-        F.col("e.op").alias("cdc_op"),
-        F.col("e.source.ts_ms").alias(VERSION),
+        F.col("op").alias("cdc_op"),
+        F.col("source.ts_ms").alias(VERSION),
+        _MALFORMED,
+    ).select("*", "row.*")
+    return flat.drop("row").withColumnsRenamed({"__deleted": "cdc_deleted", **entity.renames})
+
+
+def good_records(parsed: DataFrame, entity: Entity) -> DataFrame:
+    """Flat change records in wire types, with the offset as ``seq``."""
+    return parsed.filter(~F.col("bad")).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in entity.wire_schema],
         F.col("offset").cast("bigint").alias(SEQ),
-    ).select("row.*", "__deleted", "cdc_op", VERSION, SEQ)
-    renamed = flat.withColumnsRenamed({"__deleted": "cdc_deleted", **entity.renames})
-    return renamed.withColumn("cdc_deleted", F.col("cdc_deleted").cast("boolean")).select(
-        *entity.columns, SEQ
     )
 
 
+def decode(
+    messages: DataFrame, entity: Entity, prefix: str = "operations", envelope: bool = False
+) -> DataFrame:
+    """The change records of one entity; :func:`quarantine` has what is left out."""
+    return good_records(parse(messages, entity, prefix, envelope), entity)
+
+
+def unwrap(messages: DataFrame, entity: Entity, prefix: str = "operations") -> DataFrame:
+    """The change records of one entity from messages in envelopes."""
+    return decode(messages, entity, prefix, envelope=True)
+
+
+def quarantine(
+    messages: DataFrame, entity: Entity, prefix: str = "operations", envelope: bool = False
+) -> DataFrame:
+    """The messages :func:`decode` leaves out."""
+    parsed = parse(messages, entity, prefix, envelope)
+    return parsed.filter("bad").select("topic", "offset", "value")
+
+
 def stage(records: DataFrame, entity: Entity) -> DataFrame:
     """Stored types and defaults. The only place where a record is transformed."""
     return records.select(*[a.staged() for a in entity.attributes], SEQ)

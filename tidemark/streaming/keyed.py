@@ -50,12 +50,13 @@ def start(
     root: str,
     entity: Entity,
     prefix: str = "operations",
+    envelope: bool = False,
     every: str | None = "5 seconds",
     partitions: int | None = None,
 ) -> StreamingQuery:
     """Write the changed keys of every micro-batch; :func:`current` reads them."""
     spark = messages.sparkSession
-    staged = cdc.stage(cdc.decode(messages, entity, prefix), entity)
+    staged = cdc.stage(cdc.decode(messages, entity, prefix, envelope), entity)
     rest = [c for c in entity.columns if c not in (entity.key, VERSION)]
     kept = staged.groupBy(entity.key).agg(F.max(F.struct(VERSION, SEQ, *rest)).alias("_last"))
 
