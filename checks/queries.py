@@ -169,7 +169,7 @@ def dim_date(spark, sf):
 def dim_order_status(spark, sf):
     """Orders per status, with what the dimension says about it; unknown statuses get nulls."""
     counts = _orders(spark, sf, "status").groupBy("status").agg(F.count(F.lit(1)).alias("order_count"))
-    return counts.join(F.broadcast(dims.dim_order_status(spark)), "status", "left")
+    return counts.join(dims.dim_order_status(spark), "status", "left")
 
 
 _register("calendar_weekend_split", lambda spark, sf: calendar.weekend_split(_dated(spark, sf)))

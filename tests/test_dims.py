@@ -1,7 +1,5 @@
 from datetime import date
 
-import pytest
-
 from tidemark.operators import dims
 
 
@@ -45,9 +43,7 @@ def test_open_means_non_terminal_and_known(spark):
     assert [r.status for r in got] == ["PENDING"]
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_calendar_join_keeps_days_outside_the_range(spark, monkeypatch, limit):
-    monkeypatch.setattr(dims, "MAX_BROADCAST_DAYS", limit)
+def test_calendar_join_keeps_days_outside_the_range(spark):
     df = spark.createDataFrame([(date(2024, 1, 6),), (date(2040, 1, 1),), (None,)], "d date")
     got = {r.d: r.is_weekend for r in dims.with_calendar(df, "d").collect()}
     assert got == {date(2024, 1, 6): 1, date(2040, 1, 1): None, None: None}

@@ -61,6 +61,13 @@ def test_status_dimension_is_broadcast_and_the_watermark_pushed_down(spark, sf):
     assert re.search(r"PushedFilters: .*GreaterThan\(o_orderdate,1998-01-01", extracted)
 
 
+def test_calendar_is_broadcast_while_it_is_small(spark):
+    days = spark.range(10).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    assert "BroadcastHashJoin" in plan(dims.with_calendar(days, "d"))
+    forever = dims.with_calendar(days, "d", days=50_000_000)
+    assert "BuildRight" not in plan(forever)
+
+
 def test_top_reports_do_not_sort_everything(spark, sf):
     text = plan(contract.queries()["report_top_customers_open"](spark, sf))
     assert "TakeOrderedAndProject" in text

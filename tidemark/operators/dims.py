@@ -19,8 +19,6 @@ ORDER_STATUSES = [
     ("CANCELLED", "terminal", 1, 5),
 ]
 
-MAX_BROADCAST_DAYS = 200_000  # over five centuries, a few megabytes
-
 
 def dim_date(
     spark: SparkSession, start: str = CALENDAR_START, days: int = CALENDAR_DAYS
@@ -55,17 +53,18 @@ def dim_order_status(spark: SparkSession) -> DataFrame:
 def open_orders(orders: DataFrame, statuses: DataFrame) -> DataFrame:
     """Orders (or anything with a ``status``) whose status the dimension calls non-terminal.
 
-    The dimension lists the statuses of a business process: a handful of rows, so it is broadcast.
+    No broadcast hint: the dimension's size is known to Spark, which broadcasts it while it is small.
     """
     still_open = statuses.filter(F.col("is_terminal") == 0).select("status")
-    return orders.join(F.broadcast(still_open), "status", "left_semi")
+    return orders.join(still_open, "status", "left_semi")
 
 
 def with_calendar(
     facts: DataFrame, day: str, start: str = CALENDAR_START, days: int = CALENDAR_DAYS
 ) -> DataFrame:
-    """Left join on the calendar; days outside its range get null calendar columns."""
+    """Left join on the calendar; days outside its range get null calendar columns.
+
+    Spark knows the calendar's size from its number of days and broadcasts it while it is small.
+    """
     calendar = dim_date(facts.sparkSession, start, days)
-    if days <= MAX_BROADCAST_DAYS:
-        calendar = F.broadcast(calendar)
     return facts.join(calendar, F.col(day) == F.col("date_key"), "left")
