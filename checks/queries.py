@@ -272,6 +272,10 @@ def report_top_customers_open(spark, sf):
 
 
 def _changed(spark, sf) -> batch.Tables:
+    return batch.changed(L.operational(spark, sf), CHANGED_SINCE)
+
+
+def _extracted(spark, sf) -> batch.Tables:
     return batch.extract(L.operational(spark, sf), CHANGED_SINCE)
 
 
@@ -283,22 +287,22 @@ def _first_cycle(spark, sf) -> batch.Tables:
 
 @query
 def batch_extract_orders(spark, sf):
-    return _changed(spark, sf).orders
+    return _extracted(spark, sf).orders
 
 
 @query
 def batch_extract_items(spark, sf):
-    return _changed(spark, sf).order_items
+    return _extracted(spark, sf).order_items
 
 
 @query
 def batch_extract_customers(spark, sf):
-    return _changed(spark, sf).customers
+    return _extracted(spark, sf).customers
 
 
 @query
 def batch_extract_products(spark, sf):
-    return _changed(spark, sf).products
+    return _extracted(spark, sf).products
 
 
 @query
@@ -319,7 +323,7 @@ def batch_transform_items(spark, sf):
 @query
 def batch_upsert_orders(spark, sf):
     return state.upsert(
-        batch.transform_orders(batch.extract(_first_cycle(spark, sf))),
+        batch.transform_orders(batch.changed(_first_cycle(spark, sf))),
         batch.transform_orders(_changed(spark, sf)),
         "order_id",
         batch.ORDERS_KEEP,
@@ -329,7 +333,7 @@ def batch_upsert_orders(spark, sf):
 @query
 def batch_upsert_items(spark, sf):
     return state.upsert(
-        batch.transform_items(batch.extract(_first_cycle(spark, sf))),
+        batch.transform_items(batch.changed(_first_cycle(spark, sf))),
         batch.transform_items(_changed(spark, sf)),
         "id",
         batch.ITEMS_KEEP,
@@ -346,11 +350,11 @@ def batch_run_orders(spark, sf):
 
 
 def _analytic_orders(spark, sf):
-    return batch.transform_orders(batch.extract(L.operational(spark, sf)))
+    return batch.transform_orders(batch.changed(L.operational(spark, sf)))
 
 
 def _analytic_items(spark, sf):
-    return batch.transform_items(batch.extract(L.operational(spark, sf)))
+    return batch.transform_items(batch.changed(L.operational(spark, sf)))
 
 
 @query

@@ -49,6 +49,10 @@ def test_extract_follows_the_changed_orders(spark):
     assert [r.customer_id for r in got.customers.collect()] == [2]
     assert [r.product_id for r in got.products.collect()] == [101]
     assert batch.next_watermark(got.orders).first().watermark == T3
+    whole = batch.changed(source, T1)
+    assert sorted(r.order_item_id for r in whole.order_items.collect()) == [2, 3]
+    for transform in (batch.transform_orders, batch.transform_items):
+        assert sorted(transform(whole).collect()) == sorted(transform(got).collect())
     again = batch.extract_orders(source.orders, T3, inclusive=True)
     assert [r.order_id for r in again.collect()] == [3]
     assert batch.extract_orders(source.orders, T3).isEmpty()
