@@ -12,8 +12,11 @@ import statistics
 import sys
 import time
 
+from checks import logs
 from checks.queries import QUERIES
-from tidemark.session import build_session
+from tidemark.session import build_session, scratch_folder
+from tidemark.sources.changes import saved_messages
+from tidemark.streaming import ingest
 
 WRITING = {
     "late_event_order",
@@ -33,6 +36,26 @@ def run(query, spark, sf_dir: str) -> float:
     return time.perf_counter() - started
 
 
+def stream_figures(spark, sf_dir: str) -> dict[str, float]:
+    """How fast a micro-batch holding everything is landed, and how long a mart refresh takes then."""
+    feed, root = scratch_folder(spark, "bench-feed"), scratch_folder(spark, "bench-out")
+    logs.save_messages(logs.all_messages(spark, sf_dir), feed)
+    messages = saved_messages(spark, feed)
+    count = messages.count()
+    landed, refreshed = [], []
+    for cycle in range(3):
+        started = time.perf_counter()
+        ingest.land(spark, messages, 0, root)
+        landed.append(time.perf_counter() - started)
+        started = time.perf_counter()
+        ingest.refresh_marts(spark, root, cycle)
+        refreshed.append(time.perf_counter() - started)
+    return {
+        "messages_per_sec": round(count / statistics.median(landed)),
+        "mart_refresh_sec": round(statistics.median(refreshed), 3),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,6 +79,7 @@ def main() -> None:
             run(QUERIES[name], spark, sf_dir)
             times[name] = statistics.median(run(QUERIES[name], spark, sf_dir) for _ in range(3))
         print(f"{name} {times[name]:.2f}", file=sys.stderr, flush=True)
+    figures = {} if sys.argv[1:] else stream_figures(spark, sf_dir)
     spark.stop()
     print(
         json.dumps(
@@ -66,6 +90,7 @@ def main() -> None:
                 "queries": {name: round(t, 3) for name, t in times.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
+                **figures,
             }
         )
     )
