@@ -115,7 +115,7 @@ def test_a_stream_without_its_offsets_does_not_start(spark, feed, tmp_path):
 def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_path):
     plain, root = str(tmp_path / "plain"), str(tmp_path / "out")
     run(spark, feed, plain, files=2, refresh_every=None)
-    run(spark, feed, root, files=2, refresh_every=None, tidy_every=2)
+    run(spark, feed, root, files=2, refresh_every=None, tidy_every=2, buckets=4)
     assert len(committed(spark, plain, "history/orders")) == 4
 
     def base():
@@ -130,6 +130,9 @@ def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_
                 map(repr, b.select(*kept).collect())
             )
 
+    for n in (1, 3):  # one file per bucket: the first base was dealt out, the second merged in place
+        parts = (tmp_path / f"out/base/current/orders/buckets=4/batch_id={n}").glob("part-*")
+        assert 0 < len(list(parts)) <= 4
     assert base() == 3 and committed(spark, root, "rolled/history/orders") == [1, 3]
     assert committed(spark, root, "current/orders") == [2, 3]  # those below the older base are gone
     assert committed(spark, root, "history/orders") == [2, 3]

@@ -258,6 +258,7 @@ def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
         lambda: write_batch(items, root, ITEMS_TABLE, cycle, ["product_id"], ITEMS_SCHEMA),
         lambda: write_batch(orders, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA),
     )
+    drop_batches(spark, root, LINES_TABLE, before=cycle)
     return cycle
 
 
@@ -294,11 +295,11 @@ def compact(spark: SparkSession, root: str, buckets: int = BUCKETS) -> int | Non
     ):
         base = last_base(spark, root, table, schema, key)
         if base is None or base[0] < last:
-            write_base(read(spark, root), root, table, schema, last, key, buckets)
+            first = base is None
+            write_base(read(spark, root), root, table, schema, last, key, buckets, first)
         if base is not None:  # the base just replaced stays, for readers that have begun
             drop_bases(spark, root, table, before=base[0])
             drop_batches(spark, root, table, before=min(base[0] + 1, last))
-    drop_batches(spark, root, LINES_TABLE, before=last)
     return last
 
 

@@ -175,11 +175,17 @@ def write_base(
     batch_id: int,
     key: str,
     buckets: int = BUCKETS,
+    first: bool = False,
 ) -> None:
+    """Write a base. Rows merged into an earlier base of as many buckets already lie as they must;
+    those of a ``first`` one, or of another number of buckets, are dealt out so that each bucket is
+    one file."""
     spark = df.sparkSession
     path = _base_path(root, table, batch_id, buckets)
     name = _bucketed_table(spark, path, schema, key, buckets)
-    df.to(schema).write.mode("overwrite").insertInto(name)
+    out = df.to(schema)
+    out = out.repartition(buckets, key) if first else out
+    out.write.mode("overwrite").insertInto(name)
 
 
 def drop_bases(spark: SparkSession, root: str, table: str, before: int) -> None:
