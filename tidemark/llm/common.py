@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,23 @@ from tidemark.session import scratch_folder
 BATCH_BYTES = 8 << 20  # text handled at once inside a task
 
 
+@lru_cache(maxsize=1)
+def _package_archive() -> str:
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "tidemark").rglob("*.py")):
+            out.write(file, str(file.relative_to(root)))
+    return str(archive)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers run parts of it, unless it was sent before."""
+    context = spark.sparkContext
+    if not any(f.endswith("tidemark_code.zip") for f in context.listFiles):
+        context.addPyFile(_package_archive())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,3 +108,14 @@ def schema(text: str) -> T.StructType:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
