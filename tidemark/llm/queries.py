@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, packing, token_counts, toxicity, wavelet
+from tidemark.llm import chat, exact_dedup, mixing, ngram_join, packing, token_counts, toxicity, wavelet
 from tidemark.llm.common import ship_code, table
 from tidemark.session import scratch_folder
 
@@ -96,3 +96,9 @@ def op3_toxicity(spark, sf):
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_ngram_jaccard_join(spark, sf):
+    found = ngram_join.similar_documents(table(spark, sf, "documents"), ngram_join.Similarity(n=4, percent=85))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
