@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, ngram_join, packing, token_counts, toxicity, wavelet
+from tidemark.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_join, packing, substring_dedup, token_counts, toxicity, wavelet
 from tidemark.llm.common import ship_code, table
 from tidemark.session import scratch_folder
 
@@ -102,3 +102,15 @@ def op3_toxicity(spark, sf):
 def op2_ngram_jaccard_join(spark, sf):
     found = ngram_join.similar_documents(table(spark, sf, "documents"), ngram_join.Similarity(n=4, percent=85))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op7_substring_dedup(spark, sf):
+    found = substring_dedup.remove_repeats(table(spark, sf, "documents"), window=20)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op6_embedding_near_dedup(spark, sf):
+    found = embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
