@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import landed, tasks, text_or_empty
+from tidemark.llm.common import landed, tasks, text_or_empty, unused
 
 TRACKED = 4096  # digests the sketch follows; any with more than about 1/1000 of the rows is among them
 TOP = 1000  # digests taken from the sketch; bounds what is broadcast
@@ -82,13 +82,14 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts of frequent digests never move, but for one row each."""
-    keyed = docs.withColumn("_digest", F.sha2(normalised(text_or_empty(text_col)), 256))
+    digest, keep_id, is_hot, number = unused(docs, "_digest", "_keep_id", "_hot", "_number")
+    keyed = docs.withColumn(digest, F.sha2(normalised(text_or_empty(text_col)), 256))
     rows = landed(digests(docs, id_col, text_col), "digests")
     limit = max(2, rows.count() // TOP)
     hot = winners(rows.join(F.broadcast(frequent(rows)), "digest", "left_semi")).filter(F.col("group_size") >= limit)
-    hot = landed(hot.select(F.col("digest").alias("_digest"), F.col("keep.id").alias("_keep_id")), "hot")
-    marked = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_digest", "left")
+    hot = landed(hot.select(F.col("digest").alias(digest), F.col("keep.id").alias(keep_id)), "hot")
+    marked = keyed.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), digest, "left")
     # Of a frequent digest only rows with the smallest id go on; there is more than one only if an id is repeated.
-    rest = marked.filter(F.col("_hot").isNull() | F.col(id_col).eqNullSafe(F.col("_keep_id")))
-    order = Window.partitionBy("_digest").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns))
-    return rest.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    rest = marked.filter(F.col(is_hot).isNull() | F.col(id_col).eqNullSafe(F.col(keep_id)))
+    order = Window.partitionBy(digest).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns))
+    return rest.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).select(*docs.columns)

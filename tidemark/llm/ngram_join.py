@@ -307,5 +307,7 @@ def drop_similar(
 ) -> DataFrame:
     """``docs`` with one document of each group of similar ones, all columns kept."""
     found = similar_documents(docs, similarity, id_col, text_col)
-    gone = landed(found.filter("id <> component_id OR (id IS NOT NULL AND component_id IS NULL)").select(F.col("id").alias("_gone")), "gone")
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    # A null id is the smallest, so its row always stays.
+    gone = found.filter("id IS NOT NULL AND NOT id <=> component_id").select(F.col("id").alias("gone_id"))
+    gone = landed(gone.distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
