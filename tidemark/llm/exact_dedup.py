@@ -41,7 +41,9 @@ def frequent(rows: DataFrame, column: str = "digest") -> DataFrame:
     groups = min(MERGE_GROUPS, max(1, tasks(rows.sparkSession) // 4))
     part = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_part")
     sketches = rows.groupBy(part).agg(F.expr(f"approx_top_k_accumulate({column}, {TRACKED})").alias("sketch"))
-    merged = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {TOP})").alias("top"))
+    # One group rather than none: combining fails on a task without sketches, which a grouped aggregate never makes.
+    merged = sketches.groupBy((F.col("_part") * 0).alias("all"))
+    merged = merged.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {TOP})").alias("top"))
     return merged.select(F.explode("top.item").alias(column))
 
 
