@@ -18,6 +18,7 @@ document; a null id is one as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,11 @@ from tidemark.llm.words import U64, byte_values, mixed, span_hashes, text_buffer
 FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500 times a document's mean number
 SPARE = 0.25  # segments beyond those the pigeonhole needs
 NULL_ID = -(1 << 63)
-TABLES = schema("id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long")
+SKETCH = [f"s{i}" for i in range(8)]
+TABLES = schema(
+    "id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long, "
+    + ", ".join(f"{s} long" for s in SKETCH)
+)
 SIGNATURES = schema("id long, digest_1 long, digest_2 long, signatures array<long>")
 SETS = schema("id long, shingles array<long>")
 VALUES = byte_values(21, fold_case=True)
@@ -65,6 +70,13 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([one, two], dtype=U64).view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams in each of 512 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
+    cells = (mixed(shingles ^ U64(0x3D)) & U64(511)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Jaccard of at least ``percent`` / 100 over word ``n``-grams."""
@@ -100,21 +112,20 @@ class Allocation:
 def allocate(similarity: Similarity, band: int, documents: int, frequent: float) -> Allocation:
     """The cheapest split of a band's weight.
 
-    Cost is entries per document times (1 + expected documents met by chance in one), where a segment of ``k`` n-grams is
-    shared by chance with probability ``frequent ** k``; ``frequent`` is the share of frequent n-grams.
+    Cost is entries times (1 + documents met by chance in one). Segments hold about ``k`` n-grams each, Poisson spread;
+    one is shared by chance if all its n-grams are frequent ones, ``frequent`` being their share, so with probability
+    ``exp(-k * (1 - frequent))``, and with one left out about ``k`` times that.
     """
     largest = (2 << band) - 1
     need = similarity.max_difference(2 * largest) + 1
     weight = need + int(SPARE * need)
     best, chosen = None, 0
-    for pairs in sorted({0, *(round(weight * s / 16) for s in range(1, 9))}):
+    for pairs in sorted({round(weight * s / 16) for s in range(9)}):
         if pairs * 2 > weight:
             continue
-        size = largest / (weight - pairs)
-        entries = (weight - 2 * pairs) + pairs * (1 + size)
-        met = documents * frequent**size
-        met_pairs = documents * frequent ** max(0.0, size - 1)
-        cost = (weight - 2 * pairs) * (1 + met) + pairs * (1 + size) * (1 + met_pairs) + entries * 0.01
+        size = 0.75 * largest / (weight - pairs)
+        met = documents * math.exp(-size * (1 - frequent))
+        cost = (weight - 2 * pairs) * (1 + met) + pairs * (1 + met + size * (1 + min(documents, met * size)))
         if best is None or cost < best:
             best, chosen = cost, pairs
     return Allocation(weight, chosen)
@@ -168,7 +179,9 @@ def _profile(n: int):
             digests = [digest(s) for s in sets]
             none = [None] * len(sets)
             one, two = zip(*digests, strict=True)
-            yield record_batch(TABLES, [batch.column("id"), [len(s) for s in sets], list(one), list(two), none, none])
+            cells = list(np.stack([sketch(s) for s in sets], axis=1))
+            sizes = [len(s) for s in sets]
+            yield record_batch(TABLES, [batch.column("id"), sizes, list(one), list(two), none, none, *cells])
             seen, times = np.unique(np.concatenate(sets), return_counts=True)
             often = times >= max(3, FREQUENT_SHARE * len(sets))
             for s, t in zip(seen[often].view(np.int64).tolist(), times[often].tolist(), strict=True):
@@ -183,7 +196,7 @@ def _profile(n: int):
 
 def _counted(counts: dict[int, int]) -> pa.RecordBatch:
     none = [None] * len(counts)
-    batch = record_batch(TABLES, [none, none, none, none, list(counts), list(counts.values())])
+    batch = record_batch(TABLES, [none, none, none, none, list(counts), list(counts.values()), *[none] * 8])
     counts.clear()
     return batch
 
@@ -222,14 +235,36 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
     return both.filter(100 * common >= similarity.percent * union).select("a", "b")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of entries that still hold more than one component, numbered within the entry."""
-    labelled = members.select("signature", "id").join(labels, F.col("id") == F.col("node"), "left")
-    labelled = labelled.select("signature", "id", F.coalesce("component", "id").alias("component"))
-    split = labelled.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = split.filter("lo <> hi").select("signature")
-    rank = F.row_number().over(Window.partitionBy("signature").orderBy("id"))
-    return landed(labelled.join(split, "signature").withColumn("rank", rank), "unresolved")
+def _split(members: DataFrame) -> DataFrame:
+    """Members of entries that hold more than one component."""
+    split = members.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(split.filter("lo <> hi").select("signature"), "signature")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    found = members.drop("component").join(labels, F.col("id") == F.col("node"), "left")
+    return found.withColumn("component", F.coalesce("component", "id")).drop("node")
+
+
+def _candidates(members: DataFrame, step: int, similarity: Similarity) -> DataFrame:
+    """Pairs not yet connected, of members ranked above ``step`` to ``2 * step`` with later ones of the same entry.
+
+    Sizes and sketches rule most dissimilar pairs out at once; they never rule out similar ones.
+    """
+    a, b = members.alias("a"), members.alias("b")
+    sizes = F.col("a.n_shingles") + F.col("b.n_shingles")
+    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SKETCH), F.lit(0))
+    smaller = F.least("a.n_shingles", "b.n_shingles") * 100
+    later = (
+        (F.col("a.signature") == F.col("b.signature"))
+        & (F.col("b.rank") > F.col("a.rank"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (smaller >= similarity.percent * F.greatest("a.n_shingles", "b.n_shingles"))
+        & (differ * (100 + similarity.percent) <= (100 - similarity.percent) * sizes)
+    )
+    firsts = a.filter((F.col("a.rank") > step) & (F.col("a.rank") <= 2 * step))
+    pairs = firsts.join(b.filter(F.col("b.rank") > step), later)
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def similar_documents(
@@ -245,7 +280,9 @@ def similar_documents(
     tables = landed(rows.mapInArrow(_profile(similarity.n), TABLES), "profiles")
     profiles = tables.filter("id IS NOT NULL").select("id", "n_shingles", "digest_1", "digest_2")
     key = ["digest_1", "digest_2"]
-    classes = landed(profiles.filter("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("class_id")), "classes")
+    kinds = tables.filter("n_shingles > 0").groupBy(*key)
+    kept = [F.first(c).alias(c) for c in ("n_shingles", *SKETCH)]
+    classes = landed(kinds.agg(F.min("id").alias("class_id"), *kept), "classes")
     totals = profiles.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).first()
     counts = tables.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("documents").alias("n"))
     found = counts.filter(F.col("n") >= FREQUENT_SHARE * totals["n"]).toPandas()
@@ -258,38 +295,40 @@ def similar_documents(
 
     signed = rows.mapInArrow(_signed(similarity, allocations, frequent), SIGNATURES)
     first = classes.select(F.col("class_id").alias("id"), *key)
+    nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
     entries = signed.join(first, ["id", *key]).select("id", F.explode("signatures").alias("signature"))
     entries = landed(entries, "entries")
-    shared = entries.groupBy("signature").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot <> top")
-    members = landed(entries.join(shared.select("signature", "pivot"), "signature"), "members")
+    # The first of an entry is chosen by an order of its own, so a document meets many others, not one over and over.
+    mask = F.xxhash64("signature")
+    pivot = F.min(F.col("id").bitwiseXOR(mask)).alias("pivot")
+    shared = entries.groupBy("signature").agg(pivot, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = shared.select("signature", F.col("pivot").bitwiseXOR(mask).alias("pivot"))
+    members = landed(entries.join(shared, "signature"), "members")
     sets = rows.join(members.select("id").distinct(), "id").mapInArrow(_sets(similarity.n), SETS)
     sets = landed(sets, "sets")
 
-    star = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    star = star.distinct()
     tested = [landed(star, "pairs")]
     links = [landed(similar(tested[0], sets, similarity), "links")]
     labels = landed(connected_components(links[0]), "labels")
-    open_members, step = _unresolved(members, labels), 1
+    rank = F.row_number().over(Window.partitionBy("signature").orderBy(F.col("id") != F.col("pivot"), "id"))
+    open_members = _split(_labelled(members, labels)).withColumn("rank", rank).join(nodes, "id")
+    open_members, step = landed(open_members, "unresolved"), 1
     while open_members.filter(F.col("rank") > step).head(1):
-        firsts = open_members.filter((F.col("rank") > step) & (F.col("rank") <= 2 * step))
-        firsts = firsts.select("signature", F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("of_a"))
-        later = open_members.filter(F.col("rank") > step).join(firsts, "signature")
-        later = later.filter("rank > rank_a AND component <> of_a").select("a", F.col("id").alias("b")).distinct()
+        more = _candidates(open_members, step, similarity)
         for done in tested:
-            later = later.join(done, ["a", "b"], "left_anti")
-        tested.append(landed(later, "pairs"))
+            more = more.join(done, ["a", "b"], "left_anti")
+        tested.append(landed(more, "pairs"))
         links.append(landed(similar(tested[-1], sets, similarity), "links"))
         every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
+        for found_links in links[1:]:
+            every = every.unionByName(found_links)
         labels = landed(connected_components(every), "labels")
-        still = open_members.drop("component").join(labels, F.col("id") == F.col("node"), "left")
-        still = still.select("signature", "id", F.coalesce("component", "id").alias("component"), "rank")
-        split = still.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_members = landed(still.join(split.filter("lo <> hi").select("signature"), "signature"), "unresolved")
+        open_members = landed(_split(_labelled(open_members, labels)), "unresolved")
         step *= 2
 
-    out = profiles.join(classes, key, "left").join(labels, F.col("class_id") == F.col("node"), "left")
+    out = profiles.join(classes.select("class_id", *key), key, "left").join(labels, F.col("class_id") == F.col("node"), "left")
 
     def shown(c):
         return F.when(c != NULL_ID, c)
