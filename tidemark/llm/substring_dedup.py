@@ -35,6 +35,7 @@ from tidemark.llm.words import (
 WINDOW = 20
 # A perfect difference set; every step from 1 to 12 is a difference of two of them modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+WORK_BYTES = 2 << 20  # text hashed at once; the arrays take some 50 times as much
 SLOTS = 1 << 20  # bounds what is broadcast to spare documents without repeats a shuffle
 NULL_ID = -(1 << 63)
 ANCHORS = schema("deal long, id long, position int, settled boolean")
@@ -59,7 +60,7 @@ def _anchors(window: int):
     anchor = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text"):
+        for batch in byte_batches(batches, "text", WORK_BYTES):
             data, borders = text_buffer(batch.column("text"))
             if not len(data):
                 continue
@@ -82,7 +83,7 @@ def _anchors(window: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text", 4 << 20):
+        for batch in byte_batches(batches, "text", WORK_BYTES):
             data, borders = text_buffer(batch.column("text"))
             if not len(data):
                 continue
