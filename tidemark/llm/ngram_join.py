@@ -246,21 +246,30 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "id")).drop("node")
 
 
-def _candidates(members: DataFrame, step: int, similarity: Similarity) -> DataFrame:
-    """Pairs not yet connected, of members ranked above ``step`` to ``2 * step`` with later ones of the same entry.
+def _plausible(similarity: Similarity):
+    """Whether sizes and sketches of rows ``a`` and ``b`` allow them to be similar; it never rules out similar ones."""
+    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SKETCH), F.lit(0))
+    smaller, larger = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
+    allowed = (100 - similarity.percent) * (smaller + larger)
+    return (smaller * 100 >= similarity.percent * larger) & (differ * (100 + similarity.percent) <= allowed)
 
-    Sizes and sketches rule most dissimilar pairs out at once; they never rule out similar ones.
-    """
+
+def _with_first(members: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs of each member with the first of its entry."""
+    pairs = members.filter("id <> pivot").select(F.least("pivot", "id").alias("x"), F.greatest("pivot", "id").alias("y"))
+    found = pairs.distinct().join(nodes.alias("a"), F.col("x") == F.col("a.id"))
+    found = found.join(nodes.alias("b"), (F.col("y") == F.col("b.id")) & _plausible(similarity))
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _candidates(members: DataFrame, step: int, similarity: Similarity) -> DataFrame:
+    """Pairs not yet connected, of members ranked above ``step`` to ``2 * step`` with later ones of the same entry."""
     a, b = members.alias("a"), members.alias("b")
-    sizes = F.col("a.n_shingles") + F.col("b.n_shingles")
-    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SKETCH), F.lit(0))
-    smaller = F.least("a.n_shingles", "b.n_shingles") * 100
     later = (
         (F.col("a.signature") == F.col("b.signature"))
         & (F.col("b.rank") > F.col("a.rank"))
         & (F.col("a.component") != F.col("b.component"))
-        & (smaller >= similarity.percent * F.greatest("a.n_shingles", "b.n_shingles"))
-        & (differ * (100 + similarity.percent) <= (100 - similarity.percent) * sizes)
+        & _plausible(similarity)
     )
     firsts = a.filter((F.col("a.rank") > step) & (F.col("a.rank") <= 2 * step))
     pairs = firsts.join(b.filter(F.col("b.rank") > step), later)
@@ -307,9 +316,7 @@ def similar_documents(
     sets = rows.join(members.select("id").distinct(), "id").mapInArrow(_sets(similarity.n), SETS)
     sets = landed(sets, "sets")
 
-    star = members.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-    star = star.distinct()
-    tested = [landed(star, "pairs")]
+    tested = [landed(_with_first(members, nodes, similarity), "pairs")]
     links = [landed(similar(tested[0], sets, similarity), "links")]
     labels = landed(connected_components(links[0]), "labels")
     rank = F.row_number().over(Window.partitionBy("signature").orderBy(F.col("id") != F.col("pivot"), "id"))
