@@ -74,9 +74,9 @@ def _anchors(window: int):
             settled = times[group] > 1
             other = np.ones(len(at), dtype=bool)
             other[first] = False  # seen to be repeated here, and represented by the first of its kind
-            keys[other] = mixed(keys[other] + np.flatnonzero(other).astype(U64))
             ids = _ids(batch)[text[at]]
-            yield record_batch(ANCHORS, [keys.view(np.int64), ids, place[at], settled])
+            keys[other] = mixed(ids[other].astype(U64))  # dealt out by document
+            yield record_batch(ANCHORS, [(keys >> U64(16)).view(np.int64), ids, place[at], settled])
 
     return run
 
@@ -110,7 +110,7 @@ def _windows(window: int):
             of = np.maximum.accumulate(np.where(leads, np.arange(len(keys)), 0))
             settled = (ids > ids[of]) | (start > start[of])
             again = ~leads & ~settled  # the same place of a repeated id
-            keys[settled] = mixed(keys[settled] + np.flatnonzero(settled).astype(U64))
+            keys[settled], checks[settled] = mixed(ids[settled].astype(U64)), U64(0)  # dealt out by document
             keep = ~again
             yield record_batch(
                 WINDOWS, [keys.view(np.int64)[keep], checks.view(np.int64)[keep], ids[keep], start[keep], settled[keep]]
