@@ -34,6 +34,7 @@ from tidemark.llm.words import U64, byte_values, mixed, span_hashes, text_buffer
 
 FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500 times a document's mean number
 SPARE = 0.25  # segments beyond those the pigeonhole needs
+PIVOT_ORDERS = 4
 NULL_ID = -(1 << 63)
 SKETCH = [f"s{i}" for i in range(8)]
 TABLES = schema(
@@ -307,8 +308,8 @@ def similar_documents(
     nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
     entries = signed.join(first, ["id", *key]).select("id", F.explode("signatures").alias("signature"))
     entries = landed(entries, "entries")
-    # The first of an entry is chosen by an order of its own, so a document meets many others, not one over and over.
-    mask = F.xxhash64("signature")
+    # The first of an entry is chosen by one of a few orders: enough firsts to meet a similar one, few pairs in large groups.
+    mask = F.xxhash64(F.pmod("signature", F.lit(PIVOT_ORDERS)))
     pivot = F.min(F.col("id").bitwiseXOR(mask)).alias("pivot")
     shared = entries.groupBy("signature").agg(pivot, F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = shared.select("signature", F.col("pivot").bitwiseXOR(mask).alias("pivot"))
