@@ -34,7 +34,6 @@ from tidemark.llm.words import U64, byte_values, mixed, span_hashes, text_buffer
 
 FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500 times a document's mean number
 SPARE = 0.25  # segments beyond those the pigeonhole needs
-PIVOT_ORDERS = 4
 NULL_ID = -(1 << 63)
 SKETCH = [f"s{i}" for i in range(8)]
 TABLES = schema(
@@ -308,11 +307,8 @@ def similar_documents(
     nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
     entries = signed.join(first, ["id", *key]).select("id", F.explode("signatures").alias("signature"))
     entries = landed(entries, "entries")
-    # The first of an entry is chosen by one of a few orders: enough firsts to meet a similar one, few pairs in large groups.
-    mask = F.xxhash64(F.pmod("signature", F.lit(PIVOT_ORDERS)))
-    pivot = F.min(F.col("id").bitwiseXOR(mask)).alias("pivot")
-    shared = entries.groupBy("signature").agg(pivot, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = shared.select("signature", F.col("pivot").bitwiseXOR(mask).alias("pivot"))
+    shared = entries.groupBy("signature").agg(F.min("id").alias("pivot"), F.max("id").alias("top"))
+    shared = shared.filter("pivot <> top").select("signature", "pivot")
     members = landed(entries.join(shared, "signature"), "members")
     sets = rows.join(members.select("id").distinct(), "id").mapInArrow(_sets(similarity.n), SETS)
     sets = landed(sets, "sets")
@@ -327,14 +323,16 @@ def similar_documents(
         more = _candidates(open_members, step, similarity)
         for done in tested:
             more = more.join(done, ["a", "b"], "left_anti")
-        tested.append(landed(more, "pairs"))
+        more, step = landed(more, "pairs"), 2 * step
+        if not more.head(1):
+            continue
+        tested.append(more)
         links.append(landed(similar(tested[-1], sets, similarity), "links"))
         every = links[0]
         for found_links in links[1:]:
             every = every.unionByName(found_links)
         labels = landed(connected_components(every), "labels")
         open_members = landed(_split(_labelled(open_members, labels)), "unresolved")
-        step *= 2
 
     out = profiles.join(classes.select("class_id", *key), key, "left").join(labels, F.col("class_id") == F.col("node"), "left")
 
