@@ -34,8 +34,9 @@ from tidemark.llm.words import U64, byte_values, mixed, span_hashes, text_buffer
 
 FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500 times a document's mean number
 SPARE = 0.25  # segments beyond those the pigeonhole needs
+ROUND = 16  # how many times more members of an entry each round compares with the others
 NULL_ID = -(1 << 63)
-SKETCH = [f"s{i}" for i in range(8)]
+SKETCH = [f"s{i}" for i in range(4)]
 TABLES = schema(
     "id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long, "
     + ", ".join(f"{s} long" for s in SKETCH)
@@ -71,9 +72,9 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams in each of 512 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
-    cells = (mixed(shingles ^ U64(0x3D)) & U64(511)).astype(np.int64)
-    odd = (np.bincount(cells, minlength=512) & 1).astype(np.uint8)
+    """Parity of the n-grams in each of 256 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
+    cells = (mixed(shingles ^ U64(0x3D)) & U64(255)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=256) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -196,7 +197,7 @@ def _profile(n: int):
 
 def _counted(counts: dict[int, int]) -> pa.RecordBatch:
     none = [None] * len(counts)
-    batch = record_batch(TABLES, [none, none, none, none, list(counts), list(counts.values()), *[none] * 8])
+    batch = record_batch(TABLES, [none, none, none, none, list(counts), list(counts.values()), *[none] * len(SKETCH)])
     counts.clear()
     return batch
 
@@ -262,8 +263,9 @@ def _with_first(members: DataFrame, nodes: DataFrame, similarity: Similarity) ->
     return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _candidates(members: DataFrame, step: int, similarity: Similarity) -> DataFrame:
-    """Pairs not yet connected, of members ranked above ``step`` to ``2 * step`` with later ones of the same entry."""
+def _candidates(members: DataFrame, nodes: DataFrame, step: int, similarity: Similarity) -> DataFrame:
+    """Pairs not yet connected, of members ranked above ``step`` to ``ROUND * step`` with later ones of the same entry."""
+    members = members.join(nodes, "id")
     a, b = members.alias("a"), members.alias("b")
     later = (
         (F.col("a.signature") == F.col("b.signature"))
@@ -271,7 +273,7 @@ def _candidates(members: DataFrame, step: int, similarity: Similarity) -> DataFr
         & (F.col("a.component") != F.col("b.component"))
         & _plausible(similarity)
     )
-    firsts = a.filter((F.col("a.rank") > step) & (F.col("a.rank") <= 2 * step))
+    firsts = a.filter((F.col("a.rank") > step) & (F.col("a.rank") <= ROUND * step))
     pairs = firsts.join(b.filter(F.col("b.rank") > step), later)
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
@@ -317,13 +319,13 @@ def similar_documents(
     links = [landed(similar(tested[0], sets, similarity), "links")]
     labels = landed(connected_components(links[0]), "labels")
     rank = F.row_number().over(Window.partitionBy("signature").orderBy(F.col("id") != F.col("pivot"), "id"))
-    open_members = _split(_labelled(members, labels)).withColumn("rank", rank).join(nodes, "id")
+    open_members = _split(_labelled(members, labels)).withColumn("rank", rank).drop("pivot")
     open_members, step = landed(open_members, "unresolved"), 1
     while open_members.filter(F.col("rank") > step).head(1):
-        more = _candidates(open_members, step, similarity)
+        more = _candidates(open_members, nodes, step, similarity)
         for done in tested:
             more = more.join(done, ["a", "b"], "left_anti")
-        more, step = landed(more, "pairs"), 2 * step
+        more, step = landed(more, "pairs"), ROUND * step
         if not more.head(1):
             continue
         tested.append(more)
