@@ -36,7 +36,7 @@ FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500
 SPARE = 0.25  # segments beyond those the pigeonhole needs
 ROUND = 16  # how many times more members of an entry each round compares with the others
 NULL_ID = -(1 << 63)
-SKETCH = [f"s{i}" for i in range(4)]
+SKETCH = [f"s{i}" for i in range(16)]
 TABLES = schema(
     "id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long, "
     + ", ".join(f"{s} long" for s in SKETCH)
@@ -72,9 +72,9 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams in each of 256 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
-    cells = (mixed(shingles ^ U64(0x3D)) & U64(255)).astype(np.int64)
-    odd = (np.bincount(cells, minlength=256) & 1).astype(np.uint8)
+    """Parity of the n-grams in each of 1,024 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
+    cells = (mixed(shingles ^ U64(0x3D)) & U64(1023)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=1024) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
