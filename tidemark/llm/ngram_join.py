@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,13 +36,14 @@ FREQUENT_SHARE = 1 / 500  # of all documents; bounds the frequent n-grams by 500
 SPARE = 0.25  # segments beyond those the pigeonhole needs
 ROUND = 16  # how many times more members of an entry each round compares with the others
 NULL_ID = -(1 << 63)
-SKETCH = [f"s{i}" for i in range(16)]
+CELLS = 1024  # of the sketch each set has; long sets have a finer one beside their n-grams
+SKETCH = [f"s{i}" for i in range(CELLS // 64)]
 TABLES = schema(
     "id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long, "
     + ", ".join(f"{s} long" for s in SKETCH)
 )
 SIGNATURES = schema("id long, digest_1 long, digest_2 long, signatures array<long>")
-SETS = schema("id long, shingles array<long>")
+SETS = schema("id long, n_shingles long, fine array<long>, shingles array<long>")
 VALUES = byte_values(21, fold_case=True)
 
 
@@ -71,13 +72,18 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([one, two], dtype=U64).view(np.int64))
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams in each of 1,024 cells. Two sets differ in at least as many n-grams as their sketches in bits."""
-    cells = (mixed(shingles ^ U64(0x3D)) & U64(1023)).astype(np.int64)
-    odd = (np.bincount(cells, minlength=1024) & 1).astype(np.uint8)
+def sketch(shingles: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Parity of the n-grams in each cell. Two sets differ in at least as many n-grams as their sketches in bits."""
+    cell = (mixed(shingles ^ U64(0x3D)) & U64(cells - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def fine_cells(size: int) -> int:
+    """Cells that tell a set of this size from dissimilar ones: a power of two, one cell per n-gram at least."""
+    return max(CELLS, 1 << (size - 1).bit_length())
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Jaccard of at least ``percent`` / 100 over word ``n``-grams."""
@@ -208,9 +214,7 @@ def _signed(similarity: Similarity, allocations: dict[int, Allocation], frequent
             sets = shingle_sets(batch.column("text"), similarity.n)
             one, two = zip(*(digest(s) for s in sets), strict=True)
             entries = [signatures(s, similarity, allocations, frequent) for s in sets]
-            borders = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(entries)))
-            yield record_batch(SIGNATURES, [batch.column("id"), list(one), list(two), lists])
+            yield record_batch(SIGNATURES, [batch.column("id"), list(one), list(two), _lists(entries)])
 
     return run
 
@@ -219,20 +223,46 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
             sets = shingle_sets(batch.column("text"), n)
-            borders = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(sets).view(np.int64)))
-            yield record_batch(SETS, [batch.column("id"), lists])
+            sizes = [len(s) for s in sets]
+            fine = _lists([sketch(s, fine_cells(n)) for s, n in zip(sets, sizes, strict=True)])
+            yield record_batch(SETS, [batch.column("id"), sizes, fine, _lists([s.view(np.int64) for s in sets])])
 
     return run
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    borders = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(rows)))
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of both ends, as ``<column>_a`` and ``<column>_b``."""
+    left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _folded(fine: Column, words: Column) -> Column:
+    """A sketch of twice as many cells brought to ``words`` words; similar sets differ by one doubling at most."""
+    halves = F.zip_with(F.slice(fine, F.lit(1), words), F.slice(fine, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(fine) > words, halves).otherwise(fine)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) that are similar, decided on the whole sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    both = pairs.join(right, "b").join(left, "a")
+    """Those of ``pairs`` (``a``, ``b``) that are similar, decided on the whole sets.
+
+    Sketches that grow with the set, a bit or two per n-gram, rule out most others before any whole set is moved.
+    """
+    words = F.least(F.size("fine_a"), F.size("fine_b"))
+    bits = F.zip_with(
+        _folded(F.col("fine_a"), words), _folded(F.col("fine_b"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    )
+    differ = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    allowed = (100 - similarity.percent) * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    near = _with_both(pairs, sets, "n_shingles", "fine").filter(differ * (100 + similarity.percent) <= allowed)
+    both = _with_both(near.select("a", "b"), sets, "shingles")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    union = F.size("shingles_a") + F.size("shingles_b") - common
     return both.filter(100 * common >= similarity.percent * union).select("a", "b")
 
 
