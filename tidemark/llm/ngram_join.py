@@ -42,7 +42,8 @@ TABLES = schema(
     "id long, n_shingles long, digest_1 long, digest_2 long, shingle long, documents long, "
     + ", ".join(f"{s} long" for s in SKETCH)
 )
-SIGNATURES = schema("id long, digest_1 long, digest_2 long, signatures array<long>")
+SIGNATURES = schema("digest_1 long, signature long")
+SEEN = 1_000_000  # digests a task remembers so as to index equal sets once; more only cost repeated entries
 SETS = schema("id long, n_shingles long, fine array<long>, shingles array<long>")
 VALUES = byte_values(21, fold_case=True)
 
@@ -210,11 +211,20 @@ def _counted(counts: dict[int, int]) -> pa.RecordBatch:
 
 def _signed(similarity: Similarity, allocations: dict[int, Allocation], frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in byte_batches(batches, "text"):
-            sets = shingle_sets(batch.column("text"), similarity.n)
-            one, two = zip(*(digest(s) for s in sets), strict=True)
-            entries = [signatures(s, similarity, allocations, frequent) for s in sets]
-            yield record_batch(SIGNATURES, [batch.column("id"), list(one), list(two), _lists(entries)])
+            new = {}
+            for one in shingle_sets(batch.column("text"), similarity.n):
+                new.setdefault(digest(one), one)
+            sets = {d: one for d, one in new.items() if d not in seen}
+            if not sets:
+                continue
+            entries = [signatures(one, similarity, allocations, frequent) for one in sets.values()]
+            owners = np.repeat(np.array([d[0] for d in sets], dtype=np.int64), [len(e) for e in entries])
+            yield record_batch(SIGNATURES, [owners, np.concatenate(entries)])
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(sets)
 
     return run
 
@@ -334,14 +344,17 @@ def similar_documents(
     wanted = {b + i for b in held for i in (-1, 0, 1, 2) if b + i >= 0}
     allocations = {b: allocate(similarity, b, held.get(b, 0), share) for b in wanted}
 
-    signed = rows.mapInArrow(_signed(similarity, allocations, frequent), SIGNATURES)
-    first = classes.select(F.col("class_id").alias("id"), *key)
+    signed = landed(rows.mapInArrow(_signed(similarity, allocations, frequent), SIGNATURES), "signatures")
     nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
-    entries = signed.join(first, ["id", *key]).select("id", F.explode("signatures").alias("signature"))
-    entries = landed(entries, "entries")
-    shared = entries.groupBy("signature").agg(F.min("id").alias("pivot"), F.max("id").alias("top"))
-    shared = shared.filter("pivot <> top").select("signature", "pivot")
-    members = landed(entries.join(shared, "signature"), "members")
+    # All entries are shuffled once: both sides of the join read the same exchange. Sets go by half of their digest, as
+    # the class id is not known yet; two sets that share that half are only compared once more.
+    entries = signed.repartition("signature")
+    shared = entries.groupBy("signature").agg(F.min("digest_1").alias("lo"), F.max("digest_1").alias("hi"))
+    shared = entries.join(shared.filter("lo <> hi").select("signature"), "signature").distinct()
+    named = shared.join(classes.select(F.col("class_id").alias("id"), "digest_1"), "digest_1")
+    named = landed(named.select("signature", "id").distinct(), "entries")
+    pivots = named.groupBy("signature").agg(F.min("id").alias("pivot"))
+    members = landed(named.join(pivots, "signature"), "members")
     sets = rows.join(members.select("id").distinct(), "id").mapInArrow(_sets(similarity.n), SETS)
     sets = landed(sets, "sets")
 
