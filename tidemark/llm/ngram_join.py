@@ -348,7 +348,8 @@ def similar_documents(
     nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
     # All entries are shuffled once: both sides of the join read the same exchange. Sets go by half of their digest, as
     # the class id is not known yet; two sets that share that half are only compared once more.
-    entries = signed.repartition("signature")
+    present = signed.filter("digest_1 IS NOT NULL AND signature IS NOT NULL")  # stated, so that both sides have the same plan
+    entries = present.repartition("signature")
     shared = entries.groupBy("signature").agg(F.min("digest_1").alias("lo"), F.max("digest_1").alias("hi"))
     shared = entries.join(shared.filter("lo <> hi").select("signature"), "signature").distinct()
     named = shared.join(classes.select(F.col("class_id").alias("id"), "digest_1"), "digest_1")
