@@ -3,8 +3,8 @@
 Documents become runs of token ids; one longer than a sequence is cut into full sequences, its first piece
 taking the remainder. Only remainders need packing. They are dealt by hash into partitions of bounded size; each
 is packed best-fit decreasing and compared with a lower bound from dual feasible functions. A partition
-that meets its bound is done. The others hand the documents of their unfilled sequences to a common pool, which is
-dealt anew into fewer partitions and packed again, as long as that saves sequences.
+that meets its bound is done but for its emptiest sequence. The others hand the documents of their unfilled sequences to a common pool, which is
+dealt anew into fewer, larger partitions and packed again; a round that saves no sequence is not taken.
 
 Null and empty texts are a single end token. Rows are told apart by their place in the input, so repeated ids are
 packed as separate documents. No documents: no rows.
@@ -135,6 +135,7 @@ def _pack(capacity: int):
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         gap = len(room) - lower_bound(lengths, capacity)
         closed = (room == 0) | (gap == 0)  # certified, or nothing to gain from this sequence
+        closed[np.argmax(room)] = room.max() == 0  # a bound per partition rounds up, so its emptiest may still be saved
         return items.assign(bin=bins, offset=offsets, closed=closed[bins], saved=gap)[PLACED.fieldNames()]
 
     return run
@@ -160,10 +161,11 @@ def pack_items(items: DataFrame, capacity: int, per_partition: int, rounds: int)
         old = open_items.agg(F.count_distinct("part", "bin"), F.count("*"), F.sum("length")).first()
         if not old[0] or old[0] <= -(-old[2] // capacity):
             break  # certified: no packing of the pool needs fewer
-        dealt = _dealt(open_items, -(-old[1] // (2 * per_partition)) or 1, round_no)
+        larger = min(per_partition << round_no, BINS // 8)  # a wider choice of partners, still bounded
+        dealt = _dealt(open_items, -(-old[1] // larger) or 1, round_no)
         again = landed(dealt.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
         if again.agg(F.count_distinct("part", "bin")).first()[0] >= old[0]:
-            break
+            continue
         done.append(placed.filter("closed"))
         placed = again
     for more in done:
