@@ -45,6 +45,53 @@ def test_a_hot_key_whose_records_share_one_instant_or_none(spark, times):
     assert found(got) == intervals(CUSTOMERS, rows)
 
 
+def awkward(spark):
+    """Records with null keys and times, exact copies, and copies that differ in one column."""
+    rng = random.Random(9)
+    rows = [
+        record(CUSTOMERS, rng.randrange(4), rng.randrange(6), rng.randrange(3), "u", updated_by=rng.randrange(2))
+        for _ in range(300)
+    ]
+    df = staged(spark, CUSTOMERS, rows)
+    chance = F.xxhash64(F.monotonically_increasing_id()) % 100
+    return df.withColumn("customer_id", F.when(chance < 90, F.col("customer_id"))).withColumn(
+        "cdc_source_ts_ms", F.when(chance > -90, F.col("cdc_source_ts_ms"))
+    )
+
+
+def whole_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("hot", [[0], [1, 3], [0, 1, 2, 3, 99]], ids=str)
+def test_sliced_and_plain_intervals_agree_on_nulls_copies_and_ties(spark, hot):
+    df = awkward(spark)
+    plain = history.with_intervals(df, CUSTOMERS, hot=[])
+    assert whole_rows(history.with_intervals(df, CUSTOMERS, hot=hot)) == whole_rows(plain)
+    dated = df.filter("customer_id IS NOT NULL AND cdc_source_ts_ms IS NOT NULL")
+    open_rows = history.with_intervals(dated, CUSTOMERS, hot=hot).groupBy("customer_id").agg(F.sum("is_current"))
+    assert {tuple(r) for r in open_rows.collect()} == {(k, 1) for k in range(4)}
+
+
+@pytest.mark.parametrize("hot", [[0], [0, 1, 2, 3]], ids=str)
+def test_sliced_and_plain_as_of_joins_agree_on_nulls_copies_and_ties(spark, hot):
+    versions = awkward(spark)
+    facts = versions.select("customer_id", (F.col("cdc_source_ts_ms") + 1).alias("at"))
+    args = (facts, versions, CUSTOMERS, "at", ["updated_by", "cdc_op", "cdc_source_ts_ms"])
+    plain = history.as_of_join(*args, hot=[])
+    assert whole_rows(history.as_of_join(*args, hot=hot)) == whole_rows(plain)
+
+
+def test_an_empty_table_has_no_hot_keys(spark):
+    assert hot_keys(spark.range(0), "id") == []
+
+
+def test_too_many_keys_to_cut_are_refused(spark):
+    points = spark.range(4).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    with pytest.raises(ValueError):
+        time_cuts(points, "k", "t", 60_000)
+
+
 def test_open_end_and_ties(spark):
     rows = [record(CUSTOMERS, 1, ts, n, updated_by=n) for n, ts in enumerate([5, 5, 9])]
     got = history.with_intervals(staged(spark, CUSTOMERS, rows), CUSTOMERS, hot=[]).collect()

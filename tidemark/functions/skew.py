@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1_000  # bounds what reaches the driver and what is broadcast
-TRACKED_KEYS = 16_384  # size of the sketch; its error is a small part of 1/MAX_HOT_KEYS of the rows
+TRACKED_KEYS = 16_384  # least size of the sketch, which has 16 places per shuffle partition
+MOST_TRACKED = 1_000_000  # what Spark allows
+MERGE_GROUPS = 1_000  # sketches are merged in this many groups first
 MIN_HOT_ROWS = 1_000_000  # a task sorts this many rows with ease
 MAX_CUTS = 100_000  # over all hot keys; bounds what is broadcast about their slices
 
@@ -18,15 +19,31 @@ MAX_CUTS = 100_000  # over all hot keys; bounds what is broadcast about their sl
 def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     """Keys holding more rows than an average shuffle partition, largest first.
 
-    A mergeable sketch finds them in one scan of the key column, without a shuffle. The answer only
+    No more keys than there are partitions can do so, and that many are asked for. Mergeable sketches find
+    them in one scan of the key column: one per map task, merged in groups and then all together. The answer only
     steers how rows are spread over tasks; results are the same whatever it says.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(MOST_TRACKED, max(TRACKED_KEYS, 16 * tasks))
+    groups = max(1, min(MERGE_GROUPS, tasks // 4))
+    part = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_part")
+    sketches = df.groupBy(part).agg(
+        F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("_sketch"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    merged = f"approx_top_k_combine(_sketch, {tracked})"
+    # One group rather than none: combining fails on a task without sketches, which a grouped aggregate never makes.
+    found = (
+        sketches.groupBy((F.col("_part") * 0).alias("_all"))
+        .agg(
+            F.expr(f"approx_top_k_estimate({merged}, {min(tasks, tracked)})").alias("top"),
+            F.sum("_rows").alias("total"),
+        )
+        .first()
+    )
+    if found is None:
+        return []
     floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    found = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {MAX_HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
-        F.count(F.lit(1)).alias("total"),
-    ).first()
     limit = max(floor, found["total"] / tasks)
     return [t["item"] for t in found["top"] or [] if t["item"] is not None and t["count"] > limit]
 
@@ -40,6 +57,8 @@ def time_cuts(rows: DataFrame, key: str, order: str, keys: int) -> DataFrame:
     """
     spark = rows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if 2 * keys > MAX_CUTS:
+        raise ValueError(f"{keys} keys are too many to cut; at most {MAX_CUTS // 2}")
     parts = max(2, min(tasks, MAX_CUTS // max(1, keys)))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     found = rows.groupBy(key).agg(F.percentile_approx(order, shares).alias("_cuts"))

@@ -27,13 +27,15 @@ def with_intervals(
     """Each version with ``valid_from``, ``valid_to`` and ``is_current``.
 
     A version ends when the next one of its key starts, in event time, whatever order they arrived in.
-    Versions that record a delete are kept unless ``include_deleted`` is false. (key, version, seq)
-    must be unique. ``hot`` overrides the detection of keys too large for one task.
+    Versions that record a delete are kept unless ``include_deleted`` is false. Records of one (key,
+    version, seq) are ordered by their other columns, and of equal copies one is the last. Records without
+    a key are one group, which is never cut. ``hot`` overrides the detection of keys too large for one task;
+    it changes how rows are spread, not the result.
     """
     records = history.select(*entity.columns, SEQ)
     hot = hot_keys(records, entity.key) if hot is None else list(hot)
     if hot:
-        is_hot = F.col(entity.key).isin(hot)
+        is_hot = F.coalesce(F.col(entity.key).isin(hot), F.lit(False))
         ends = _next_start(records.filter(~is_hot), entity).unionByName(
             _next_start_sliced(records.filter(is_hot), entity, len(hot))
         )
@@ -49,8 +51,13 @@ def with_intervals(
     return out if include_deleted else out.filter(F.col("cdc_deleted") == 0)
 
 
+def _position(entity: Entity) -> list[str]:
+    """Columns that order the records of one key and version."""
+    return [SEQ, *[c for c in entity.columns if c not in (entity.key, VERSION)]]
+
+
 def _next_start(records: DataFrame, entity: Entity) -> DataFrame:
-    in_order = Window.partitionBy(entity.key).orderBy(VERSION, SEQ)
+    in_order = Window.partitionBy(entity.key).orderBy(VERSION, *_position(entity))
     return records.withColumn("_next", F.lead(VERSION).over(in_order)).drop(SEQ)
 
 
@@ -59,10 +66,12 @@ def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFra
 
     Only distinct (key, version) points are ordered, in slices of time. The last point of a slice
     takes the first one of the next slice. Records then look their point up; those tied on a point
-    end where they start, except the last of them.
+    end where they start, except the last of them. Equal copies are counted into one row before that.
     """
     key = entity.key
-    points = records.groupBy(key, VERSION).agg(F.max(SEQ).alias("_last_seq"))
+    position = F.struct(*_position(entity))
+    distinct = records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    points = records.groupBy(key, VERSION).agg(F.max(position).alias("_last"))
     cuts = time_cuts(records, key, VERSION, keys)
     sliced = with_time_slices(points, key, VERSION, cuts)
     following = (
@@ -74,14 +83,21 @@ def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFra
     in_slice = Window.partitionBy(key, "_slice").orderBy(VERSION)
     resolved = (
         sliced.withColumn("_within", F.lead(VERSION).over(in_slice))
-        .join(F.broadcast(following), [key, "_slice"])
-        .select(key, VERSION, "_last_seq", F.coalesce("_within", "_after").alias("_point_next"))
+        .join(following, [key, "_slice"])
+        .select(
+            F.col(key).alias("_key"),
+            F.col(VERSION).alias("_version"),
+            "_last",
+            F.coalesce("_within", "_after").alias("_point_next"),
+        )
     )
-    return records.join(resolved, [key, VERSION]).select(
-        *entity.columns,
-        F.when(F.col(SEQ) < F.col("_last_seq"), F.col(VERSION))
-        .otherwise(F.col("_point_next"))
-        .alias("_next"),
+    at_point = (F.col(key) == F.col("_key")) & F.col(VERSION).eqNullSafe(F.col("_version"))
+    copies = distinct.join(resolved, at_point).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    )
+    is_last = position.eqNullSafe(F.col("_last")) & (F.col("_copy") == F.col("_copies"))
+    return copies.select(
+        *entity.columns, F.when(is_last, F.col("_point_next")).otherwise(F.col(VERSION)).alias("_next")
     )
 
 
@@ -137,11 +153,13 @@ def as_of_join(
 
     Left join: facts without a version (no key, unknown key, too early) get nulls. Facts and versions
     are merged into one time order per key and each fact takes the last version before it. Work grows
-    with facts plus versions, never with their product.
+    with facts plus versions, never with their product. Versions without a time are never in force; of
+    several with one time the last by ``seq``, then by ``columns``, is.
     """
     key = entity.key
     dim = F.struct(*columns)
     keyed = facts.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    versions = versions.filter(F.col(VERSION).isNotNull() & F.col(key).isNotNull())
     versions = versions.select(*dict.fromkeys([key, VERSION, SEQ, *columns]))
     no_dim = F.lit(None).cast(versions.select(dim.alias("d")).schema["d"].dataType)
     if hot is None:
@@ -181,7 +199,7 @@ def _last_before(facts: DataFrame, versions: DataFrame, key: str, at: str, dim)
     )
     so_far = (
         Window.partitionBy("_key")
-        .orderBy("_at", "_kind", "_seq")
+        .orderBy("_at", "_kind", "_seq", "_dim")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
@@ -196,26 +214,27 @@ def _last_before_sliced(
 ) -> DataFrame:
     """:func:`_last_before` for keys whose rows do not fit one task.
 
-    Distinct instants of facts and versions are ordered in slices of time; a slice starts from the
-    last version of the slices before it. Facts then look their instant up.
+    Distinct instants of facts and versions are ordered in slices of time; a slice starts from the time of
+    the last version before it. Facts look up the time of the version in force at their instant,
+    and then that version.
     """
-    last_at_instant = versions.groupBy(key, F.col(VERSION).alias("_at")).agg(
+    last_at_instant = versions.groupBy(F.col(key).alias("_key"), F.col(VERSION).alias("_from")).agg(
         F.max(F.struct(F.col(SEQ), dim.alias("_dim"))).alias("_v")
     )
-    instants = facts.groupBy(key, F.col(at).alias("_at")).agg(F.lit(1).alias("_asked"))
-    points = instants.join(last_at_instant, [key, "_at"], "full_outer").select(
-        key, "_at", "_asked", F.col("_v._dim").alias("_dim")
+    last_at_instant = last_at_instant.select("_key", "_from", F.col("_v._dim").alias("_dim"))
+    moments = facts.select(key, F.col(at).alias("_at"), F.lit(None).cast("bigint").alias("_from")).unionByName(
+        versions.select(key, F.col(VERSION).alias("_at"), F.col(VERSION).alias("_from"))
     )
-    moments = facts.select(key, F.col(at).alias("_at")).unionByName(
-        versions.select(key, F.col(VERSION).alias("_at"))
+    points = moments.groupBy(key, "_at").agg(
+        F.max("_from").alias("_from"), F.max(F.col("_from").isNull()).alias("_asked")
     )
     cuts = time_cuts(moments, key, "_at", keys)
     sliced = with_time_slices(points, key, "_at", cuts)
     up_to_here = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.groupBy(key, "_slice")
-        .agg(F.max_by("_dim", F.when(F.col("_dim").isNotNull(), F.col("_at"))).alias("_last"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(up_to_here))
+        .agg(F.max("_from").alias("_latest"))
+        .withColumn("_carry", F.max("_latest").over(up_to_here))
         .select(key, "_slice", "_carry")
     )
     so_far = (
@@ -224,12 +243,11 @@ def _last_before_sliced(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     answers = (
-        sliced.withColumn("_within", F.last("_dim", ignorenulls=True).over(so_far))
-        .filter(F.col("_asked") == 1)
-        .join(F.broadcast(carried), [key, "_slice"])
-        .select(
-            F.col(key).alias("_key"), "_at", F.coalesce("_within", "_carry").alias("_dim")
-        )
+        sliced.withColumn("_within", F.max("_from").over(so_far))
+        .filter("_asked")
+        .join(carried, [key, "_slice"])
+        .select(F.col(key).alias("_key"), "_at", F.coalesce("_within", "_carry").alias("_from"))
+        .join(last_at_instant, ["_key", "_from"], "left")
     )
     found = (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_at"))
     return facts.join(answers, found).select(*facts.columns, "_dim")
