@@ -211,8 +211,8 @@ def operational(spark: SparkSession, sf_dir: str, settled: bool = True) -> Table
     """The four operational tables of the batch path.
 
     With ``settled`` orders have their final status and carry another creator, so that a second
-    cycle changes what the first one stored. Products whose key is a multiple of 97 and customers
-    whose key is a multiple of 50 are missing.
+    cycle changes what the first one stored. Tables are whole; some orders point at customers, and some
+    items at products, that do not exist (negative ids).
     """
     k = F.col("o_orderkey")
     day = F.date_add(F.col("o_orderdate").cast("date"), SHIFT_DAYS)
@@ -220,7 +220,7 @@ def operational(spark: SparkSession, sf_dir: str, settled: bool = True) -> Table
     creator = F.lit(99).cast("bigint") if settled else F.when(k % 13 != 0, k % 10)
     orders = table(spark, sf_dir, "orders").select(
         k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
+        _astray(F.col("o_custkey"), 50).alias("customer_id"),
         day.alias("order_date"),
         F.when(k % 23 != 0, F.date_add(day, LEAD_DAYS)).alias("delivery_date"),
         status.alias("status"),
@@ -230,14 +230,14 @@ def operational(spark: SparkSession, sf_dir: str, settled: bool = True) -> Table
         F.when(k % 17 != 0, k % 10).alias("updated_by"),
     )
     c = F.col("c_custkey")
-    customers = table(spark, sf_dir, "customer").filter(c % 50 != 0).select(
+    customers = table(spark, sf_dir, "customer").select(
         c.alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         (c % 3 != 0).alias("is_active"),
         F.col("c_mktsegment").alias("customer_address"),
     )
     p = F.col("p_partkey")
-    products = table(spark, sf_dir, "part").filter(p % 97 != 0).select(
+    products = table(spark, sf_dir, "part").select(
         p.alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_brand").alias("barcode"),
@@ -247,6 +247,7 @@ def operational(spark: SparkSession, sf_dir: str, settled: bool = True) -> Table
         {
             "created_at": F.col("created_at").cast("timestamp_ntz") + _later(settled),
             "updated_at": F.col("updated_at").cast("timestamp_ntz"),
+            "product_id": _astray(F.col("product_id"), 97),
         }
     )
     if settled:
@@ -254,6 +255,11 @@ def operational(spark: SparkSession, sf_dir: str, settled: bool = True) -> Table
     return Tables(orders, items, customers, products)
 
 
+def _astray(key: Column, every: int) -> Column:
+    """The key, or for each ``every``-th one an id that no parent has."""
+    return F.when(key % every == 0, -key).otherwise(key)
+
+
 def _later(settled: bool) -> Column:
     """A settled row claims another creation time, which an upsert must not store."""
     return F.expr("INTERVAL 1 DAY" if settled else "INTERVAL 0 DAY")

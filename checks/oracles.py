@@ -162,6 +162,7 @@ for _e in _E:
     ORACLES[f"stage_{_e}"] = _with(_staged(_e), f"SELECT * EXCLUDE (seq) FROM stg_{_e}")
     ORACLES[f"current_{_e}"] = _with(_current(_e), f"SELECT * FROM cur_{_e}")
     ORACLES[f"scd2_{_e}"] = _with(_scd2(_e), f"SELECT * FROM scd2_{_e}")
+ORACLES["scd2_order_items_sliced"] = ORACLES["scd2_order_items"]
 
 for _name in ("current_orders_rownum", "late_event_order", "stream_current_orders"):
     ORACLES[_name] = ORACLES["current_orders"]
@@ -344,7 +345,8 @@ def _source(name: str, settled: bool) -> str:
         "CAST(99 AS BIGINT)" if settled else "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 10 END"
     )
     return f"""{name} AS (
-  SELECT o_orderkey AS order_id, o_custkey AS customer_id,
+  SELECT o_orderkey AS order_id,
+    CASE WHEN o_custkey % 50 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id,
     CAST(o_orderdate AS DATE) + 10592 AS order_date,
     CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE) + 10602 END AS delivery_date,
     {status} AS status, o_orderdate{later} AS created_at, o_orderdate AS updated_at,
@@ -356,16 +358,18 @@ def _source(name: str, settled: bool) -> str:
 _PARENTS = """
 src_customers AS (SELECT c_custkey AS customer_id, c_name AS customer_name,
     c_custkey % 3 <> 0 AS is_active, c_mktsegment AS customer_address
-  FROM customer WHERE c_custkey % 50 <> 0),
+  FROM customer),
 src_products AS (SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS barcode,
-    CAST(p_retailprice AS DECIMAL(10,2)) AS unity_price FROM part WHERE p_partkey % 97 <> 0)"""
+    CAST(p_retailprice AS DECIMAL(10,2)) AS unity_price FROM part)"""
 
 
 def _items(name: str, settled: bool) -> str:
     later = " + INTERVAL 1 DAY" if settled else ""
     creator = "CAST(99 AS BIGINT)" if settled else "created_by"
     return f"""{name} AS (
-  SELECT order_item_id, order_id, product_id, quantity, created_at{later} AS created_at, updated_at,
+  SELECT order_item_id, order_id,
+    CASE WHEN product_id % 97 = 0 THEN -product_id ELSE product_id END AS product_id,
+    quantity, created_at{later} AS created_at, updated_at,
     {creator} AS created_by, updated_by FROM cur_order_items)"""
 
 

@@ -27,6 +27,7 @@ AS_OF = L.T0 + 2 * L.DAY + 700
 PERIOD = (L.T0, L.T0 + L.DAY)
 FIRST_CYCLE_UNTIL = datetime(2000, 1, 1)
 CHANGED_SINCE = datetime(1998, 1, 1)
+SLICED_KEYS = 500
 
 QUERIES: dict[str, Query] = {}
 
@@ -45,7 +46,7 @@ def _register(name: str, fn: Query) -> None:
 
 @query
 def cdc_unwrap(spark, sf):
-    messages = L.envelopes(L.log(spark, sf, ORDER_ITEMS), ORDER_ITEMS)
+    messages = L.envelopes(L.spread(L.log(spark, sf, ORDER_ITEMS)), ORDER_ITEMS)
     return cdc.unwrap(messages, ORDER_ITEMS)
 
 
@@ -72,6 +73,13 @@ for _e in ENTITIES:
     )
 
 
+@query
+def scd2_order_items_sliced(spark, sf):
+    """The plan for keys too large for one task, with the keys given."""
+    log = L.staged(spark, sf, ORDER_ITEMS)
+    return H.with_intervals(log, ORDER_ITEMS, hot=range(1, SLICED_KEYS + 1))
+
+
 @query
 def current_orders_rownum(spark, sf):
     return state.live(state.latest_by_rank(L.staged(spark, sf, ORDERS), ORDERS)).select(
@@ -465,7 +473,13 @@ def dq_history_counts(spark, sf):
 
 @query
 def dq_history_ge_current(spark, sf):
-    return quality.history_covers_state({e: L.staged(spark, sf, e) for e in ENTITIES})
+    """Stored history against stored state, both written from one feed."""
+    root = scratch_folder(use_utc(spark), "covers")
+    ingest.land(spark, L.all_messages(spark, sf), 0, root)
+    return quality.history_covers_state(
+        {e: ingest.history(spark, root, e) for e in ENTITIES},
+        {e: ingest.last_records(spark, root, e) for e in ENTITIES},
+    )
 
 
 @query

@@ -186,10 +186,11 @@ def test_export_writes_one_file_with_header_and_skips_empty_reports(spark, tmp_p
     ]
 
 
-def test_long_reports_keep_their_order_over_several_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(exports, "MAX_SINGLE_FILE_ROWS", 10)
+def test_reports_keep_their_order_over_several_files(spark, tmp_path):
     report = spark.range(1_000).repartition(4).orderBy("id")
-    assert exports.write_csv(report, str(tmp_path / "r.csv")) == 1_000
+    assert exports.write_csv(report, str(tmp_path / "one.csv")) == 1_000
+    assert len(list((tmp_path / "one.csv").glob("part-*.csv"))) == 1
+    assert exports.write_csv(report, str(tmp_path / "r.csv"), single_file=False) == 1_000
     parts = sorted((tmp_path / "r.csv").glob("part-*.csv"))
     ids = [int(x) for p in parts for x in p.read_text().splitlines() if x != "id"]
     assert ids == list(range(1_000))

@@ -150,14 +150,17 @@ def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_
     check()
 
 
-def test_old_refreshes_are_dropped(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest, "KEPT_REFRESHES", 2)
+def test_old_refreshes_are_dropped(spark, tmp_path):
     rows = log(spark, ORDERS, [record(ORDERS, 1, 1, 0, "c", status="PENDING", delivery_date=5)])
     ingest.land(spark, to_messages(rows, ORDERS), 0, str(tmp_path), [ORDERS])
-    for cycle in range(4):
+    for cycle in range(3):
         ingest.refresh_marts(spark, str(tmp_path), cycle)
     for name in marts.MARTS:
-        assert committed(spark, str(tmp_path), f"marts/{name}") == [2, 3]
+        assert committed(spark, str(tmp_path), f"marts/{name}") == [0, 1, 2]
+    ingest.refresh_marts(spark, str(tmp_path), 3, keep_seconds=0)
+    for name in marts.MARTS:
+        assert committed(spark, str(tmp_path), f"marts/{name}") == [3]
+    assert committed(spark, str(tmp_path), "snapshot/orders") == []
     assert ingest.mart(spark, str(tmp_path), marts.MARTS[0]).count() == 1
 
 

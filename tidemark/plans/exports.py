@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.plans import batch
 from tidemark.session import together
-
-MAX_SINGLE_FILE_ROWS = 1_000_000  # a longer report is written by many tasks
+from tidemark.sources.tables import drop_folder
 
 # Report names, in export order.
 REPORTS = (
@@ -38,21 +38,20 @@ def batch_reports(
     return {name: plans[name]() for name in REPORTS if name in chosen}
 
 
-def write_csv(report: DataFrame, path: str) -> int:
-    """Write a report with a header; returns its rows. An empty report writes nothing.
+def write_csv(report: DataFrame, path: str, single_file: bool = True) -> int:
+    """Write a report with a header; returns its rows. An empty report leaves nothing at ``path``.
 
-    A report of ordinary size becomes one file. A longer one keeps its parts, whose names follow
-    its order.
+    A report becomes one file, whatever its size. With ``single_file=False`` every task writes its own
+    part, and the names of the parts follow the order of the report.
     """
-    report = report.persist()
-    try:
-        rows = report.count()
-        if rows:
-            out = report.coalesce(1) if rows <= MAX_SINGLE_FILE_ROWS else report
-            out.write.mode("overwrite").option("header", True).csv(path)
-        return rows
-    finally:
-        report.unpersist()
+    seen = Observation()
+    out = report.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out = out.coalesce(1) if single_file else out
+    out.write.mode("overwrite").option("header", True).csv(path)
+    rows = seen.get["rows"]
+    if not rows:
+        drop_folder(report.sparkSession, path)
+    return rows
 
 
 def export_reports(
@@ -62,10 +61,12 @@ def export_reports(
     folder: str,
     selection: Iterable[str] = REPORTS,
     limit: int = 3,
+    single_file: bool = True,
 ) -> DataFrame:
     """Write the chosen reports below ``folder``; the result lists each with its number of rows."""
     chosen = batch_reports(orders, items, selection, limit)
     rows = together(
-        spark, *[partial(write_csv, df, f"{folder}/{name}.csv") for name, df in chosen.items()]
+        spark,
+        *[partial(write_csv, df, f"{folder}/{name}.csv", single_file) for name, df in chosen.items()],
     )
     return spark.createDataFrame(list(zip(chosen, rows, strict=True)), "report string, row_count bigint")

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BATCH = "batch_id"
+WRITTEN = "written_ms"  # when a folder's marker was written
 ROLLED = "from_batch"  # the batch id of a row that was rolled up
 
 
@@ -55,7 +57,8 @@ def _markers(spark: SparkSession, pattern: str) -> list[dict[str, int]]:
     found = []
     for status in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []:
         parts = [p.split("=") for p in status.getPath().toString().split("/") if "=" in p]
-        found.append({name: int(value) for name, value in parts if value.isdigit()})
+        numbers = {name: int(value) for name, value in parts if value.isdigit()}
+        found.append({**numbers, WRITTEN: status.getModificationTime()})
     return found
 
 
@@ -89,10 +92,21 @@ def drop_batches(spark: SparkSession, root: str, table: str, before: int) -> Non
     """Delete the folders of batches below ``before``, which nothing reads any more."""
     for batch_id in committed(spark, root, table):
         if batch_id < before:
-            _delete(spark, batch_path(root, table, batch_id))
+            drop_folder(spark, batch_path(root, table, batch_id))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop_superseded(spark: SparkSession, root: str, table: str, keep_seconds: int) -> None:
+    """Delete batches whose successor was there ``keep_seconds`` before the newest batch was written.
+
+    A reader that took the newest batch it saw has at least that long to finish.
+    """
+    found = sorted(_markers(spark, f"{root}/{table}/{BATCH}=*"), key=lambda m: m[BATCH])
+    for old, successor in pairwise(found):
+        if successor[WRITTEN] <= found[-1][WRITTEN] - 1000 * keep_seconds:
+            drop_folder(spark, batch_path(root, table, old[BATCH]))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -149,12 +163,16 @@ def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -
 BUCKETS = 64  # choose so that a bucket of the largest table fits a task with ease
 
 
+def _table_name(path: str) -> str:
+    return f"tidemark_base_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
 def _bucketed_table(
     spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int
 ) -> str:
     """Declare the folder as a bucketed table, which only the catalog can do. The name follows from
     the path, so every session declares the same one."""
-    name = f"tidemark_base_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    name = _table_name(path)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -189,10 +207,12 @@ def write_base(
 
 
 def drop_bases(spark: SparkSession, root: str, table: str, before: int) -> None:
-    """Delete the bases that reach to a batch below ``before``."""
+    """Delete the bases that reach to a batch below ``before``, and their catalog entries."""
     for m in _markers(spark, f"{root}/base/{table}/buckets=*/{BATCH}=*"):
         if m[BATCH] < before:
-            _delete(spark, _base_path(root, table, m[BATCH], m["buckets"]))
+            path = _base_path(root, table, m[BATCH], m["buckets"])
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+            drop_folder(spark, path)
 
 
 def last_base(
