@@ -307,6 +307,7 @@ _BY_CUSTOMER = [_current("orders"), _current("customers"), _STATUS, _MART_CUSTOM
 ORACLES["mart_orders_by_date_status"] = _with(_BY_DATE_STATUS, "SELECT * FROM mart")
 ORACLES["stream_mart_orders_by_date_status"] = ORACLES["mart_orders_by_date_status"]
 ORACLES["mart_top_delivery_dates"] = _with(_BY_DATE, "SELECT * FROM mart")
+ORACLES["mart_top_delivery_dates_approx"] = _with(_BY_DATE, "SELECT *, 1 AS within_bound FROM mart")
 ORACLES["mart_pending_items_by_product"] = _with(_BY_PRODUCT, "SELECT * FROM mart")
 ORACLES["mart_top_customers_open"] = _with(_BY_CUSTOMER, "SELECT * FROM mart")
 ORACLES["distinct_mart_statuses"] = _with(_BY_DATE_STATUS, "SELECT DISTINCT status FROM mart")

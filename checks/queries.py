@@ -28,6 +28,7 @@ PERIOD = (L.T0, L.T0 + L.DAY)
 FIRST_CYCLE_UNTIL = datetime(2000, 1, 1)
 CHANGED_SINCE = datetime(1998, 1, 1)
 SLICED_KEYS = 500
+APPROXIMATE_RSD = 0.05
 
 QUERIES: dict[str, Query] = {}
 
@@ -206,10 +207,19 @@ def mart_top_delivery_dates(spark, sf):
 
 @query
 def mart_top_delivery_dates_approx(spark, sf):
-    return marts.top_delivery_dates(
+    """Exact counts per date, and whether the approximate one is within three standard deviations, plus one."""
+    near = marts.top_delivery_dates(
         _orders(spark, sf, "delivery_date", "customer_id", "status"),
         dims.dim_order_status(spark),
         approximate=True,
+        rsd=APPROXIMATE_RSD,
+    ).withColumnRenamed("unique_customers", "_near")
+    error = F.abs(F.col("_near") - F.col("unique_customers"))
+    close = error <= 3 * APPROXIMATE_RSD * F.col("unique_customers") + 1
+    return (
+        mart_top_delivery_dates(spark, sf)
+        .join(near, ["delivery_date", "order_count"], "full_outer")
+        .select("delivery_date", "order_count", "unique_customers", close.cast("int").alias("within_bound"))
     )
 
 
@@ -280,11 +290,11 @@ def report_top_customers_open(spark, sf):
 
 
 def _changed(spark, sf) -> batch.Tables:
-    return batch.changed(L.operational(spark, sf), CHANGED_SINCE)
+    return batch.changed(L.operational(spark, sf), CHANGED_SINCE, inclusive=False)
 
 
 def _extracted(spark, sf) -> batch.Tables:
-    return batch.extract(L.operational(spark, sf), CHANGED_SINCE)
+    return batch.extract(L.operational(spark, sf), CHANGED_SINCE, inclusive=False)
 
 
 def _first_cycle(spark, sf) -> batch.Tables:
@@ -353,7 +363,7 @@ def batch_run_orders(spark, sf):
     """Two cycles: the orders known by a date, then all of them with their final status."""
     root = scratch_folder(use_utc(spark), "batch")
     batch.run_cycle(_first_cycle(spark, sf), root)
-    batch.run_cycle(L.operational(spark, sf), root, inclusive=True)
+    batch.run_cycle(L.operational(spark, sf), root)
     return batch.analytical_orders(spark, root)
 
 

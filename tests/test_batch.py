@@ -43,19 +43,19 @@ def test_extract_follows_the_changed_orders(spark):
         [order(1, at=T1), order(2, 2, at=T2), order(3, 2, at=T3)],
         [(1, 1, 100, 1), (2, 2, 101, 1), (3, 3, 999, 1)],
     )
-    got = batch.extract(source, T1)
+    got = batch.extract(source, T1, inclusive=False)
     assert sorted(r.order_id for r in got.orders.collect()) == [2, 3]
     assert sorted(r.order_item_id for r in got.order_items.collect()) == [2, 3]
     assert [r.customer_id for r in got.customers.collect()] == [2]
     assert [r.product_id for r in got.products.collect()] == [101]
     assert batch.next_watermark(got.orders).first().watermark == T3
-    whole = batch.changed(source, T1)
+    whole = batch.changed(source, T1, inclusive=False)
     assert sorted(r.order_item_id for r in whole.order_items.collect()) == [2, 3]
     for transform in (batch.transform_orders, batch.transform_items):
         assert sorted(transform(whole).collect()) == sorted(transform(got).collect())
-    again = batch.extract_orders(source.orders, T3, inclusive=True)
+    again = batch.extract_orders(source.orders, T3)
     assert [r.order_id for r in again.collect()] == [3]
-    assert batch.extract_orders(source.orders, T3).isEmpty()
+    assert batch.extract_orders(source.orders, T3, inclusive=False).isEmpty()
 
 
 def test_orders_get_names_totals_and_users(spark):
@@ -84,6 +84,29 @@ def test_items_get_names_prices_and_their_order(spark):
     assert (got[1].created_by, got[1].updated_by) == ("None", "4")
 
 
+def test_an_order_that_commits_late_is_not_missed(spark, tmp_path):
+    root = str(tmp_path)
+    first = [order(1, at=T1), order(2, at=T2), order(5, at=None)]
+    assert batch.run_cycle(tables(spark, first), root) == 0
+    assert batch.run_cycle(tables(spark, first), root) is None
+    late = [*first, order(3, at=T2)]
+    assert batch.run_cycle(tables(spark, late), root) == 1
+    assert batch.run_cycle(tables(spark, late), root) is None  # what either cycle stored at that time
+    again = [order(1, at=T1), order(2, at=T2, status="COMPLETED"), order(3, at=T2)]
+    assert batch.run_cycle(tables(spark, again), root) == 2
+    assert batch.run_cycle(tables(spark, again), root) is None
+    batch.compact(spark, root)
+    assert batch.run_cycle(tables(spark, again), root) is None
+    got = {r.order_id: r.status for r in batch.analytical_orders(spark, root).collect()}
+    assert got == {1: "PENDING", 2: "COMPLETED", 3: "PENDING"}
+
+
+@pytest.mark.parametrize("report", [batch.top_delivery_dates, batch.top_customers_with_pending_orders])
+def test_a_limit_below_one_is_refused(spark, report):
+    with pytest.raises(ValueError, match="limit"):
+        report(analytic(spark)[0], 0)
+
+
 def test_cycles_upsert_and_keep_first_creation(spark, tmp_path):
     root = str(tmp_path)
     assert batch.run_cycle(tables(spark, [order(1, at=T1), order(2, at=T1)], [(1, 1, 100, 1)]), root) == 0

@@ -3,7 +3,7 @@ import random
 from records import last_versions, log, record
 
 from tidemark.entities import CUSTOMERS, ORDERS
-from tidemark.operators import cdc, state
+from tidemark.operators import cdc, quality, state
 
 
 def staged(spark, entity, rows):
@@ -87,3 +87,13 @@ def test_upsert_may_set_a_column_to_null(spark):
     target = spark.createDataFrame([(1, "one")], "id int, a string")
     batch = spark.createDataFrame([(1, None)], "id int, a string")
     assert state.upsert(target, batch, "id").collect()[0].a is None
+
+
+def test_history_that_lost_a_key_or_state_that_made_one_up_is_reported(spark):
+    whole = spark.createDataFrame([(1,), (1,), (2,)], f"{ORDERS.key} bigint")
+    keys = whole.distinct()
+    cases = [(whole, keys, (3, 2, 1)), (whole.filter(f"{ORDERS.key} = 1"), keys, (2, 2, 0))]
+    cases += [(whole, keys.unionByName(keys), (3, 4, 0)), (whole.limit(0), keys, (0, 2, 0))]
+    for history, state_rows, expected in cases:
+        got = quality.history_covers_state({ORDERS: history}, {ORDERS: state_rows}).first()
+        assert tuple(got) == ("orders", *expected)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import money, name_or, user_number
 from tidemark.operators.state import upsert
+from tidemark.plans.reports import checked_limit
 from tidemark.session import together
 from tidemark.sources.tables import (
     BATCH,
@@ -83,15 +84,15 @@ class Tables:
 
 
 def extract_orders(
-    orders: DataFrame, since: datetime | None = None, inclusive: bool = False
+    orders: DataFrame, since: datetime | None = None, inclusive: bool = True
 ) -> DataFrame:
-    """Orders changed since the watermark.
+    """Orders changed since the watermark. An order without ``updated_at`` is never seen as changed.
 
-    ``inclusive`` also takes those with exactly that time again: a transaction may commit late with an
-    equal timestamp, and the upsert makes reading a row twice harmless.
+    ``inclusive`` also takes those with exactly that time: a transaction may commit late with an
+    equal timestamp.
     """
     if since is None:
-        return orders
+        return orders.filter(F.col("updated_at").isNotNull())
     changed = F.col("updated_at") >= F.lit(since) if inclusive else F.col("updated_at") > F.lit(since)
     return orders.filter(changed)
 
@@ -117,18 +118,32 @@ def extract_products(products: DataFrame, order_items: DataFrame) -> DataFrame:
     return _referenced(products, order_items, "product_id")
 
 
-def changed(source: Tables, since: datetime | None = None, inclusive: bool = False) -> Tables:
+def changed(
+    source: Tables, since: datetime | None = None, inclusive: bool = True, known: DataFrame | None = None
+) -> Tables:
     """What a cycle works on: changed orders, their items, and the customers and products as they are.
 
-    The transform joins those by key, so reducing them to the referenced rows first would only scan
+    Orders that ``known`` analytic orders hold unchanged are left out. The transform joins those by key, so reducing them to the referenced rows first would only scan
     and shuffle the items twice; :func:`extract` does it for those who want the rows themselves.
     """
     orders = extract_orders(source.orders, since, inclusive)
+    orders = orders if known is None else orders.join(known, _same_order(orders, known), "left_anti")
     items = extract_items(source.order_items, orders)
     return Tables(orders, items, source.customers, source.products)
 
 
-def extract(source: Tables, since: datetime | None = None, inclusive: bool = False) -> Tables:
+def _same_order(orders: DataFrame, known: DataFrame) -> Column:
+    """The same order with the same contents: the columns that both tables hold as they were read."""
+    same = orders["order_id"] == known["order_id"]
+    for name in ("customer_id", "status", "updated_at"):
+        same &= orders[name].eqNullSafe(known[name])
+    for name in ("order_date", "delivery_date"):
+        same &= orders[name].cast("timestamp_ntz").eqNullSafe(known[name])
+    user = user_number(orders["updated_by"].cast("string")).cast("string")
+    return same & user.eqNullSafe(known["updated_by"])
+
+
+def extract(source: Tables, since: datetime | None = None, inclusive: bool = True) -> Tables:
     """Changed orders, their items, and only the customers and products these refer to."""
     found = changed(source, since, inclusive)
     return Tables(
@@ -237,15 +252,24 @@ def stored_watermark(spark: SparkSession, root: str) -> datetime | None:
     return next_watermark(rows).first()["watermark"]
 
 
-def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
+def run_cycle(source: Tables, root: str, inclusive: bool = True) -> int | None:
     """One extract, transform and load. Returns the cycle's id, or None when nothing has changed.
 
+    Orders with exactly the watermark's time are read again and left out where they are stored
+    unchanged, so one that committed late is not missed and an unchanged source adds no cycle.
     A cycle that fails lacks a marker; the next one reads from the same watermark and replaces what
     it wrote.
     """
     spark = source.orders.sparkSession
     last = last_cycle(spark, root)
-    extracted = changed(source, stored_watermark(spark, root), inclusive)
+    since = stored_watermark(spark, root)
+    known = None
+    if inclusive and since is not None:
+        at_watermark = F.col("updated_at") == F.lit(since)
+        known = _upserted(
+            spark, root, ORDERS_TABLE, ORDERS_SCHEMA, "order_id", ORDERS_KEEP, only=at_watermark
+        )
+    extracted = changed(source, since, inclusive, known)
     if extracted.orders.isEmpty():
         return None
     cycle = 0 if last is None else last + 1
@@ -263,17 +287,25 @@ def run_cycle(source: Tables, root: str, inclusive: bool = False) -> int | None:
 
 
 def _upserted(
-    spark: SparkSession, root: str, table: str, schema: T.StructType, key: str, keep: tuple[str, ...]
+    spark: SparkSession,
+    root: str,
+    table: str,
+    schema: T.StructType,
+    key: str,
+    keep: tuple[str, ...],
+    only: Column | None = None,
 ) -> DataFrame:
-    """All complete cycles, folded: those since the last base, upserted into it."""
+    """All complete cycles, folded: those since the last base, upserted into it. ``only`` filters the scans."""
+    only = F.lit(True) if only is None else only
     last = last_cycle(spark, root)
     upto = -1 if last is None else last
     base = last_base(spark, root, table, schema, key)
     if base is None:
-        return fold(read_batches(spark, root, table, schema, upto=upto), key, schema.names, keep)
+        rows = read_batches(spark, root, table, schema, upto=upto).filter(only)
+        return fold(rows, key, schema.names, keep)
     reached, rows = base
-    later = read_batches(spark, root, table, schema, after=reached, upto=upto)
-    return upsert(rows, fold(later, key, schema.names, keep), key, keep)
+    later = read_batches(spark, root, table, schema, after=reached, upto=upto).filter(only)
+    return upsert(rows.filter(only), fold(later, key, schema.names, keep), key, keep)
 
 
 def analytical_orders(spark: SparkSession, root: str) -> DataFrame:
@@ -322,6 +354,7 @@ def open_orders_by_date_status(orders: DataFrame) -> DataFrame:
 
 
 def top_delivery_dates(orders: DataFrame, limit: int = 3) -> DataFrame:
+    checked_limit(limit)
     return (
         _open_dated(orders)
         .groupBy("delivery_date")
@@ -344,6 +377,7 @@ def pending_items_by_product(items: DataFrame) -> DataFrame:
 
 
 def top_customers_with_pending_orders(orders: DataFrame, limit: int = 3) -> DataFrame:
+    checked_limit(limit)
     return (
         orders.filter(F.col("status") == "PENDING")
         .groupBy("customer_id", "customer_name")

@@ -20,7 +20,7 @@ def _known(status: str, known: tuple[str, ...]) -> None:
         warnings.warn(f"status {status!r} is none of {known}: no filter applied", stacklevel=3)
 
 
-def _positive(limit: int) -> int:
+def checked_limit(limit: int) -> int:
     if limit < 1:
         raise ValueError("limit must be at least 1")
     return limit
@@ -47,7 +47,7 @@ def top_delivery_dates_report(mart: DataFrame, limit: int = 3) -> DataFrame:
     return (
         mart.select("delivery_date", "order_count", "unique_customers")
         .orderBy(F.desc("order_count"), "delivery_date")
-        .limit(_positive(limit))
+        .limit(checked_limit(limit))
     )
 
 
@@ -68,5 +68,5 @@ def top_customers_report(mart: DataFrame, status: str = "pending", limit: int =
         .groupBy("customer_id", "customer_name")
         .agg(F.sum("order_count").alias("order_count"))
         .orderBy(F.desc("order_count"), "customer_id")
-        .limit(_positive(limit))
+        .limit(checked_limit(limit))
     )
