@@ -336,6 +336,20 @@ def test_near_duplicate_vectors(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_links_between_tight_groups_outlast_full_lists(spark):
+    rng = np.random.default_rng(11)
+    a, aside = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = [a, 0.92 * a + (1 - 0.92**2) ** 0.5 * aside]
+    vectors = [(c + 0.0025 * rng.standard_normal(64)).tolist() for c in centres for _ in range(60)]
+    nodes = list(range(120))
+    block = pa.table({"order": [0] * 120, "node": nodes, "component": nodes, "vector": vectors}).to_batches()
+    rows = pa.Table.from_batches(embedding_dedup._compare_blocks(0.9)(iter(block)))
+    links = embedding_dedup.nearest(spark.createDataFrame(rows.to_pandas())).filter("link")
+    of = connected_components(links.selectExpr("u AS a", "v AS b"))
+    assert {(r.node, r.component) for r in of.collect()} == {(n, 0) for n in nodes}
+    assert links.count() < 120
+
+
 # --- 7 -------------------------------------------------------------------------------------------------
 
 

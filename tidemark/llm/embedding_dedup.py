@@ -1,11 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors form a class and take part once. Sign codes of random planes order the classes a few times; neighbours in
-such an order, compared in blocks, give a first neighbour graph. Then neighbours of neighbours are joined: every vector
-compares the vectors around it with each other, which improves their lists, until few change. A list whose places are all
-links is saturated and grows. Threshold edges give components, and inside each component all links are counted exactly in
-blocks, so lists that still were too short lose nothing. Recall is audited against all vectors for a bounded set
-of them; below the target the descent starts again from more orders.
+such an order, compared in blocks, give a first neighbour graph and components. Further orders hold a few members of each
+component only, so that their blocks show other components. Then neighbours of neighbours are joined: every vector compares
+the vectors around it with each other, which improves its list, until few change. A list has places for the nearest vectors and
+as many for the nearest outside the vector's component, so links inside a tight group never fill it. Whatever was
+compared anywhere and linked joins its components, listed or not. Inside each component all links are counted exactly in blocks.
+
+Recall is audited against all vectors for a bounded set of them; below the target further orders follow.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Ids should be
 unique; a null id is shown as null and stands for itself. Cosines are in double precision.
@@ -23,15 +25,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import landed, record_batch, schema, tasks
 from tidemark.llm.components import connected_components
 
-NEIGHBOURS, MOST_NEIGHBOURS = 8, 32
+NEIGHBOURS, MOST_REVERSE = 8, 32
 ORDERS, BITS = 6, 48
+MEMBERS = 8  # of a component that an order holds once components are known, on average
 BLOCK = 128
 EXACT_BLOCK = 512
 MAX_STEPS, MIN_CHANGE = 6, 0.02
 AUDITED, RECALL, ATTEMPTS = 500, 0.95, 3
 NULL_ID = -(1 << 63)
-EDGES = schema("u long, v long, cosine double")
-CODES = schema("order int, code long, node long, vector array<double>")
+EDGES = schema("u long, v long, cosine double, across boolean, link boolean")
+CODES = schema("order int, code long, node long, component long, vector array<double>")
 COUNTS = schema("node long, n_links long")
 HITS = schema("pairs long, found long")
 
@@ -96,15 +99,55 @@ def _buffered(pieces: Iterator[tuple], make: Callable, rows: int = 50_000) -> It
         yield make(held)
 
 
-def _best(nodes: np.ndarray, cosines: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """The ``k`` nearest of each row, if above ``floor``."""
+def joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of ``a`` and ``b`` that form a spanning forest: what all pairs join, with fewer than there are names."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pair = np.full((len(names), len(names)), -1, dtype=np.int32)
+    pair[at[: len(a)], at[len(a) :]] = pair[at[len(a) :], at[: len(a)]] = np.arange(len(a))
+    linked, out = pair >= 0, []
+    np.fill_diagonal(linked, False)
+    fresh = linked.any(axis=1)
+    while fresh.any():
+        here = np.array([np.argmax(fresh)])
+        fresh[here] = False
+        while len(here):
+            near = linked[here] & fresh
+            reached = np.flatnonzero(near.any(axis=0))
+            out.append(pair[here[near[:, reached].argmax(axis=0)], reached])
+            fresh[reached] = False
+            here = reached
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+
+
+def _best(nodes: np.ndarray, of: np.ndarray, cosines: np.ndarray, threshold: float, floors: tuple | None = None) -> Iterator[tuple]:
+    """The nearest of each row, those of other components (``of``), if above ``floors``; and the links that join components."""
     np.fill_diagonal(cosines, -2)
-    k = min(k, len(nodes) - 1)
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    value = np.take_along_axis(cosines, near, axis=1)
-    wanted = value > (floor[:, None] if floor is not None else -2)
-    row = np.broadcast_to(np.arange(len(nodes))[:, None], near.shape)
-    return nodes[row[wanted]], nodes[near[wanted]], value[wanted]
+    other = of[:, None] != of
+    a, b = np.nonzero(np.triu(other & (cosines >= threshold)))
+    if len(a):
+        chosen = joining(of[a], of[b])
+        a, b = a[chosen], b[chosen]
+        yield nodes[a], nodes[b], cosines[a, b], np.ones(len(a), dtype=bool), np.ones(len(a), dtype=bool)
+    k = min(NEIGHBOURS, len(nodes) - 1)
+    row = np.broadcast_to(np.arange(len(nodes))[:, None], (len(nodes), k))
+    apart = other.sum() == other.size - len(of)  # the nearest of all are the nearest outside
+    for mask, floor in zip((False, True), floors or (None, None), strict=True):
+        if apart and not mask:
+            continue
+        values = np.where(other, cosines, -2) if mask else cosines
+        near = np.argpartition(-values, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(values, near, axis=1)
+        wanted = value > (floor[:, None] if floor is not None else -2)
+        i, j = row[wanted], near[wanted]
+        yield nodes[i], nodes[j], value[wanted], other[i, j], np.zeros(len(i), dtype=bool)
+
+
+def _drawn(nodes: np.ndarray, order: int) -> np.ndarray:
+    """A number from 0 to 1 for each node, another in each order."""
+    x = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)) / float(1 << 53)
 
 
 def _codes(first: int, orders: int):
@@ -112,61 +155,97 @@ def _codes(first: int, orders: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column("vector"))
+            x, nodes, share = unit(batch.column("vector")), batch.column("node").to_numpy(), batch.column("share").to_numpy()
             for order in range(first, first + orders):
                 planes = np.random.default_rng(order + 1).standard_normal((x.shape[1], BITS))
                 code = ((x @ planes > 0) * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-                columns = [[order] * len(x), code, batch.column("node"), batch.column("vector")]
-                yield record_batch(CODES, columns)
+                held = np.flatnonzero(_drawn(nodes, order) < share)
+                rest = [batch.column(c).take(pa.array(held)) for c in ("node", "component", "vector")]
+                yield record_batch(CODES, [[order] * len(held), code[held], *rest])
 
     return run
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pieces():
-        for block in groups(batches, ["order"], BLOCK):
-            if block.num_rows > 1:
-                x = unit(block.column("vector").combine_chunks())
-                yield _best(_nodes(block), x @ x.T, NEIGHBOURS)
+def _compare_blocks(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces():
+            for block in groups(batches, ["order"], BLOCK):
+                if block.num_rows > 1:
+                    x = unit(block.column("vector").combine_chunks())
+                    yield from _best(_nodes(block), _nodes(block, "component"), x @ x.T, threshold)
 
-    yield from _buffered(pieces(), _edges)
+        yield from _buffered(pieces(), _edges)
 
+    return run
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pieces():
-        for around in groups(batches, ["at"]):
-            if around.num_rows > 1:
-                x = unit(around.column("vector").combine_chunks())
-                yield _best(_nodes(around), x @ x.T, NEIGHBOURS, around.column("floor").to_numpy())
 
-    yield from _buffered(pieces(), _edges)
+def _local_join(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces():
+            for around in groups(batches, ["at"]):
+                if around.num_rows > 1:
+                    x = unit(around.column("vector").combine_chunks())
+                    floors = around.column("floor").to_numpy(), around.column("floor_across").to_numpy()
+                    yield from _best(_nodes(around), _nodes(around, "component"), x @ x.T, threshold, floors)
 
+        yield from _buffered(pieces(), _edges)
 
-def nearest(edges: DataFrame, threshold: float) -> DataFrame:
-    """The best places of each list; beyond ``NEIGHBOURS`` only links count, which is how a saturated list grows."""
-    once = edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cosine"), "v"))
-    kept = once.withColumn("rank", rank).filter(F.col("rank") <= MOST_NEIGHBOURS)
-    return kept.filter((F.col("rank") <= NEIGHBOURS) | (F.col("cosine") >= threshold))
+    return run
 
 
-def descend(vectors: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """Refine neighbour lists (``u, v, cosine, rank``) until few places change."""
-    lists = landed(nearest(edges, threshold), "lists")
-    size = lists.count()
-    for step in range(MAX_STEPS):
+def ordered_edges(vectors: DataFrame, labels: DataFrame | None, first: int, orders: int, threshold: float) -> DataFrame:
+    """What blocks of some orders give; with ``labels`` an order holds about ``MEMBERS`` members of a larger component."""
+    if labels is None:
+        held = vectors.withColumns({"component": F.col("node"), "share": F.lit(1.0)})
+    else:
+        large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS)
+        shares = labels.join(large, "component", "left").select("node", "component", F.coalesce(MEMBERS / F.col("n"), F.lit(1.0)).alias("share"))
+        held = vectors.join(shares, "node", "left").fillna({"share": 1.0}).withColumn("component", F.coalesce("component", "node"))
+    codes = held.select("node", "component", "share", "vector").mapInArrow(_codes(first, orders), CODES)
+    dealt = codes.repartitionByRange(4 * tasks(codes.sparkSession), "order", "code", "node")
+    return dealt.sortWithinPartitions("order", "code", "node").mapInArrow(_compare_blocks(threshold), EDGES)
+
+
+def nearest(edges: DataFrame) -> DataFrame:
+    """The best places of each list, those outside the own component, and all links that join components."""
+    best = [F.max("cosine").alias("cosine"), F.min("across").alias("across"), F.max("link").alias("link")]
+    once = edges.groupBy("u", "v").agg(*best)
+    by = [F.desc("cosine"), "v"]
+    once = once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(*by)))
+    once = once.withColumn("place", F.row_number().over(Window.partitionBy("u", "across").orderBy(*by)))
+    listed = (F.col("rank") <= NEIGHBOURS) | (F.col("across") & (F.col("place") <= NEIGHBOURS))
+    return once.withColumn("listed", listed).filter("listed OR link")
+
+
+def descend(vectors: DataFrame, labels: DataFrame, edges: DataFrame, threshold: float, steps: int) -> DataFrame:
+    """Refine neighbour lists (rows of ``nearest``) until few places change."""
+    of = labels.select(F.col("node").alias("labelled"), "component")
+    lists = landed(nearest(edges), "lists")
+    size = lists.filter("listed").count()
+    for _ in range(steps):
+        listed = lists.filter("listed")
         back = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cosine"), "u"))
-        reverse = lists.withColumn("back", back).filter(F.col("back") <= MOST_NEIGHBOURS)
-        around = lists.select(F.col("u").alias("at"), F.col("v").alias("node"))
+        outside = F.row_number().over(Window.partitionBy("v", "across").orderBy(F.desc("cosine"), "u"))
+        reverse = listed.withColumns({"back": back, "outside": outside})
+        reverse = reverse.filter((F.col("back") <= MOST_REVERSE) | (F.col("across") & (F.col("outside") <= NEIGHBOURS)))
+        around = listed.select(F.col("u").alias("at"), F.col("v").alias("node"))
         around = around.unionByName(reverse.select(F.col("v").alias("at"), F.col("u").alias("node")))
-        around = around.unionByName(lists.select(F.col("u").alias("at"), F.col("u").alias("node"))).distinct()
-        full = F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min(F.when(F.col("rank") <= NEIGHBOURS, F.col("cosine"))))
-        floors = lists.groupBy("u").agg(F.coalesce(full, F.lit(-2.0)).alias("floor"))
-        held = vectors.join(floors, vectors["node"] == floors["u"]).select("node", "vector", "floor")
+        around = around.unionByName(listed.select(F.col("u").alias("at"), F.col("u").alias("node"))).distinct()
+
+        def floor(places, name):
+            own = F.when(places, F.col("cosine"))
+            return F.coalesce(F.when(F.count(own) >= NEIGHBOURS, F.min(own)), F.lit(-2.0)).alias(name)
+
+        floors = listed.groupBy("u").agg(
+            floor(F.col("rank") <= NEIGHBOURS, "floor"),
+            floor(F.col("across") & (F.col("place") <= NEIGHBOURS), "floor_across"),
+        )
+        floors = floors.join(of, F.col("u") == F.col("labelled"), "left").withColumn("component", F.coalesce("component", "u"))
+        held = vectors.join(floors, vectors["node"] == floors["u"]).select("node", "component", "vector", "floor", "floor_across")
         dealt = around.join(held, "node").repartition("at").sortWithinPartitions("at")
-        better = dealt.select("at", "node", "vector", "floor").mapInArrow(_local_join, EDGES)
-        after = landed(nearest(lists.select("u", "v", "cosine").unionByName(better), threshold), "lists")
-        changed = after.join(lists, ["u", "v"], "left_anti").count()
+        better = dealt.select("at", "node", "component", "vector", "floor", "floor_across").mapInArrow(_local_join(threshold), EDGES)
+        after = landed(nearest(lists.select(*EDGES.names).unionByName(better)), "lists")
+        changed = after.filter("listed").join(listed, ["u", "v"], "left_anti").count()
         lists = after
         if changed <= MIN_CHANGE * size:
             break
@@ -254,16 +333,27 @@ def near_duplicates(
     classes = landed(classes, "classes")
     vectors = classes.select("node", "vector", "size")
 
-    edges = None
+    def labels_of(found: DataFrame, *more: DataFrame) -> DataFrame:
+        for links in more:
+            found = found.unionByName(links)
+        return landed(connected_components(found), "labels")
+
+    def linked(lists: DataFrame) -> DataFrame:
+        return lists.filter("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+    lists = landed(nearest(ordered_edges(vectors, None, 0, ORDERS, threshold)), "lists")
+    labels, first = labels_of(linked(lists)), ORDERS
     for attempt in range(ATTEMPTS):
-        codes = vectors.mapInArrow(_codes(attempt * ORDERS, ORDERS), CODES)
-        dealt = codes.repartitionByRange(4 * tasks(codes.sparkSession), "order", "code", "node")
-        blocks = dealt.sortWithinPartitions("order", "code", "node")
-        fresh = blocks.mapInArrow(_compare_blocks, EDGES)
-        lists = descend(vectors, fresh if edges is None else fresh.unionByName(edges), threshold)
-        edges = lists.select("u", "v", "cosine")
-        links = edges.filter(F.col("cosine") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        labels = landed(connected_components(links), "labels")
+        own = labels.select(F.col("node").alias("u"), F.col("component").alias("of_u"))
+        other = labels.select(F.col("node").alias("v"), F.col("component").alias("of_v"))
+        known = lists.filter("listed").join(own, "u", "left").join(other, "v", "left")
+        across = F.coalesce("of_u", "u") != F.coalesce("of_v", "v")
+        known = known.select("u", "v", "cosine", across.alias("across"), F.lit(False).alias("link"))
+        fresh = ordered_edges(vectors, labels, first, ORDERS << attempt, threshold)
+        first += ORDERS << attempt
+        lists = descend(vectors, labels, known.unionByName(fresh), threshold, MAX_STEPS << attempt)
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = labels_of(stars, linked(lists))
         if audit(vectors, labels, threshold) >= RECALL:
             break
     counts = count_links(vectors, labels, threshold)
