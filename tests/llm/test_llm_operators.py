@@ -350,6 +350,38 @@ def test_links_between_tight_groups_outlast_full_lists(spark):
     assert links.count() < 120
 
 
+def vector_table(spark, vectors):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def brute_vectors(vectors, threshold=0.9):
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = x @ x.T >= threshold
+    of = np.arange(len(x))
+    while True:
+        least = np.array([of[row].min() for row in linked])
+        if (least == of).all():
+            return {i: (int(linked[i].sum()) - 1, int(of[i])) for i in range(len(x))}
+        of = least
+
+
+def found_vectors(spark, vectors):
+    return {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vector_table(spark, vectors)).collect()}
+
+
+def test_few_pairs_among_many_vectors_are_all_found(spark, monkeypatch):
+    ship_code(spark)
+    monkeypatch.setattr(embedding_dedup, "ORDERS", 1)
+    monkeypatch.setattr(embedding_dedup, "MAX_STEPS", 0)
+    rng = np.random.default_rng(12)
+    vectors = list(rng.standard_normal((3000, 64)))
+    vectors += [v + 0.42 * rng.standard_normal(64) for v in vectors[:40]]
+    want = brute_vectors(vectors)
+    assert sum(n for n, _ in want.values()) >= 40
+    assert found_vectors(spark, vectors) == want
+
+
 # --- 7 -------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,9 @@ the vectors around it with each other, which improves its list, until few change
 as many for the nearest outside the vector's component, so links inside a tight group never fill it. Whatever was
 compared anywhere and linked joins its components, listed or not. Inside each component all links are counted exactly in blocks.
 
-Recall is audited against all vectors for a bounded set of them; below the target further orders follow.
+Vectors chosen by hash are then compared with all others, more of them until ``SEEN`` have links. If fewer than ``RECALL``
+of these have all their links in their component, twice as many orders follow and other vectors are chosen; after
+``ATTEMPTS`` every vector is compared with all, which is exact and takes the square of their number.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Ids should be
 unique; a null id is shown as null and stands for itself. Cosines are in double precision.
@@ -16,6 +18,7 @@ unique; a null id is shown as null and stands for itself. Cosines are in double
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,13 @@ MEMBERS = 8  # of a component that an order holds once components are known, on
 BLOCK = 128
 EXACT_BLOCK = 512
 MAX_STEPS, MIN_CHANGE = 6, 0.02
-AUDITED, RECALL, ATTEMPTS = 500, 0.95, 3
+AUDITED, SEEN, RECALL, ATTEMPTS = 500, 300, 0.95, 3
+CHUNK_BYTES, TILE = 32 << 20, 1024  # vectors compared with all others at once, and in one product
 NULL_ID = -(1 << 63)
 EDGES = schema("u long, v long, cosine double, across boolean, link boolean")
 CODES = schema("order int, code long, node long, component long, vector array<double>")
 COUNTS = schema("node long, n_links long")
-HITS = schema("pairs long, found long")
+HITS = schema("node long, other long, pairs long, missed long")
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -288,26 +292,67 @@ def count_links(vectors: DataFrame, labels: DataFrame, threshold: float) -> Data
     return counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def audit(vectors: DataFrame, labels: DataFrame, threshold: float) -> float:
-    """Share of all links of at most ``AUDITED`` nodes, found by comparing them with every vector, inside components."""
-    labelled = vectors.join(labels, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("component"))
-    chosen = labelled.orderBy(F.xxhash64("node"), "node").limit(AUDITED).toArrow()
-    if chosen.num_rows == 0:
-        return 1.0
-    x, own, of = unit(chosen.column("vector").combine_chunks()), _nodes(chosen), _nodes(chosen, "component")
+def _compare_with(chosen: pa.Table, threshold: float):
+    own, of = _nodes(chosen), _nodes(chosen, "component")
+    x = unit(chosen.column("vector").combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = found = 0
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                linked = (unit(batch.column("vector")) @ x.T >= threshold) & (_nodes(table)[:, None] != own)
-                pairs += int(linked.sum())
-                found += int((linked & (_nodes(table, "component")[:, None] == of)).sum())
-        yield record_batch(HITS, [[pairs], [found]])
+        pairs, missed = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, TILE):
+                table = pa.Table.from_batches([whole.slice(start, TILE)])
+                y, nodes, component = unit(table.column("vector").combine_chunks()), _nodes(table), _nodes(table, "component")
+                for first in range(0, len(own), TILE):
+                    at = slice(first, first + TILE)
+                    i, j = np.nonzero(x[at] @ y.T >= threshold)
+                    i, j = i[own[at][i] != nodes[j]], j[own[at][i] != nodes[j]]
+                    if not len(i):
+                        continue
+                    pairs[at] += np.bincount(i, minlength=len(own[at]))
+                    apart = of[at][i] != component[j]
+                    i, j = i[apart], j[apart]
+                    if len(i):
+                        missed[at] += np.bincount(i, minlength=len(own[at]))
+                        kept = joining(of[at][i], component[j])
+                        zero = np.zeros(len(kept), dtype=np.int64)
+                        yield record_batch(HITS, [own[at][i[kept]], nodes[j[kept]], zero, zero])
+        some = np.flatnonzero(pairs)
+        yield record_batch(HITS, [own[some], [None] * len(some), pairs[some], missed[some]])
+
+    return run
+
+
+@dataclass
+class Audit:
+    """Compares vectors chosen by hash with all; each is chosen once, so when none is left every link is known."""
+
+    count: int
+    rows: int  # most vectors compared at once
+    threshold: float
+    done: int = 0  # buckets of about AUDITED vectors
+
+    @property
+    def buckets(self) -> int:
+        return -(-self.count // AUDITED)
+
+    def compare(self, labelled: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+        """Links of about ``most`` vectors that join components; how many of them have links, and have all inside."""
+        more = max(1, min(most, self.rows) // AUDITED)
+        bucket = F.pmod(F.xxhash64("node"), F.lit(self.buckets))
+        chosen = labelled.filter((bucket >= self.done) & (bucket < self.done + more)).toArrow()
+        self.done += more
+        hits = landed(labelled.mapInArrow(_compare_with(chosen, self.threshold), HITS), "audit")
+        of_node = hits.filter("other IS NULL").groupBy("node").agg(F.sum("missed").alias("missed"))
+        seen = of_node.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("missed") == 0).alias("whole")).first()
+        return hits.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), *seen
 
-    total = labelled.mapInArrow(run, HITS).agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).first()
-    return total["found"] / total["pairs"] if total["pairs"] else 1.0
+    def run(self, labelled: DataFrame, everything: bool) -> tuple[list[DataFrame], bool]:
+        """The links found, and whether the target is met by enough vectors with links, or all were compared."""
+        links, seen, whole, most = [], 0, 0, AUDITED
+        while self.done < self.buckets and (everything or seen < SEEN):
+            more = self.compare(labelled, self.rows if everything else most)
+            links, seen, whole, most = [*links, more[0]], seen + more[1], whole + more[2], 2 * most
+        return links, self.done >= self.buckets or whole >= RECALL * seen
 
 
 def near_duplicates(
@@ -341,8 +386,9 @@ def near_duplicates(
     def linked(lists: DataFrame) -> DataFrame:
         return lists.filter("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
+    checked = Audit(classes.count(), max(AUDITED, CHUNK_BYTES // (8 * (common["d"] if common else 1))), threshold)
     lists = landed(nearest(ordered_edges(vectors, None, 0, ORDERS, threshold)), "lists")
-    labels, first = labels_of(linked(lists)), ORDERS
+    labels, first, complete = labels_of(linked(lists)), ORDERS, False
     for attempt in range(ATTEMPTS):
         own = labels.select(F.col("node").alias("u"), F.col("component").alias("of_u"))
         other = labels.select(F.col("node").alias("v"), F.col("component").alias("of_v"))
@@ -354,7 +400,15 @@ def near_duplicates(
         lists = descend(vectors, labels, known.unionByName(fresh), threshold, MAX_STEPS << attempt)
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = labels_of(stars, linked(lists))
-        if audit(vectors, labels, threshold) >= RECALL:
+        for everything in (False, True) if attempt == ATTEMPTS - 1 else (False,):
+            labelled = vectors.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            links, complete = checked.run(landed(labelled.select("node", "component", "vector"), "labelled"), everything)
+            if links:
+                stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                labels = labels_of(stars, *links)
+            if complete:
+                break
+        if complete:
             break
     counts = count_links(vectors, labels, threshold)
     known = classes.select("h1", "h2", "node", "size").join(labels, "node", "left").join(counts, "node", "left")
