@@ -182,6 +182,28 @@ def test_toxicity_learns_and_restores(spark, empty, odd):
     assert [round(r.toxicity, 6) for r in toxicity.score(odd, none).collect()] == [0.0] * 10
 
 
+@pytest.fixture(scope="module")
+def toxic_reader(spark):
+    """A model that knows two insults, and a reader of texts."""
+    ship_code(spark)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        words = [f"{a}{b}" for a, b in zip(rng.choice(["the", "some", "ra", "ne"], 40), rng.choice(["ti", "lo", "mus", "to"], 40), strict=True)]
+        rows.append((i, " ".join(words + ["idiot", "moron"][i % 8 // 4 :][:1] * (i % 4 == 0)), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    return model, toxicity.Reader(model.characters, model.index), [r[1] for r in rows if not r[2]]
+
+
+SPACED = ["you i d i o t. and", '"i d i o t"', "i d i o t, yes", "m o r o n!", "(m o r o n)", "i   d  i\no    t", "m\no\nr\no\nn"]
+
+
+def test_spaced_words_beside_marks_are_toxic(toxic_reader):
+    model, reader, _ = toxic_reader
+    assert [t for t in SPACED if model.score(reader.features(t)) < 0.5] == []
+
+
 # --- 4 -------------------------------------------------------------------------------------------------
 
 

@@ -95,7 +95,9 @@ DISGUISED = re.compile(
 REPEATED = re.compile(r"(.)\1\1|(.)\2.*(.)\3.*(.)\4")
 EDGE = " \t.,;:?\"'()[]{}<>*&%#=~_-`^/\\|"
 AT_END = EDGE + "!$@+"
-APART = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
+# Single signs held apart by any white space; marks may stand before the first and after any of them.
+_BEFORE, _AFTER = f"[{re.escape(EDGE.replace(' ', '').replace(chr(9), ''))}]*", f"[{re.escape(AT_END.replace(' ', '').replace(chr(9), ''))}]*"
+APART = re.compile(rf"(?<!\S){_BEFORE}\S(?:\s+\S){{2,}}{_AFTER}(?!\S)")
 
 
 def restore(token: str, model: np.ndarray) -> list[str]:
@@ -182,8 +184,9 @@ class Reader:
                     self.others.add(word)
             found.update(own)
         for run in APART.finditer(text):
-            if len(set(run[0])) > 3:  # not one sign over and over
-                found |= self._of(restore(run[0], self.model))
+            signs = [s.lstrip(EDGE).rstrip(AT_END) or s for s in run[0].split()]
+            if len(set(signs)) > 1:  # not one sign over and over
+                found |= self._of(restore(" ".join(signs), self.model))
         return found
 
 
