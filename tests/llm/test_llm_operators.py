@@ -204,6 +204,16 @@ def test_spaced_words_beside_marks_are_toxic(toxic_reader):
     assert [t for t in SPACED if model.score(reader.features(t)) < 0.5] == []
 
 
+REPEATS = ["iddiot", "mmoron", "idiiot", "iiiidiot's", "id-iot", "mor.on", "i,d,i,o,t", "i'd'i'o't", "moroon"]
+
+
+def test_doubled_letters_and_single_signs_are_undone(toxic_reader):
+    model, reader, clean = toxic_reader
+    assert [t for t in REPEATS if model.score(reader.features(t)) < 0.5] == []
+    doubled = [" ".join(w + w[-1] if i % 3 else w[:2] + "-" + w[2:] for i, w in enumerate(t.split())) for t in clean[:100]]
+    assert max(model.score(reader.features(t)) for t in [*clean, *doubled]) < 0.5
+
+
 # --- 4 -------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Toxicity of whole texts, after undoing disguises as a noisy channel.
 
 A character model (four letters, folded to a-z) is counted over all documents. Tokens that look disguised, by digits
-or signs among letters, letters spaced or dotted apart, or letters repeated, become a lattice of what each
+or signs among letters, letters spaced or dotted apart, or any letter doubled, become a lattice of what each
 sign may stand for; the Viterbi path under the character model and the channel's costs restores them. A logistic
 model over the presence of words and word beginnings in the restored text gives the score.
 
@@ -91,8 +91,9 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 DISGUISED = re.compile(
     r"(?=.*[^\W\d_])(?:.*[^\W_][0-9@$!|+(€£¢¡]|.*[0-9@$!|+(€£¢¡][^\W_]|(?:\S[.\-_*~/·•]+){2,}\S)", re.S
 )
-# A letter three times in a row, or three doubled letters.
-REPEATED = re.compile(r"(.)\1\1|(.)\2.*(.)\3.*(.)\4")
+# A doubled letter, or letters with signs between them.
+_SIGNS = re.escape(SEPARATORS + "".join(STANDS_FOR))
+REPEATED = re.compile(rf"([a-z\u00c0-\u024f])\1|[^\W\d_][{_SIGNS}]+[^\W\d_]")
 EDGE = " \t.,;:?\"'()[]{}<>*&%#=~_-`^/\\|"
 AT_END = EDGE + "!$@+"
 # Single signs held apart by any white space; marks may stand before the first and after any of them.
@@ -164,7 +165,7 @@ class Reader:
         if not plain:
             return ()
         words = [plain if plain.isascii() else plain.translate(FOLD)]
-        if (REPEATED.search if plain.isalpha() else DISGUISED.match)(plain):
+        if REPEATED.search(plain) or (not plain.isalpha() and DISGUISED.match(plain)):
             words += restore(plain, self.model)
         return tuple(self._of(words))
 
