@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import scratch_folder
 
-BATCH_BYTES = 8 << 20  # text handled at once inside a task
+BATCH_BYTES = 2 << 20  # text handled at once inside a task; some operators need fifty times as much memory
 
 
 @lru_cache(maxsize=1)
@@ -67,6 +68,29 @@ def byte_batches(
             yield batch.slice(start, end - start)
 
 
+def key_runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of rows with equal ``keys`` (whole numbers), which must arrive one group after the other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edge = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in columns:
+            edge |= c[1:] != c[:-1]
+        borders = [0, *(np.flatnonzero(edge) + 1).tolist(), batch.num_rows]
+        for start, end in itertools.pairwise(borders):
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _offset_type(texts: pa.Array):
     return np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_join, packing, substring_dedup, token_counts, toxicity, wavelet
+from tidemark.llm import chat, embedding_dedup, exact_dedup, merkle, mixing, ngram_join, packing, spelling, substring_dedup
+from tidemark.llm import token_counts, toxicity, warc, wavelet
 from tidemark.llm.common import ship_code, table
 from tidemark.session import scratch_folder
 
@@ -114,3 +115,47 @@ def op7_substring_dedup(spark, sf):
 def op6_embedding_near_dedup(spark, sf):
     found = embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def crc_of(*texts: Column) -> Column:
+    """Unsigned CRC-32 of the texts, joined; null counts as empty."""
+    return F.crc32(F.concat(*[F.coalesce(t.cast("string"), F.lit("")) for t in texts]).cast("binary"))
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    """Rows without an id are not tampered with."""
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [*columns[:-1], F.translate("text", spelling.UPPER, spelling.LOWER)]
+    chosen = F.col("doc_id").isNotNull() & (crc_of(F.col("doc_id")) % 3 == 0)
+    leaf = merkle.leaf_digest(columns)
+    tampered = F.when(chosen, merkle.leaf_digest(changed)).otherwise(leaf)
+    manifest = merkle.build(table(spark, sf, "documents"), leaf, "lang", "doc_id", {"tampered": tampered})
+    proofs = merkle.prove(manifest, manifest.leaves, claimed="tampered")
+    return proofs.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        "proof_sha256",
+        "folded_root",
+        (F.col("folded_root") == F.lit(manifest.root())).alias("verified"),
+    )
+
+
+@query
+def op12_warc(spark, sf):
+    folder = scratch_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder, date="2024-01-01T00:00:00Z")
+    found = warc.read_archives(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    """One in 199 runs, by a hash of document and run, loses a letter before words are counted."""
+    runs = spelling.letter_runs(table(spark, sf, "documents"), shortest=6)
+    h = crc_of(F.col("id"), F.lit(":"), F.col("run"))
+    place = (h % F.length("run")).cast("int")
+    word = F.when(h % 199 == 0, spelling.without_point(F.col("run"), place)).otherwise(F.col("run"))
+    return spelling.variants(spelling.word_counts(runs.select(word.alias("word")), shortest=6, least=5), ratio=5)
