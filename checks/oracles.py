@@ -164,7 +164,7 @@ for _e in _E:
     ORACLES[f"scd2_{_e}"] = _with(_scd2(_e), f"SELECT * FROM scd2_{_e}")
 ORACLES["scd2_order_items_sliced"] = ORACLES["scd2_order_items"]
 
-for _name in ("current_orders_rownum", "late_event_order", "stream_current_orders"):
+for _name in ("current_orders_rownum", "late_event_order", "stream_current_orders", "stored_orders_merged_twice"):
     ORACLES[_name] = ORACLES["current_orders"]
 
 # --- decode ------------------------------------------------------------------------------------------
@@ -305,7 +305,6 @@ _BY_PRODUCT = [
 _BY_CUSTOMER = [_current("orders"), _current("customers"), _STATUS, _MART_CUSTOMERS]
 
 ORACLES["mart_orders_by_date_status"] = _with(_BY_DATE_STATUS, "SELECT * FROM mart")
-ORACLES["stream_mart_orders_by_date_status"] = ORACLES["mart_orders_by_date_status"]
 ORACLES["mart_top_delivery_dates"] = _with(_BY_DATE, "SELECT * FROM mart")
 ORACLES["mart_top_delivery_dates_approx"] = _with(_BY_DATE, "SELECT *, 1 AS within_bound FROM mart")
 ORACLES["mart_pending_items_by_product"] = _with(_BY_PRODUCT, "SELECT * FROM mart")
@@ -552,3 +551,14 @@ ORACLES["dq_unmatched_items"] = _with(
        WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM src_products)
        GROUP BY product_id""",
 )
+
+ORACLES["stream_mart_orders_by_date_status"] = ORACLES["mart_orders_by_date_status"]
+ORACLES["stream_marts"] = f"""
+SELECT 'agg_orders_by_date_status' AS mart, CAST(delivery_date AS VARCHAR) AS key, status, CAST(NULL AS VARCHAR) AS name,
+  order_count AS n, CAST(NULL AS BIGINT) AS m FROM ({ORACLES["mart_orders_by_date_status"]})
+UNION ALL SELECT 'agg_top_delivery_dates', CAST(delivery_date AS VARCHAR), NULL, NULL, order_count, unique_customers
+  FROM ({ORACLES["mart_top_delivery_dates"]})
+UNION ALL SELECT 'agg_pending_items_by_product', CAST(product_id AS VARCHAR), status, product_name, pending_quantity, NULL
+  FROM ({ORACLES["mart_pending_items_by_product"]})
+UNION ALL SELECT 'agg_top_customers_open', CAST(customer_id AS VARCHAR), status, customer_name, order_count, NULL
+  FROM ({ORACLES["mart_top_customers_open"]})"""

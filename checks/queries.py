@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -207,19 +207,22 @@ def mart_top_delivery_dates(spark, sf):
 
 @query
 def mart_top_delivery_dates_approx(spark, sf):
-    """Exact counts per date, and whether the approximate one is within three standard deviations, plus one."""
-    near = marts.top_delivery_dates(
-        _orders(spark, sf, "delivery_date", "customer_id", "status"),
-        dims.dim_order_status(spark),
-        approximate=True,
-        rsd=APPROXIMATE_RSD,
-    ).withColumnRenamed("unique_customers", "_near")
-    error = F.abs(F.col("_near") - F.col("unique_customers"))
-    close = error <= 3 * APPROXIMATE_RSD * F.col("unique_customers") + 1
+    """Exact counts per date, and whether the ones from merged sketches, and from one pass, are within six standard deviations."""
+    orders, statuses = _orders(spark, sf, "order_id", "delivery_date", "customer_id", "status"), dims.dim_order_status(spark)
+    parts = [orders.filter(F.pmod("order_id", F.lit(3)) == n) for n in range(3)]
+    sketches = marts.merged_sketches(*[marts.customer_sketches(p, statuses) for p in parts])
+    merged = marts.counts_of(sketches).withColumnRenamed("unique_customers", "_merged")
+    near = marts.top_delivery_dates(orders, statuses, approximate=True, rsd=APPROXIMATE_RSD).withColumnRenamed("unique_customers", "_near")
+
+    def close(c, rsd):
+        return F.abs(F.col(c) - F.col("unique_customers")) <= 6 * rsd * F.col("unique_customers") + 2
+
+    both = close("_near", APPROXIMATE_RSD) & close("_merged", marts.SKETCH_RSD)
     return (
         mart_top_delivery_dates(spark, sf)
         .join(near, ["delivery_date", "order_count"], "full_outer")
-        .select("delivery_date", "order_count", "unique_customers", close.cast("int").alias("within_bound"))
+        .join(merged, ["delivery_date", "order_count"], "full_outer")
+        .select("delivery_date", "order_count", "unique_customers", both.cast("int").alias("within_bound"))
     )
 
 
@@ -446,9 +449,46 @@ def stream_fanout_counts(spark, sf):
 
 @query
 def stream_mart_orders_by_date_status(spark, sf):
+    return _refreshed_mart(spark, sf, "agg_orders_by_date_status")
+
+
+def _refreshed_mart(spark, sf, name):
     root = scratch_folder(use_utc(spark), "marts")
     _ingest(spark, sf, root, refresh_every=1)
-    return ingest.mart(spark, root, "agg_orders_by_date_status")
+    return ingest.mart(spark, root, name)
+
+
+@query
+def stream_marts(spark, sf):
+    """All four marts after a refresh by difference per micro-batch, as ``mart, key, status, name, n, m``."""
+    root = scratch_folder(use_utc(spark), "marts")
+    _ingest(spark, sf, root, refresh_every=1)
+    none, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    columns = {
+        "agg_orders_by_date_status": ("delivery_date", "status", none, "order_count", no_number),
+        "agg_top_delivery_dates": ("delivery_date", none, none, "order_count", "unique_customers"),
+        "agg_pending_items_by_product": ("product_id", "status", "product_name", "pending_quantity", no_number),
+        "agg_top_customers_open": ("customer_id", "status", "customer_name", "order_count", no_number),
+    }
+    parts = []
+    for name, (key, *rest) in columns.items():
+        shown = [F.col(c) if isinstance(c, str) else c for c in rest]
+        named = [c.alias(n) for c, n in zip(shown, ("status", "name", "n", "m"), strict=True)]
+        mart = ingest.mart(spark, root, name)
+        parts.append(mart.select(F.lit(name).alias("mart"), F.col(key).cast("string").alias("key"), *named))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def stored_orders_merged_twice(spark, sf):
+    """Current orders from three micro-batches, stored state being merged into its base after the first and the second."""
+    root = scratch_folder(use_utc(spark), "merged")
+    messages = to_messages(L.spread(L.log(spark, sf, ORDERS)), ORDERS).withColumn("part", F.pmod(F.hash("value"), F.lit(3)))
+    for n in range(3):
+        ingest.land(spark, messages.filter(F.col("part") == n).drop("part"), n, root, [ORDERS])
+        if n < 2:
+            ingest.tidy(spark, root, ORDERS)
+    return ingest.current(spark, root, ORDERS)
 
 
 @query

@@ -14,7 +14,7 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, con, sf, name):
-    assert differences(spark, con, sf, name) == []
+    assert differences(contract.queries()[name], contract.oracle_sql()[name], spark, con, sf) == []
 
 
 def test_every_query_has_sql():

@@ -12,6 +12,7 @@ from checks import logs as L
 from tidemark.entities import CUSTOMERS, ORDERS
 from tidemark.operators import cdc, dims, history
 from tidemark.plans import batch, marts
+from tidemark.sources.bases import last_base
 from tidemark.sources import stored
 from tidemark.sources.changes import to_messages
 from tidemark.streaming import ingest
@@ -80,19 +81,26 @@ def test_as_of_filter_reaches_the_history_files(spark, tmp_path):
     assert "LessThanOrEqual(cdc_source_ts_ms,3)" in formatted(history.as_of(kept, ORDERS, 3))
 
 
-def test_a_base_is_not_shuffled(spark, tmp_path):
-    root = str(tmp_path)
+@pytest.mark.parametrize("width", [4, 64, 200])
+def test_a_base_is_not_shuffled(spark, tmp_path, width):
+    root, before = str(tmp_path), spark.conf.get("spark.sql.shuffle.partitions")
     for n in range(2):
         rows = [record(ORDERS, k, n, n, "u", status=f"{n}") for k in range(n * 50, 100)]
         ingest.land(spark, to_messages(log(spark, ORDERS, rows), ORDERS), n, root, [ORDERS])
         if n == 0:
             stored.compact(spark, root, "current/orders", ORDERS, buckets=8)
-    now = ingest.current(spark, root, ORDERS, ["order_id", "status"])
-    counts = {r["status"]: r["count"] for r in now.groupBy("status").count().collect()}
-    assert counts == {"0": 50, "1": 50}
-    text = plan(now)
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        now = ingest.current(spark, root, ORDERS, ["order_id", "status"])
+        counts = {r["status"]: r["count"] for r in now.groupBy("status").count().collect()}
+        assert counts == {"0": 50, "1": 50}
+        text = plan(now)
+        stored.compact(spark, root, "current/orders", ORDERS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     base_side = text[text.index("SortMergeJoin") : text.index("Bucketed: true")]
     assert "Exchange" not in base_side
+    assert len(last_base(spark, root, "current/orders").files) == 8  # one file per bucket
 
 
 @pytest.fixture

@@ -10,8 +10,10 @@ from tidemark.operators import cdc, dims, history, state
 from tidemark.plans import marts
 from tidemark.plans.batch import Tables, analytical_orders
 from tidemark.sources.changes import file_messages, saved_messages, to_messages
-from tidemark.sources.tables import committed, last_base
-from tidemark.streaming import ingest, keyed, polling
+from tidemark.sources import bases
+from tidemark.sources.bases import last_base
+from tidemark.sources.tables import committed
+from tidemark.streaming import differences, ingest, keyed, polling
 
 
 def order_rows(seed=11, n=300):
@@ -112,14 +114,18 @@ def test_a_stream_without_its_offsets_does_not_start(spark, feed, tmp_path):
         run(spark, feed, root)
 
 
+def split(messages, parts):
+    """Messages in ``parts`` slices by position, so that later versions come in later slices."""
+    return [messages.filter(F.expr(f"pmod(offset, {parts}) = {i}")) for i in range(parts)]
+
+
 def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_path):
     plain, root = str(tmp_path / "plain"), str(tmp_path / "out")
-    run(spark, feed, plain, files=2, refresh_every=None)
-    run(spark, feed, root, files=2, refresh_every=None, tidy_every=2, buckets=4)
-    assert len(committed(spark, plain, "history/orders")) == 4
-
-    def base():
-        return last_base(spark, root, "current/orders", ORDERS.staged_schema, "order_id")[0]
+    for n, part in enumerate(split(saved_messages(spark, feed), 4)):
+        ingest.land(spark, part, n, plain)
+        ingest.land(spark, part, n, root)
+        if n % 2:
+            ingest.upkeep(spark, root, buckets=4)
 
     def check():
         for e in (ORDERS, ORDER_ITEMS):
@@ -130,10 +136,9 @@ def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_
                 map(repr, b.select(*kept).collect())
             )
 
-    for n in (1, 3):  # one file per bucket: the first base was dealt out, the second merged in place
-        parts = (tmp_path / f"out/base/current/orders/buckets=4/batch_id={n}").glob("part-*")
-        assert 0 < len(list(parts)) <= 4
-    assert base() == 3 and committed(spark, root, "rolled/history/orders") == [1, 3]
+    base = last_base(spark, root, "current/orders")
+    assert (base.generation, base.reached, base.buckets, len(base.files)) == (1, 3, 4, 4)
+    assert committed(spark, root, "rolled/history/orders") == [1, 3]
     assert committed(spark, root, "current/orders") == [2, 3]  # those below the older base are gone
     assert committed(spark, root, "history/orders") == [2, 3]
     check()
@@ -146,22 +151,159 @@ def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_
     check()
     ingest.tidy(spark, root, ORDERS)
     ingest.tidy(spark, root, ORDERS)  # nothing new: nothing to do
-    assert base() == 4
+    newest = last_base(spark, root, "current/orders")
+    assert (newest.generation, newest.reached) == (2, 4)
     check()
+    # One late record: one bucket was written, the others are the files they were.
+    assert sum(newest.files[b] != base.files[b] for b in newest.files) == 1
+    folder = tmp_path / "out/base/current/orders/buckets=4"
+    live = {f for b in (base, newest) for f, _ in b.files.values()}
+    assert {str(f.relative_to(folder)) for f in folder.glob("*/part-*")} == live
 
 
-def test_old_refreshes_are_dropped(spark, tmp_path):
-    rows = log(spark, ORDERS, [record(ORDERS, 1, 1, 0, "c", status="PENDING", delivery_date=5)])
-    ingest.land(spark, to_messages(rows, ORDERS), 0, str(tmp_path), [ORDERS])
-    for cycle in range(3):
-        ingest.refresh_marts(spark, str(tmp_path), cycle)
-    for name in marts.MARTS:
-        assert committed(spark, str(tmp_path), f"marts/{name}") == [0, 1, 2]
-    ingest.refresh_marts(spark, str(tmp_path), 3, keep_seconds=0)
-    for name in marts.MARTS:
-        assert committed(spark, str(tmp_path), f"marts/{name}") == [3]
-    assert committed(spark, str(tmp_path), "snapshot/orders") == []
-    assert ingest.mart(spark, str(tmp_path), marts.MARTS[0]).count() == 1
+def test_two_merges_at_once_do_not_lose_each_other(spark, tmp_path, monkeypatch):
+    from tidemark.sources import stored
+
+    root = str(tmp_path)
+    for n in range(3):
+        rows = [record(ORDERS, k, n, n, "u", status=f"{n}") for k in range(n * 10, 60)]
+        ingest.land(spark, to_messages(log(spark, ORDERS, rows), ORDERS), n, root, [ORDERS])
+        if n == 0:
+            stored.compact(spark, root, "current/orders", ORDERS, buckets=4)
+    write, calls = bases._write, []
+
+    def interrupted(*args):
+        out = write(*args)
+        if not calls:
+            calls.append(1)
+            stored.compact(spark, root, "current/orders", ORDERS, upto=1)  # another job commits first
+        return out
+
+    monkeypatch.setattr(bases, "_write", interrupted)
+    assert stored.compact(spark, root, "current/orders", ORDERS) == 2
+    base = last_base(spark, root, "current/orders")
+    assert (base.generation, base.reached) == (2, 2)
+    got = {r.order_id: r.status for r in ingest.current(spark, root, ORDERS).collect()}
+    assert got == {k: str(min(2, k // 10)) for k in range(60)}
+    written = {str(f.relative_to(tmp_path / "base/current/orders/buckets=4")) for f in tmp_path.glob("base/current/orders/buckets=4/*/part-*")}
+    previous = last_base(spark, root, "current/orders", upto=1)
+    assert written == {f for b in (base, previous) for f, _ in b.files.values()}  # the loser's files are gone
+
+
+def test_a_manifest_that_broke_off_is_passed_over(spark, tmp_path):
+    from tidemark.sources import stored
+
+    root = str(tmp_path)
+    for n in range(2):
+        rows = log(spark, ORDERS, [record(ORDERS, n, 1, 0, "c")])
+        ingest.land(spark, to_messages(rows, ORDERS), n, root, [ORDERS])
+        stored.compact(spark, root, "current/orders", ORDERS)
+        if n == 0:
+            (tmp_path / "base/current/orders/manifests/1.json").write_text('{"reached": 9, "fi')
+    assert last_base(spark, root, "current/orders").generation == 2
+    assert {r.order_id for r in ingest.current(spark, root, ORDERS).collect()} == {0, 1}
+
+
+def test_buckets_follow_the_size_of_the_table():
+    assert [bases.buckets_for(n, 10) for n in (0, 10, 11, 40, 41, 10**9)] == [1, 1, 2, 4, 8, bases.MOST_BUCKETS]
+
+
+def test_a_table_that_outgrows_its_buckets_is_dealt_anew(spark, tmp_path):
+    from tidemark.sources import stored
+
+    root = str(tmp_path)
+    for n in range(2):
+        rows = log(spark, ORDERS, [record(ORDERS, k, n, n, "u") for k in range(20 * (1 + 9 * n))])
+        ingest.land(spark, to_messages(rows, ORDERS), n, root, [ORDERS])
+        stored.compact(spark, root, "current/orders", ORDERS, buckets=1 + 7 * n)
+        assert last_base(spark, root, "current/orders").buckets == 1 + 7 * n
+    assert ingest.current(spark, root, ORDERS).count() == 200
+
+
+def expected_marts(spark, root):
+    """The four marts from current state, without differences."""
+    statuses = dims.dim_order_status(spark)
+    customers, products, orders, items = (ingest.current(spark, root, e) for e in ENTITIES)
+    return (
+        marts.orders_by_date_status(orders),
+        marts.top_delivery_dates(orders, statuses),
+        marts.pending_items_by_product(items, orders, products, statuses),
+        marts.top_customers_open(orders, customers, statuses),
+    )
+
+
+def test_marts_by_difference_equal_marts_from_state(spark, tmp_path):
+    """Deletes, re-inserts, late and repeated records, orders after their items, and upkeep between refreshes."""
+    root, rng = str(tmp_path), random.Random(4)
+    names = [s[0] for s in dims.ORDER_STATUSES] + [None]
+    for n in range(5):
+        orders = [
+            record(ORDERS, rng.randrange(40), rng.randrange(100), 100 * n + i, rng.choice("ccuud"), status=rng.choice(names),
+                   delivery_date=rng.choice([None, 20_000, 20_001]), customer_id=rng.choice([None, 1, 2, 3]))
+            for i in range(40)
+        ]
+        items = [
+            record(ORDER_ITEMS, rng.randrange(60), rng.randrange(100), 100 * n + i, rng.choice("ccuud"), order_id=rng.choice([None, *range(45)]),
+                   product_id=rng.choice([None, 1, 2, 3]), quantity=rng.choice([None, 0, 5, -5]))
+            for i in range(60)
+        ]
+        products = [record(ENTITIES[1], 1 + n % 3, n, n, "u", product_name=f"p{n}")]
+        messages = to_messages(log(spark, ORDERS, orders), ORDERS).unionByName(to_messages(log(spark, ORDER_ITEMS, items), ORDER_ITEMS))
+        messages = messages.unionByName(to_messages(log(spark, ENTITIES[1], products), ENTITIES[1]))
+        ingest.land(spark, messages, n, root)
+        if n == 2:
+            continue  # the next refresh takes two micro-batches
+        assert ingest.refresh_marts(spark, root, n)
+        assert not ingest.refresh_marts(spark, root, n)  # a replayed micro-batch finds it done
+        if n in (1, 3):
+            ingest.upkeep(spark, root, buckets=3)
+        for name, mart in zip(marts.MARTS, expected_marts(spark, root), strict=True):
+            assert same(ingest.mart(spark, root, name), mart) and not mart.isEmpty()
+    assert committed(spark, root, "refreshed")[-1] == 4 and committed(spark, root, "changes/orders") == [4]
+
+
+def test_a_refresh_reads_the_buckets_that_changed(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = [record(ORDERS, k, 1, 0, "c", status="PENDING", delivery_date=20_000, customer_id=k) for k in range(400)]
+    ingest.land(spark, to_messages(log(spark, ORDERS, rows), ORDERS), 0, root)
+    ingest.refresh_marts(spark, root, 0)
+    ingest.upkeep(spark, root, buckets=16)
+    late = log(spark, ORDERS, [record(ORDERS, 7, 2, 1, "u", status="COMPLETED", delivery_date=20_000, customer_id=7)])
+    ingest.land(spark, to_messages(late, ORDERS), 1, root)
+    read, opened = bases.read_base, {}
+
+    def counted(spark, root, table, schema, key, base, only=None):
+        own = len(base.files if only is None else set(only) & set(base.files))
+        opened[table] = max(own, opened.get(table, 0))
+        return read(spark, root, table, schema, key, base, only)
+
+    for module in ("stored", "sums"):
+        monkeypatch.setattr(f"tidemark.sources.{module}.read_base", counted)
+    ingest.refresh_marts(spark, root, 1)
+    assert opened["current/orders"] == 1 and opened["sums/date_customers"] == 1
+    assert set(opened.values()) <= {0, 1}
+    monkeypatch.undo()
+    by_date = spark.read.parquet(f"{root}/sums/agg_top_delivery_dates/batch_id=1").collect()
+    assert [(r.order_count, r.unique_customers) for r in by_date] == [(-1, -1)]
+    assert ingest.mart(spark, root, "agg_top_delivery_dates").first().unique_customers == 399
+
+
+def test_upkeep_beside_a_running_stream(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    query = ingest.start(file_messages(spark, feed, 1), root, every=None)
+    rounds = 0
+    while query.isActive:
+        try:
+            ingest.upkeep(spark, root, buckets=2)
+            rounds += 1
+        except Exception:  # a table that is being written for the first time
+            if not query.isActive:
+                raise
+        query.awaitTermination(1)
+    assert query.exception() is None and rounds
+    ingest.upkeep(spark, root)
+    for name, mart in zip(marts.MARTS, expected_marts(spark, root), strict=True):
+        assert same(ingest.mart(spark, root, name), mart)
 
 
 def test_an_empty_micro_batch(spark, tmp_path):
@@ -188,7 +330,9 @@ def test_envelopes_land_like_flat_messages(spark, tmp_path):
 def test_marts_may_be_refreshed_less_often(spark, feed, tmp_path):
     root = str(tmp_path / "out")
     run(spark, feed, root, files=2, refresh_every=2)
-    assert committed(spark, root, f"marts/{marts.MARTS[0]}") == [1, 3]
+    assert committed(spark, root, "refreshed") == [1, 3]
+    for name, mart in zip(marts.MARTS, expected_marts(spark, root), strict=True):
+        assert same(ingest.mart(spark, root, name), mart)
 
 
 def test_a_batch_without_its_marker_is_not_read(spark, tmp_path):
@@ -204,10 +348,10 @@ def test_marts_are_read_from_one_complete_refresh(spark, feed, tmp_path):
     root = str(tmp_path / "out")
     assert ingest.mart(spark, root, marts.MARTS[0]).isEmpty()
     run(spark, feed, root)
-    last = committed(spark, root, f"marts/{marts.MARTS[0]}")[-1]
+    last = differences.last_refresh(spark, root)
     before = ingest.mart(spark, root, marts.MARTS[0]).collect()
-    empty = ingest.mart(spark, root, marts.MARTS[0]).limit(0)
-    ingest.write_batch(empty, root, f"marts/{marts.MARTS[0]}", last + 1)  # a refresh that broke off
+    broken_off = ingest.mart(spark, root, marts.MARTS[0])  # a refresh without its marker
+    differences.BY_DATE_STATUS.write(broken_off, root, last + 1)
     assert sorted(ingest.mart(spark, root, marts.MARTS[0]).collect()) == sorted(before)
 
 

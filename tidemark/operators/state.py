@@ -52,7 +52,7 @@ def current(records: DataFrame, entity: Entity, columns: Sequence[str] | None =
 def merge_latest(base: DataFrame, changes: DataFrame, entity: Entity) -> DataFrame:
     """The newer row per key of two relations with one row per key each.
 
-    A ``base`` bucketed by key is read in place; only ``changes`` are shuffled.
+    A ``base`` in buckets is read as it lies if ``changes`` are dealt out alike (``sources.bases.aligned``).
     """
     rest = [c for c in changes.columns if c not in (entity.key, VERSION, SEQ)]
     row = F.struct(VERSION, SEQ, *rest)

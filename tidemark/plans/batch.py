@@ -18,18 +18,15 @@ from tidemark.functions.columns import money, name_or, user_number
 from tidemark.operators.state import upsert
 from tidemark.plans.reports import checked_limit
 from tidemark.session import together
+from tidemark.sources.bases import aligned, folder_bytes, last_base, merge_base, read_base
 from tidemark.sources.tables import (
     BATCH,
-    BUCKETS,
     batch_path,
     committed,
-    drop_bases,
     drop_batches,
-    last_base,
     read_batch,
     read_batches,
     schema_of,
-    write_base,
     write_batch,
 )
 
@@ -299,13 +296,13 @@ def _upserted(
     only = F.lit(True) if only is None else only
     last = last_cycle(spark, root)
     upto = -1 if last is None else last
-    base = last_base(spark, root, table, schema, key)
+    base = last_base(spark, root, table)
     if base is None:
         rows = read_batches(spark, root, table, schema, upto=upto).filter(only)
         return fold(rows, key, schema.names, keep)
-    reached, rows = base
-    later = read_batches(spark, root, table, schema, after=reached, upto=upto).filter(only)
-    return upsert(rows.filter(only), fold(later, key, schema.names, keep), key, keep)
+    rows = read_base(spark, root, table, schema, key, base).filter(only)
+    later = aligned(read_batches(spark, root, table, schema, after=base.reached, upto=upto).filter(only), key, base)
+    return upsert(rows, fold(later, key, schema.names, keep), key, keep)
 
 
 def analytical_orders(spark: SparkSession, root: str) -> DataFrame:
@@ -316,22 +313,30 @@ def analytical_items(spark: SparkSession, root: str) -> DataFrame:
     return _upserted(spark, root, ITEMS_TABLE, ITEMS_SCHEMA, "id", ITEMS_KEEP)
 
 
-def compact(spark: SparkSession, root: str, buckets: int = BUCKETS) -> int | None:
+def compact(spark: SparkSession, root: str, buckets: int | None = None) -> int | None:
     """Fold the complete cycles of both tables into bases, so that readers fold only later ones."""
     last = last_cycle(spark, root)
     if last is None:
         return None
-    for table, schema, key, read in (
-        (ORDERS_TABLE, ORDERS_SCHEMA, "order_id", analytical_orders),
-        (ITEMS_TABLE, ITEMS_SCHEMA, "id", analytical_items),
+    for table, schema, key, keep in (
+        (ORDERS_TABLE, ORDERS_SCHEMA, "order_id", ORDERS_KEEP),
+        (ITEMS_TABLE, ITEMS_SCHEMA, "id", ITEMS_KEEP),
     ):
-        base = last_base(spark, root, table, schema, key)
-        if base is None or base[0] < last:
-            first = base is None
-            write_base(read(spark, root), root, table, schema, last, key, buckets, first)
-        if base is not None:  # the base just replaced stays, for readers that have begun
-            drop_bases(spark, root, table, before=base[0])
-            drop_batches(spark, root, table, before=min(base[0] + 1, last))
+
+        def changes(reached: int | None, table=table, schema=schema, key=key, keep=keep):
+            new = [b for b in committed(spark, root, table) if b <= last and (reached is None or b > reached)]
+            if not new:
+                return None
+            rows = read_batches(spark, root, table, schema, after=reached, upto=last)
+            size = folder_bytes(spark, [batch_path(root, table, b) for b in new])
+            return last, fold(rows, key, schema.names, keep), size
+
+        before = last_base(spark, root, table)
+        merge_base(
+            spark, root, table, schema, key, changes, lambda old, new, key=key, keep=keep: upsert(old, new, key, keep), buckets
+        )
+        if before is not None:  # the base just replaced stays, for readers that have begun
+            drop_batches(spark, root, table, before=min(before.reached + 1, last))
     return last
 
 

@@ -6,6 +6,8 @@ row per id and status rather than every order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ ITEM_COLUMNS = ["order_id", "product_id", "quantity"]
 PRODUCT_COLUMNS = ["product_id", "product_name"]
 CUSTOMER_COLUMNS = ["customer_id", "customer_name"]
 
+SKETCH_LG_K = 12  # a sketch has 2**12 places, some 4 KB once it is full
+SKETCH_RSD = 1.04 / 2 ** (SKETCH_LG_K / 2)
+
 # In refresh order.
 MARTS = (
     "agg_orders_by_date_status",
@@ -54,6 +59,31 @@ def top_delivery_dates(
     )
 
 
+def customer_sketches(orders: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Open orders per delivery date with a sketch of their customers, which can be merged with others."""
+    return (
+        open_orders(orders, statuses)
+        .filter(F.col("delivery_date").isNotNull())
+        .groupBy("delivery_date")
+        .agg(F.count(F.lit(1)).alias("order_count"), F.hll_sketch_agg("customer_id", SKETCH_LG_K).alias("customers"))
+    )
+
+
+def merged_sketches(*parts: DataFrame) -> DataFrame:
+    """Sketches of several parts of the orders, per date, as one."""
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("delivery_date")
+        .agg(F.sum("order_count").alias("order_count"), F.hll_union_agg("customers", F.lit(False)).alias("customers"))
+    )
+
+
+def counts_of(sketches: DataFrame) -> DataFrame:
+    """The mart of the delivery dates as sketches tell it."""
+    customers = F.hll_sketch_estimate("customers").alias("unique_customers")
+    return sketches.select("delivery_date", "order_count", customers)
+
+
 def pending_items_by_product(
     items: DataFrame, orders: DataFrame, products: DataFrame, statuses: DataFrame
 ) -> DataFrame:

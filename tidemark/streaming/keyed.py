@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.entities import SEQ, VERSION, Entity
 from tidemark.operators import cdc
 from tidemark.sources import stored
-from tidemark.sources.tables import BUCKETS, write_batch
+from tidemark.sources.tables import write_batch
 
 _ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -79,6 +79,6 @@ def current(spark: SparkSession, root: str, entity: Entity) -> DataFrame:
     return stored.live_rows(spark, root, f"keyed/{entity.name}", entity)
 
 
-def compact(spark: SparkSession, root: str, entity: Entity, buckets: int = BUCKETS) -> int | None:
+def compact(spark: SparkSession, root: str, entity: Entity, buckets: int | None = None) -> int | None:
     """Merge what the stream has written so far; run it from time to time."""
     return stored.compact(spark, root, f"keyed/{entity.name}", entity, buckets)
