@@ -11,11 +11,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import scratch_folder
+from tidemark.sources.tables import drop_folder
 
 BATCH_BYTES = 2 << 20  # text handled at once inside a task; some operators need fifty times as much memory
 
@@ -44,8 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def landed(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: later steps survive lost executors."""
     folder = scratch_folder(df.sparkSession, purpose)
-    df.write.partitionBy(*partition_by).parquet(folder) if partition_by else df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.write.option("compression", "zstd")
+    out.partitionBy(*partition_by).parquet(folder) if partition_by else out.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.landed_in = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``landed`` table once nothing that is still to run reads it."""
+    drop_folder(df.sparkSession, df.landed_in)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -143,3 +152,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def as_stored(docs: DataFrame, place: str) -> DataFrame:
+    """``docs``, read from Parquet files, with the rows' places in the order they were written in, from 0 without gaps.
+
+    Spark numbers part files by partition, so what was sorted over all partitions keeps its order.
+    """
+    path, row, number, before = unused(docs, "_path", "_row", "_number", "_before")
+    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    files = rows.groupBy(path).agg(F.count(F.lit(1)).alias(number))
+    part = F.regexp_extract(F.element_at(F.split(F.col(path), "/"), -1), r"part-(\d+)", 1).cast("long")
+    earlier = Window.orderBy(part, path).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(path, F.coalesce(F.sum(number).over(earlier), F.lit(0)).alias(before))
+    # A row per file, and files are listed on the driver anyway.
+    return rows.join(F.broadcast(starts), path).withColumn(place, F.col(before) + F.col(row)).drop(path, row, before)

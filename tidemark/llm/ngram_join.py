@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import byte_batches, landed, record_batch, schema
+from tidemark.llm.common import byte_batches, discard, landed, record_batch, schema, unused
 from tidemark.llm.components import connected_components
 from tidemark.llm.words import U64, byte_values, mixed, span_hashes, text_buffer, window_hashes, word_spans
 
@@ -92,6 +91,10 @@ class Similarity:
     n: int = 5
     percent: int = 80
 
+    def __post_init__(self):
+        if self.n < 1 or not 1 <= self.percent <= 100:
+            raise ValueError("n must be 1 or more, and percent from 1 to 100")
+
     def max_difference(self, sizes: int) -> int:
         """Most n-grams in which two similar sets with this sum of sizes can differ."""
         return (100 - self.percent) * sizes // (100 + self.percent)
@@ -100,9 +103,8 @@ class Similarity:
         return 100 * size // self.percent
 
     def bands(self, size: int) -> list[int]:
-        """Bands a set takes part in: its own, and the next if it can be similar to a set there."""
-        own = size.bit_length() - 1
-        return [own, own + 1] if 100 * size >= self.percent * (2 << own) else [own]
+        """Bands a set takes part in: its own, and those above in which a set can be similar to it."""
+        return list(range(size.bit_length() - 1, self.largest_partner(size).bit_length()))
 
 
 @dataclass(frozen=True)
@@ -120,20 +122,25 @@ class Allocation:
 def allocate(similarity: Similarity, band: int, documents: int, frequent: float) -> Allocation:
     """The cheapest split of a band's weight.
 
-    Cost is entries times (1 + documents met by chance in one). Segments hold about ``k`` n-grams each, Poisson spread;
-    one is shared by chance if all its n-grams are frequent ones, ``frequent`` being their share, so with probability
-    ``exp(-k * (1 - frequent))``, and with one left out about ``k`` times that.
+    Cost is entries plus documents met by chance in them. Segments hold about ``k`` n-grams each, Poisson spread; one is shared by
+    chance if all its n-grams are frequent ones, ``frequent`` being their share, so with probability ``exp(-k * (1 - frequent))``.
+    Of the segments of weight 1 such bare ones are left out first, so they cost nothing while there are not more of them than may be
+    left out. Those of weight 2 are all indexed, with ``k`` more entries each, which are bare if at most the n-gram left out is rare.
     """
     largest = (2 << band) - 1
     need = similarity.max_difference(2 * largest) + 1
     weight = need + int(SPARE * need)
+    size = 0.75 * largest
+    agree = weight - similarity.max_difference(int(2 * size))
     best, chosen = None, 0
     for pairs in sorted({round(weight * s / 16) for s in range(9)}):
         if pairs * 2 > weight:
             continue
-        size = 0.75 * largest / (weight - pairs)
-        met = documents * math.exp(-size * (1 - frequent))
-        cost = (weight - 2 * pairs) * (1 + met) + pairs * (1 + met + size * (1 + min(documents, met * size)))
+        singles, k = weight - 2 * pairs, size / (weight - pairs)
+        bare = math.exp(-k * (1 - frequent))
+        kept = max(0, singles - agree + 1)
+        met = max(0.0, singles * bare - (singles - kept)) + pairs * bare * (1 + k * (2 - frequent))
+        cost = kept + pairs * (1 + k) + documents * met
         if best is None or cost < best:
             best, chosen = cost, pairs
     return Allocation(weight, chosen)
@@ -253,9 +260,13 @@ def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 
 def _folded(fine: Column, words: Column) -> Column:
-    """A sketch of twice as many cells brought to ``words`` words; similar sets differ by one doubling at most."""
-    halves = F.zip_with(F.slice(fine, F.lit(1), words), F.slice(fine, words + 1, words), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(fine) > words, halves).otherwise(fine)
+    """A sketch brought to ``words`` words, of which it has some power of two times as many."""
+    parts = F.sequence(F.lit(0), (F.size(fine) / words).cast("int") - 1)
+    first = F.transform(F.sequence(F.lit(1), words), lambda i: F.lit(0).cast("long"))
+    folded = F.aggregate(
+        parts, first, lambda out, part: F.zip_with(out, F.slice(fine, part * words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    )
+    return F.when(F.size(fine) > words, folded).otherwise(fine)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -278,8 +289,20 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
 
 def _split(members: DataFrame) -> DataFrame:
     """Members of entries that hold more than one component."""
-    split = members.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(split.filter("lo <> hi").select("signature"), "signature")
+    split = members.groupBy("signature").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")
+    )
+    return members.drop("size").join(split.filter("lo <> hi").select("signature", "size"), "signature")
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    """Members in an order by hash, ``rank`` being about the place in it; the first of the entry has 1, the others more.
+
+    The place follows from the hash and the size of the entry, so that no task sees a whole entry.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64("signature", "id"), 11) + 1  # 53 bits
+    rank = F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(1 + hashed / float(1 << 53) * F.col("size"))
+    return members.withColumn("rank", rank).drop("pivot")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -309,7 +332,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, step: int, similarity: Sim
     a, b = members.alias("a"), members.alias("b")
     later = (
         (F.col("a.signature") == F.col("b.signature"))
-        & (F.col("b.rank") > F.col("a.rank"))
+        & ((F.col("b.rank") > F.col("a.rank")) | ((F.col("b.rank") == F.col("a.rank")) & (F.col("b.id") > F.col("a.id"))))
         & (F.col("a.component") != F.col("b.component"))
         & _plausible(similarity)
     )
@@ -341,30 +364,27 @@ def similar_documents(
     share = float(found["n"].sum()) / max(1, totals["shingles"] or 0)
     sizes = profiles.filter("n_shingles > 0").groupBy(F.floor(F.log2("n_shingles")).alias("band")).count().collect()
     held = {r["band"]: r["count"] for r in sizes}
-    wanted = {b + i for b in held for i in (-1, 0, 1, 2) if b + i >= 0}
+    wanted = range(max(held, default=0) + similarity.largest_partner(2).bit_length() + 1)
     allocations = {b: allocate(similarity, b, held.get(b, 0), share) for b in wanted}
 
     signed = landed(rows.mapInArrow(_signed(similarity, allocations, frequent), SIGNATURES), "signatures")
     nodes = classes.select(F.col("class_id").alias("id"), "n_shingles", *SKETCH)
-    # All entries are shuffled once: both sides of the join read the same exchange. Sets go by half of their digest, as
-    # the class id is not known yet; two sets that share that half are only compared once more.
-    present = signed.filter("digest_1 IS NOT NULL AND signature IS NOT NULL")  # stated, so that both sides have the same plan
-    entries = present.repartition("signature")
-    shared = entries.groupBy("signature").agg(F.min("digest_1").alias("lo"), F.max("digest_1").alias("hi"))
-    shared = entries.join(shared.filter("lo <> hi").select("signature"), "signature").distinct()
-    named = shared.join(classes.select(F.col("class_id").alias("id"), "digest_1"), "digest_1")
-    named = landed(named.select("signature", "id").distinct(), "entries")
+    # Entries that several sets have are found by a combined aggregate; only those are named. Sets go by half of their digest,
+    # as two that share it are only compared once more.
+    several = signed.groupBy("signature").agg(F.min("digest_1").alias("lo"), F.max("digest_1").alias("hi"))
+    several = landed(several.filter("lo <> hi").select("signature"), "shared")
+    owners = signed.join(several, "signature").join(classes.select(F.col("class_id").alias("id"), "digest_1"), "digest_1")
+    named = landed(owners.select("signature", "id").distinct(), "entries")
+    discard(signed)
     pivots = named.groupBy("signature").agg(F.min("id").alias("pivot"))
-    members = landed(named.join(pivots, "signature"), "members")
+    members = landed(named.join(landed(pivots, "pivots"), "signature"), "members")
     sets = rows.join(members.select("id").distinct(), "id").mapInArrow(_sets(similarity.n), SETS)
     sets = landed(sets, "sets")
 
     tested = [landed(_with_first(members, nodes, similarity), "pairs")]
     links = [landed(similar(tested[0], sets, similarity), "links")]
     labels = landed(connected_components(links[0]), "labels")
-    rank = F.row_number().over(Window.partitionBy("signature").orderBy(F.col("id") != F.col("pivot"), "id"))
-    open_members = _split(_labelled(members, labels)).withColumn("rank", rank).drop("pivot")
-    open_members, step = landed(open_members, "unresolved"), 1
+    open_members, step = landed(_ranked(_split(_labelled(members, labels))), "unresolved"), 1
     while open_members.filter(F.col("rank") > step).head(1):
         more = _candidates(open_members, nodes, step, similarity)
         for done in tested:
@@ -396,9 +416,16 @@ def similar_documents(
 def drop_similar(
     docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each group of similar ones, all columns kept."""
-    found = similar_documents(docs, similarity, id_col, text_col)
-    # A null id is the smallest, so its row always stays.
-    gone = found.filter("id IS NOT NULL AND NOT id <=> component_id").select(F.col("id").alias("gone_id"))
-    gone = landed(gone.distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """``docs`` with one row of each group of similar ones, all columns kept: that of the smallest id, nulls first.
+
+    It is decided by row: an id that occurs with several texts loses only those that are similar to a row that stays.
+    """
+    row, kept_row = unused(docs, "_row", "_kept_row")
+    numbered = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = similar_documents(numbered, similarity, row, text_col)
+    found = found.select(F.col("id").alias(row), "component_id").join(numbered.select(row, F.col(id_col).alias("_id")), row)
+    found = landed(found, "groups")
+    groups = found.groupBy("component_id").agg(F.min(F.struct("_id", row))[row].alias(kept_row), F.count(F.lit(1)).alias("n"))
+    groups = landed(groups.filter("n > 1").drop("n"), "kept")
+    gone = landed(found.join(groups, "component_id").filter(F.col(row) != F.col(kept_row)).select(row), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -22,8 +22,14 @@ def byte_values(seed: int, fold_case: bool = False) -> np.ndarray:
     return values
 
 
+STRETCH = 1 << 20  # bytes or words hashed at once; a longer text is hashed in stretches, which gives the same
+
+
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far."""
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far.
+
+    That is a stretch and a span: spans are short, but for a word longer than a stretch.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
@@ -74,11 +80,18 @@ def word_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """One hash per span of bytes."""
-    BYTES.grow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(values[data] * BYTES.up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * BYTES.down[starts] + (ends - starts).astype(U64))
+    """One hash per span of bytes; spans follow one another."""
+    out, at = np.empty(len(starts), dtype=U64), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, side="right")))
+        first, last = int(starts[at]), int(ends[stop - 1])
+        s, e = starts[at:stop] - first, ends[at:stop] - first
+        BYTES.grow(last - first + 1)
+        sums = np.zeros(last - first + 1, dtype=U64)
+        np.cumsum(values[data[first:last]] * BYTES.up[: last - first], out=sums[1:])
+        out[at:stop] = mixed((sums[e] - sums[s]) * BYTES.down[s] + (e - s).astype(U64))
+        at = stop
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, powers: Powers = WORDS) -> np.ndarray:
@@ -86,7 +99,12 @@ def window_hashes(words: np.ndarray, size: int, powers: Powers = WORDS) -> np.nd
     count = len(words) - size + 1
     if count <= 0:
         return np.zeros(0, dtype=U64)
-    powers.grow(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=U64)
-    np.cumsum(words * powers.up[: len(words)], out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * powers.down[:count])
+    out = np.empty(count, dtype=U64)
+    for at in range(0, count, STRETCH):
+        part = words[at : at + STRETCH + size - 1]
+        powers.grow(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=U64)
+        np.cumsum(part * powers.up[: len(part)], out=sums[1:])
+        own = len(part) - size + 1
+        out[at : at + own] = mixed((sums[size:] - sums[:-size]) * powers.down[:own])
+    return out
