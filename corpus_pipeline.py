@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tidemark.llm.common import ship_code, table, unused
+from tidemark.llm.common import as_stored, ship_code, table, unused
 from tidemark.session import scratch_folder
 
 TOXIC_FROM = 0.5
+STRETCH = 1_000  # documents, in mixed order, that are packed together
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences that follow the order the documents were stored in: ascending ``sequence_id`` keeps the mixture."""
     ship_code(spark)
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    (place,) = unused(docs, "place")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.token_pieces(as_stored(docs, place), path, end_id=0, capacity=2048, place_col=place)
     columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return packing.pack(pieces, 2048).select(F.col("id").alias("doc_id"), *columns)
+    in_order = packing.pack(pieces, 2048, per_partition=STRETCH, in_order=True)
+    return in_order.select(F.col("id").alias("doc_id"), *columns)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ text exactly one is kept. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import landed, tasks, text_or_empty, unused
@@ -27,12 +27,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")
 
 
+def digest_of(text_col: str) -> Column:
+    return F.sha2(normalised(text_or_empty(text_col)), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row_id``, ``id`` and ``digest`` of every row."""
     return docs.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col(id_col).alias("id"),
-        F.sha2(normalised(text_or_empty(text_col)), 256).alias("digest"),
+        digest_of(text_col).alias("digest"),
     )
 
 
@@ -71,27 +75,29 @@ def exact_duplicates(
         F.col("digest").alias("text_sha256"),
     )
     others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    shuffled = others.withColumn("_first", F.min(F.struct("id", "row_id")).over(same)).select(
+    # Counted by a combined aggregate and joined from a written table, so that adaptive execution can split what is still large.
+    several = landed(winners(others).filter("group_size > 1"), "several")
+    shuffled = others.join(several, "digest", "left").select(
         "id",
-        F.col("_first.id").alias("keep_id"),
-        F.count(F.lit(1)).over(same).alias("group_size"),
-        (F.col("row_id") == F.col("_first.row_id")).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row_id") == F.col("keep.row_id"), F.lit(True)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
     return in_place.unionByName(shuffled)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Texts of frequent digests never move, but for one row each."""
-    digest, keep_id, is_hot, number = unused(docs, "_digest", "_keep_id", "_hot", "_number")
-    keyed = docs.withColumn(digest, F.sha2(normalised(text_or_empty(text_col)), 256))
-    rows = landed(digests(docs, id_col, text_col), "digests")
+    """The rows of ``docs`` that stay, with all their columns: of equal texts that of the smallest id."""
+    row, kept_row = unused(docs, "_row", "_kept_row")
+    numbered = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("row_id"), F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
+    rows = landed(rows, "digests")
     limit = max(2, rows.count() // TOP)
     hot = winners(rows.join(F.broadcast(frequent(rows)), "digest", "left_semi")).filter(F.col("group_size") >= limit)
-    hot = landed(hot.select(F.col("digest").alias(digest), F.col("keep.id").alias(keep_id)), "hot")
-    marked = keyed.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), digest, "left")
-    # Of a frequent digest only rows with the smallest id go on; there is more than one only if an id is repeated.
-    rest = marked.filter(F.col(is_hot).isNull() | F.col(id_col).eqNullSafe(F.col(keep_id)))
-    order = Window.partitionBy(digest).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns))
-    return rest.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).select(*docs.columns)
+    hot = landed(hot.select("digest", F.col("keep.row_id").alias(kept_row)), "hot")
+    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    several = landed(winners(others).filter("group_size > 1").select("digest", F.col("keep.row_id").alias(kept_row)), "several")
+    found = rows.join(F.broadcast(hot), "digest").unionByName(others.join(several, "digest"))
+    gone = landed(found.filter(F.col("row_id") != F.col(kept_row)).select(F.col("row_id").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

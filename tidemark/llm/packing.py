@@ -1,11 +1,14 @@
 """Best-fit packing with certified bin counts.
 
 Documents become runs of token ids; one longer than a sequence is cut into full sequences, its first piece
-taking the remainder. Only remainders need packing. They are dealt by hash into partitions of bounded size; each
-is packed best-fit decreasing and compared with a lower bound from dual feasible functions. A partition
+taking the remainder. Only remainders need packing. They are dealt by hash, or in stretches of a given order, into partitions of
+bounded size; each is packed best-fit decreasing and compared with a lower bound from dual feasible functions. A partition
 that meets its bound is done but for its emptiest sequence. The others hand the documents of their unfilled sequences to a common pool, which is
 dealt anew into fewer, larger partitions and packed again; a round that saves no sequence is not taken.
 
+In order, sequences are numbered by their first document, so that a schedule of sources holds from stretch to stretch of the
+sequences as well; the pool is dealt in order too.
+
 Null and empty texts are a single end token. Rows are told apart by their place in the input, so repeated ids are
 packed as separate documents. No documents: no rows.
 """
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_batches, landed, record_batch, schema
@@ -30,7 +33,8 @@ ROUNDS = 4
 BINS = 1 << 18  # more than a partition can open; hashing deals out at most a few times ITEMS_PER_PARTITION
 PIECES = schema("row_id long, id long, piece int, start long, length long, ids_crc32 long")
 PIECES_WITH_IDS = schema("row_id long, id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
-PLACED = schema("row_id long, length long, part long, bin long, offset long, closed boolean, saved long")
+PLACED = schema("row_id long, length long, part long, bin long, offset long, closed boolean, saved long, first_row long")
+PIECE_SPAN = 1 << 24  # pieces of a document, in the numbers of sequences in order
 
 
 def cut_points(total: int, capacity: int) -> np.ndarray:
@@ -67,10 +71,14 @@ def token_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    place_col: str | None = None,
 ) -> DataFrame:
-    """The pieces of every document, with their ids if asked for."""
+    """The pieces of every document, with their ids if asked for.
+
+    ``place_col`` holds the documents' places in an order that :func:`pack` is to keep, from 0 without gaps.
+    """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(place_col) if place_col else F.monotonically_increasing_id()).alias("row_id"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
     )
@@ -136,7 +144,8 @@ def _pack(capacity: int):
         gap = len(room) - lower_bound(lengths, capacity)
         closed = (room == 0) | (gap == 0)  # certified, or nothing to gain from this sequence
         closed[np.argmax(room)] = room.max() == 0  # a bound per partition rounds up, so its emptiest may still be saved
-        return items.assign(bin=bins, offset=offsets, closed=closed[bins], saved=gap)[PLACED.fieldNames()]
+        first = items["row_id"].groupby(bins).transform("min")
+        return items.assign(bin=bins, offset=offsets, closed=closed[bins], saved=gap, first_row=first)[PLACED.fieldNames()]
 
     return run
 
@@ -146,23 +155,38 @@ def _dealt(items: DataFrame, parts: int, round_no: int) -> DataFrame:
     return items.select("row_id", "length", part.alias("part"))
 
 
-def pack_items(items: DataFrame, capacity: int, per_partition: int, rounds: int) -> DataFrame:
-    """Place items (``row_id``, ``length`` up to ``capacity``): ``part`` and ``bin`` name the sequence, and ``offset``."""
+def _dealt_in_order(open_items: DataFrame, larger: int, round_no: int) -> DataFrame:
+    """Neighbouring partitions together, until they hold ``larger`` items."""
+    counts = open_items.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / larger) + round_no * (1 << 40)
+    joined = open_items.select("row_id", "length", "part").join(counts.select("part", part.alias("_to")), "part")
+    return joined.select("row_id", "length", F.col("_to").alias("part"))
+
+
+def pack_items(items: DataFrame, capacity: int, per_partition: int, rounds: int, in_order: bool = False) -> DataFrame:
+    """Place items (``row_id``, ``length`` up to ``capacity``): ``part`` and ``bin`` name the sequence, and ``offset``.
+
+    ``first_row`` is the smallest ``row_id`` in the sequence.
+    """
     if per_partition > BINS // 8:
         raise ValueError(f"per_partition can be {BINS // 8} at most")
-    count = items.count()
     done: list[DataFrame] = []
-    placed = landed(
-        _dealt(items, -(-count // per_partition) or 1, 0).groupBy("part").applyInPandas(_pack(capacity), PLACED),
-        "packed",
-    )
+    if in_order:
+        dealt = items.select("row_id", "length", F.expr(f"row_id div {per_partition}").alias("part"))
+    else:
+        dealt = _dealt(items, -(-items.count() // per_partition) or 1, 0)
+    placed = landed(dealt.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
     for round_no in range(1, rounds + 1):
         open_items = placed.filter(~F.col("closed"))
         old = open_items.agg(F.count_distinct("part", "bin"), F.count("*"), F.sum("length")).first()
         if not old[0] or old[0] <= -(-old[2] // capacity):
             break  # certified: no packing of the pool needs fewer
         larger = min(per_partition << round_no, BINS // 8)  # a wider choice of partners, still bounded
-        dealt = _dealt(open_items, -(-old[1] // larger) or 1, round_no)
+        if in_order:
+            dealt = _dealt_in_order(open_items, larger, round_no)
+        else:
+            dealt = _dealt(open_items, -(-old[1] // larger) or 1, round_no)
         again = landed(dealt.groupBy("part").applyInPandas(_pack(capacity), PLACED), "packed")
         if again.agg(F.count_distinct("part", "bin")).first()[0] >= old[0]:
             continue
@@ -170,19 +194,28 @@ def pack_items(items: DataFrame, capacity: int, per_partition: int, rounds: int)
         placed = again
     for more in done:
         placed = placed.unionByName(more)
-    return placed.select("row_id", "part", "bin", "offset")
+    return placed.select("row_id", "part", "bin", "offset", "first_row")
 
 
 def pack(
-    pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS
+    pieces: DataFrame,
+    capacity: int = CAPACITY,
+    per_partition: int = ITEMS_PER_PARTITION,
+    rounds: int = ROUNDS,
+    in_order: bool = False,
 ) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``pieces``. A piece that fills a sequence has it to itself."""
+    """Add ``sequence_id`` and ``offset`` to ``pieces``. A piece that fills a sequence has it to itself.
+
+    With ``in_order`` the pieces' ``row_id`` is a place in an order: stretches of ``per_partition`` documents are packed
+    together, and ascending ``sequence_id`` follows the order.
+    """
     pieces = landed(pieces, "pieces")
     items = pieces.filter(F.col("length") < capacity).select("row_id", "length")  # one per document at most
-    placed = pack_items(items, capacity, per_partition, rounds)
-    placed = placed.select("row_id", (F.col("part") * BINS + F.col("bin")).alias("sequence_id"), "offset")
+    placed = pack_items(items, capacity, per_partition, rounds, in_order)
+    name = F.col("first_row") * PIECE_SPAN if in_order else F.col("part") * BINS + F.col("bin")
+    placed = placed.select("row_id", name.alias("sequence_id"), "offset")
     fitted = pieces.filter(F.col("length") < capacity).join(placed, "row_id")
-    alone = -1 - F.monotonically_increasing_id()
+    alone = F.col("row_id") * PIECE_SPAN + F.col("piece") if in_order else -1 - F.monotonically_increasing_id()
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": alone, "offset": F.lit(0).cast("long")})
     return fitted.unionByName(full)
 

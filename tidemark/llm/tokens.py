@@ -17,12 +17,13 @@ import pyarrow as pa
 
 from tidemark.llm.words import SPACE, byte_values, span_hashes, text_buffer
 
-CACHED_CHUNKS = 1_500_000  # per worker; the cache starts afresh beyond it, which changes no result
+CACHED_CHUNKS = 400_000  # per worker; the cache starts afresh beyond it, which changes no result
 
 # White space beside the six ASCII characters, in UTF-8, and neighbours of it: a text with any is not cut.
 OTHER_SPACE = re.compile(
     rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81|\xe3\x80\x80|\xef\xbb\xbf"
 )
+SPACE_SIGN = re.compile("▁".encode())
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 STOP = np.zeros(256, dtype=bool)
@@ -64,6 +65,9 @@ class ChunkEncoder:
         self.arena = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
+    def largest_id(self) -> int:
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         """Ids per chunk. Latin letters need neither normalising nor splitting, so the model suffices."""
         tokenize, found, other = self.tokenizer.model.tokenize, [[]] * len(chunks), []
@@ -153,8 +157,8 @@ class PieceCounter(ChunkEncoder):
     """Counts tokens with a sentencepiece BPE model; a chunk begins at a space after another character.
 
     Only safe while no piece holds a space sign behind another character, which is checked on loading;
-    else texts stay whole. The model itself puts a space before each chunk, so all but a text's first
-    chunk go without theirs.
+    else texts stay whole. A text that holds the sign itself stays whole too: beside it pieces made of signs
+    alone can cross a cut. The model itself puts a space before each chunk, so all but a text's first chunk go without theirs.
     """
 
     def __init__(self, path: str):
@@ -176,6 +180,9 @@ class PieceCounter(ChunkEncoder):
         space = data == 0x20
         filled = np.maximum.accumulate(np.where(space, 0, np.arange(1, len(data) + 1)))
         cut = space & ~np.concatenate([[True], space[:-1]]) if self.safe else np.zeros(len(data), dtype=bool)
+        for place in {m.start() for m in SPACE_SIGN.finditer(data)}:
+            text = np.searchsorted(borders, place, side="right") - 1
+            cut[borders[text] : borders[text + 1]] = False
         places = np.flatnonzero(cut & ~first)
         text_end = borders[np.searchsorted(borders, places, side="right")]
         places = places[places < filled[text_end - 1]]  # spaces at the end stay with the last word

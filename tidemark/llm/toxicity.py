@@ -29,8 +29,7 @@ from tidemark.llm.common import byte_batches, record_batch, schema, strings
 TRAIN_ROWS = 10_000
 MIN_TOXIC_SHARE = 0.004  # of the toxic training rows that must show a feature
 MIN_PRECISION = 0.3
-CACHED_WORDS = 400_000  # per worker; the cache starts afresh beyond it, which changes no result
-BEAM = 24
+CACHED_WORDS = 150_000  # per worker; the cache starts afresh beyond it, which changes no result
 SYMBOLS = 32  # 0: border, 1-26: letters, 27: other letters
 
 # What a sign may stand for.
@@ -66,7 +65,7 @@ def symbols(text: str) -> np.ndarray:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**4, dtype=np.int64)
-    for batch in byte_batches(batches, "text", 4 << 20):
+    for batch in byte_batches(batches, "text", 1 << 20):
         s = symbols("\n\n\n".join(["", *strings(batch.column("text")), ""]))
         total += np.bincount(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
     seen = np.flatnonzero(total)
@@ -102,8 +101,11 @@ APART = re.compile(rf"(?<!\S){_BEFORE}\S(?:\s+\S){{2,}}{_AFTER}(?!\S)")
 
 
 def restore(token: str, model: np.ndarray) -> list[str]:
-    """The likeliest words behind a token."""
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    """The likeliest words behind a token.
+
+    All states are kept, each being the last three symbols; a path is a chain of its signs, the last one first.
+    """
+    best: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
     previous = ""
     for sign in token.lower().translate(FOLD):
         options: list[tuple[int, float]] = []  # symbol (-1: nothing), cost
@@ -122,7 +124,7 @@ def restore(token: str, model: np.ndarray) -> list[str]:
             options.append((27 if sign.isalpha() else 0, 0.0))
         if sign not in SEPARATORS:
             previous = sign
-        reached: dict[tuple[int, int, int], tuple[float, str]] = {}
+        reached: dict[tuple[int, int, int], tuple[float, tuple]] = {}
         for (a, b, c), (score, path) in best.items():
             row = model[a, b, c]
             for symbol, cost in options:
@@ -132,14 +134,16 @@ def restore(token: str, model: np.ndarray) -> list[str]:
                     key, value, more = (a, b, c), score - cost, path
                 else:
                     key, value = (b, c, symbol), score - cost + float(row[symbol])
-                    more = path + (chr(96 + symbol) if 0 < symbol < 27 else " " if symbol == 0 else "?")
+                    more = (chr(96 + symbol) if 0 < symbol < 27 else " " if symbol == 0 else "?", path)
                 if key not in reached or reached[key][0] < value:
                     reached[key] = (value, more)
         best = reached
-        if len(best) > BEAM:
-            best = dict(sorted(best.items(), key=lambda item: -item[1][0])[:BEAM])
-    ended = max((score + float(model[k][0]), path) for k, (score, path) in best.items())
-    return ended[1].split()
+    _, path = max(((score + float(model[k][0]), path) for k, (score, path) in best.items()), key=lambda end: end[0])
+    signs = []
+    while path:
+        sign, path = path
+        signs.append(sign)
+    return "".join(reversed(signs)).split()
 
 
 def word_features(word: str) -> list[str]:
