@@ -45,10 +45,8 @@ def empty(odd):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_matches_sql(spark, sf, name, monkeypatch):
-    monkeypatch.setattr(compare, "QUERIES", QUERIES)
-    monkeypatch.setattr(compare, "ORACLES", ORACLES)
-    assert compare.differences(spark, compare.connect(sf), sf, name) == []
+def test_query_matches_sql(spark, sf, name):
+    assert compare.differences(QUERIES[name], ORACLES[name], spark, compare.connect(sf), sf) == []
 
 
 def texts(docs):

@@ -8,6 +8,9 @@ texts; rendering writes each message as one turn, with control strings inside te
 Work is split by (conversation, message) and by spans of turns, so one giant conversation does not become
 one task; what is put together last is the text of a part, at most ``TURNS_PER_PART`` turns. Only DataFrame functions are used.
 
+An event that arrives again (same message, seq and text, and alike a delta or not) counts once. Events of a null or unknown kind
+change no message; ``unknown`` returns them, so that they can be set aside.
+
 Null text or role counts as empty, a null turn or sequence number comes first, a null conversation is one of its own.
 Messages with equal turns are ordered by role, text and message id.
 """
@@ -23,6 +26,7 @@ TURNS_PER_PART = 256
 TURN_SPAN = 1024  # turns per first-level group when regenerations are carried to later turns
 EVENT_SPAN = 4096  # events of one message joined at a time
 LOWEST = -(1 << 63)
+KINDS = ("message", "delta", "edit")  # events that carry text
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,12 @@ def _quoted(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+def unknown(events: DataFrame) -> DataFrame:
+    """Events that :func:`fold` cannot read."""
+    known = F.coalesce(F.col("kind").isin(*KINDS, "regenerate"), F.lit(False))
+    return events.filter(~known)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of a log (``conv_id, message_id, turn, seq, kind, role, text``).
 
@@ -89,11 +99,11 @@ def fold(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("role") != "", F.struct("seq", "role")))["role"].alias("first_role"),
     )
     live = kept.join(edited, message).filter(F.col("edited").isNull() | (F.col("seq") >= F.col("edited")))
-    live = live.filter(F.col("kind").isin("message", "delta", "edit"))
+    live = live.filter(F.col("kind").isin(*KINDS))
     # Join a message's texts in spans of events first, then the spans.
     piece = F.struct("seq", (F.col("kind") == "delta").alias("later"), "text")
     part = live.groupBy(*message, "first_role", F.expr(f"seq div {EVENT_SPAN}").alias("span")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda e: e["text"]), "").alias("text")
+        F.array_join(F.transform(F.array_sort(F.collect_set(piece)), lambda e: e["text"]), "").alias("text")
     )
     whole = part.groupBy(*message, "first_role").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda e: e["text"]), "").alias("text")

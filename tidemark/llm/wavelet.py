@@ -1,8 +1,8 @@
 """Token files: one wavelet matrix per shard, which answers access, counting and occurrence lookup.
 
 A shard holds the ids of consecutive documents as bit planes, highest bit first; each plane keeps the order that
-sorting by the higher bits gives. A directory of set bits per block makes rank a table look-up and a population
-count. Shards are rows of a Parquet folder (Spark's writer, so any store works); the bytes of one shard are self-contained.
+sorting by the higher bits gives. A directory of set bits per block, stored beside each plane, makes rank a table look-up and a
+population count, so that opening a shard reads no plane. There are as many planes as the largest id of the vocabulary needs. Shards are rows of a Parquet folder (Spark's writer, so any store works); the bytes of one shard are self-contained.
 
 Documents are in ascending order of id (nulls first, ties by text). Null and empty texts hold the end id only. A
 document never spans shards, so a shard is as large as its target or its largest document.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_batches, record_batch, schema, tasks
 from tidemark.llm.tokens import chunk_encoder
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 BLOCK = 512  # bits per entry of the directory
 SHARD_TOKENS = 1 << 20
 SHARDS = schema("part long, shard long, first_id long, n_docs long, n_tokens long, payload binary")
@@ -34,19 +34,20 @@ FOUND = schema("part long, shard long, id long, position long")
 class WaveletMatrix:
     """``n`` numbers below ``2 ** levels`` as bit planes with rank support."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = [self._directory(p) for p in planes]
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
         bits = np.bitwise_count(plane.view("<u8")).astype(np.int64)
         per_block = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK // 64)) if len(bits) else bits
-        return np.concatenate([[0], np.cumsum(per_block)])
+        return np.concatenate([[0], np.cumsum(per_block)]).astype("<i8")
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
         planes, zeros = [], []
+        if len(ids) and int(ids.max()) >> levels:
+            raise ValueError(f"id {int(ids.max())} needs more than {levels} planes")
         order = ids.astype(np.uint32)
         for level in range(levels - 1, -1, -1):
             bits = (order >> np.uint32(level)) & np.uint32(1) == 1
@@ -55,11 +56,11 @@ class WaveletMatrix:
             low = order[~bits]
             zeros.append(len(low))
             order = np.concatenate([low, order[bits]])
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, [cls._directory(p) for p in planes])
 
     def to_bytes(self) -> bytes:
         head = MAGIC + struct.pack("<QI", self.n, len(self.planes)) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros)
-        return head + b"".join(p.tobytes() for p in self.planes)
+        return head + b"".join(r.tobytes() + p.tobytes() for r, p in zip(self.ranks, self.planes, strict=True))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
@@ -67,9 +68,11 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         n, levels = struct.unpack_from("<QI", data, 4)
         zeros = list(struct.unpack_from(f"<{levels}Q", data, 16))
-        size, at = -(-n // 64) * 8, 16 + 8 * levels
-        planes = [np.frombuffer(data, dtype=np.uint8, count=size, offset=at + i * size) for i in range(levels)]
-        return cls(n, planes, zeros)
+        size, blocks, at = -(-n // 64) * 8, -(-n // BLOCK) + 1, 16 + 8 * levels
+        step = 8 * blocks + size
+        ranks = [np.frombuffer(data, dtype="<i8", count=blocks, offset=at + i * step) for i in range(levels)]
+        planes = [np.frombuffer(data, dtype=np.uint8, count=size, offset=at + i * step + 8 * blocks) for i in range(levels)]
+        return cls(n, planes, zeros, ranks)
 
     def _bit(self, level: int, i: int) -> int:
         return (int(self.planes[level][i >> 3]) >> (i & 7)) & 1
@@ -189,12 +192,19 @@ def write_tokens(
     folder: str,
     tokenizer_path: str,
     end_id: int,
-    levels: int = 16,
+    levels: int | None = None,
     shard_tokens: int = SHARD_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Write the ids of all documents, in ascending order of document id, as shards below ``folder``."""
+    """Write the ids of all documents, in ascending order of document id, as shards below ``folder``.
+
+    ``levels``, the number of bit planes, follows from the vocabulary and ``end_id``; a given number that is too small is an error.
+    """
+    needed = max(end_id, chunk_encoder(tokenizer_path).largest_id()).bit_length()
+    if levels is not None and levels < needed:
+        raise ValueError(f"the vocabulary needs {needed} planes")
+    levels = levels or needed
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(4 * tasks(docs.sparkSession), "id").sortWithinPartitions("id", "text")
     shards = dealt.mapInArrow(_write(tokenizer_path, end_id, levels, shard_tokens), SHARDS)
