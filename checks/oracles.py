@@ -491,16 +491,19 @@ ORACLES["batch_open_orders_by_date_status"] = _with(_ANALYTIC_ORDERS, _R1)
 ORACLES["batch_top_delivery_dates"] = _with(_ANALYTIC_ORDERS, _R2)
 ORACLES["batch_pending_items_by_product"] = _with(_ANALYTIC_ITEMS, _R3)
 ORACLES["batch_top_customers_pending"] = _with(_ANALYTIC_ORDERS, _R4)
+_REPORT_COLUMNS = {
+    "open_orders_by_date_status": (_R1, ("delivery_date", "status", "order_count")),
+    "top_delivery_dates": (_R2, ("delivery_date", "order_count", "unique_customers")),
+    "pending_items_by_product": (_R3, ("product_id", "product_name", "pending_items")),
+    "top_customers_with_pending_orders": (_R4, ("customer_id", "customer_name", "pending_order_count", "total_pending_amount")),
+}
 ORACLES["export_reports"] = _with(
     [*_ANALYTIC_ORDERS, _analytic_items("ai", "src_orders", "src_items")],
     " UNION ALL ".join(
-        f"SELECT '{name}' AS report, count(*) AS row_count FROM ({sql})"
-        for name, sql in (
-            ("open_orders_by_date_status", _R1),
-            ("top_delivery_dates", _R2),
-            ("pending_items_by_product", _R3),
-            ("top_customers_with_pending_orders", _R4),
-        )
+        f"SELECT '{name}' AS report, '{'|'.join(columns)}' AS header, "
+        + " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+        + f" AS line FROM ({sql})"
+        for name, (sql, columns) in _REPORT_COLUMNS.items()
     ),
 )
 

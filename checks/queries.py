@@ -400,10 +400,16 @@ def batch_top_customers_pending(spark, sf):
 
 @query
 def export_reports(spark, sf):
+    """The four reports as read back from their files: each line's values, joined by ``|``."""
     folder = scratch_folder(use_utc(spark), "reports")
-    return exports.export_reports(
-        spark, _analytic_orders(spark, sf), _analytic_items(spark, sf), folder
-    )
+    written = exports.export_reports(spark, _analytic_orders(spark, sf), _analytic_items(spark, sf), folder)
+    lines = []
+    for name in [r["report"] for r in written.filter("row_count > 0").collect()]:
+        rows = exports.read_csv(spark, f"{folder}/{name}.csv")
+        values = [F.coalesce(c, F.lit("")) for c in rows.columns]
+        header = F.lit("|".join(rows.columns)).alias("header")
+        lines.append(rows.select(F.lit(name).alias("report"), header, F.concat_ws("|", *values).alias("line")))
+    return reduce(DataFrame.unionByName, lines)
 
 
 # --- streaming ---------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from tidemark.plans import batch, exports
+from tidemark.sources import pruning
 from tidemark.sources.tables import committed
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
@@ -101,6 +102,54 @@ def test_an_order_that_commits_late_is_not_missed(spark, tmp_path):
     assert got == {1: "PENDING", 2: "COMPLETED", 3: "PENDING"}
 
 
+def test_orders_at_the_watermark_are_found_without_reading_the_stored_ones(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    first = [order(1, at=T1), order(2, at=T2)]
+    batch.run_cycle(tables(spark, first), root)
+    batch.compact(spark, root)
+    late = [*first, order(3, at=T2)]
+    assert batch.run_cycle(tables(spark, late), root) == 1
+    kept = {r.order_id for r in batch._at_watermark(spark, root, 1, T2).collect()}
+    assert kept == {2, 3}  # those of both cycles, as the watermark stayed
+
+    def refused(*args, **kwargs):
+        raise AssertionError("the stored orders were read")
+
+    monkeypatch.setattr(batch, "_upserted", refused)
+    assert batch.run_cycle(tables(spark, late), root) is None
+    files = batch._at_watermark(spark, root, 1, T2).inputFiles()
+    assert files and all("/orders_at_watermark/" in f for f in files)
+    monkeypatch.undo()
+    for marker in (tmp_path / "orders_at_watermark").glob("*/_SUCCESS"):
+        marker.unlink()  # the cycle broke off before it put them aside
+    assert batch.run_cycle(tables(spark, late), root) is None
+
+
+def test_ids_of_changed_orders_reach_the_source_as_ranges(spark, tmp_path):
+    orders = [order(k, customer=k % 7, at=T1 if k < 500 else T2) for k in range(1000)]
+    whole = tables(spark, orders, [(k, k, 100, 1) for k in range(1000)])
+    for name in ("orders", "order_items", "customers", "products"):
+        getattr(whole, name).write.parquet(str(tmp_path / name))
+    source = batch.Tables(*[spark.read.parquet(str(tmp_path / n)) for n in ("orders", "order_items", "customers", "products")])
+    changed = batch.changed_orders(source, T2).filter("order_id < 520 OR order_id > 990")
+    ranges = pruning.id_ranges(changed, ["order_id", "customer_id"], most=8)
+    assert ranges["order_id"][0][0] == 500 and ranges["order_id"][-1] == (991, 999) and len(ranges["order_id"]) <= 8
+    found = batch.pruned(source, changed, ranges)
+    shown = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        plan = found.order_items._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", shown)
+    assert "GreaterThanOrEqual(order_id,500)" in plan and "LessThanOrEqual(order_id,999)" in plan
+    assert {r.order_id for r in found.order_items.collect()} == {*range(500, 520), *range(991, 1000)}
+    assert pruning.predicates("order_id", [(1, 5), (9, 9)]) == ["order_id >= 1 AND order_id <= 5", "order_id >= 9 AND order_id <= 9"]
+    assert pruning.id_ranges(changed.limit(0), ["order_id"]) == {"order_id": []}
+    assert pruning.within(source.orders, "order_id", []).count() == 0
+    nulls = spark.createDataFrame([(None, 5), (7, None), (-3, None)], "a bigint, b bigint")
+    assert pruning.id_ranges(nulls, ["a", "b"], most=1) == {"a": [(-3, 7)], "b": [(5, 5)]}
+
+
 @pytest.mark.parametrize("report", [batch.top_delivery_dates, batch.top_customers_with_pending_orders])
 def test_a_limit_below_one_is_refused(spark, report):
     with pytest.raises(ValueError, match="limit"):
@@ -211,10 +260,12 @@ def test_export_writes_one_file_with_header_and_skips_empty_reports(spark, tmp_p
 
 def test_reports_keep_their_order_over_several_files(spark, tmp_path):
     report = spark.range(1_000).repartition(4).orderBy("id")
-    assert exports.write_csv(report, str(tmp_path / "one.csv")) == 1_000
+    assert exports.write_csv(report, str(tmp_path / "one.csv"), single_file=True) == 1_000
     assert len(list((tmp_path / "one.csv").glob("part-*.csv"))) == 1
-    assert exports.write_csv(report, str(tmp_path / "r.csv"), single_file=False) == 1_000
+    assert exports.write_csv(report, str(tmp_path / "r.csv")) == 1_000
     parts = sorted((tmp_path / "r.csv").glob("part-*.csv"))
+    assert {p.read_text().splitlines()[0] for p in parts} == {"id"}
+    assert exports.read_csv(spark, str(tmp_path / "r.csv")).count() == 1_000
     ids = [int(x) for p in parts for x in p.read_text().splitlines() if x != "id"]
     assert ids == list(range(1_000))
 

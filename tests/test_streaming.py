@@ -1,4 +1,5 @@
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,13 +8,13 @@ from records import last_versions, log, record
 from checks.logs import envelopes, forget_last_commit
 from tidemark.entities import ENTITIES, ORDER_ITEMS, ORDERS, SEQ
 from tidemark.operators import cdc, dims, history, state
-from tidemark.plans import marts
+from tidemark.plans import marts, views
 from tidemark.plans.batch import Tables, analytical_orders
 from tidemark.sources.changes import file_messages, saved_messages, to_messages
 from tidemark.sources import bases
 from tidemark.sources.bases import last_base
 from tidemark.sources.tables import committed
-from tidemark.streaming import differences, ingest, keyed, polling
+from tidemark.streaming import differences, ingest, intervals, keyed, polling, statistics
 
 
 def order_rows(seed=11, n=300):
@@ -69,12 +70,11 @@ def test_stream_gives_what_one_batch_gives(spark, feed, tmp_path):
     now = {e: state.current(staged[e], e) for e in ENTITIES}
     for e in ENTITIES:
         assert same(ingest.current(spark, root, e), now[e])
-        kept = ingest.history(spark, root, e).select(*e.columns, SEQ)
-        assert same(kept, staged[e])
-        assert same(
-            history.with_intervals(history.drop_redelivered(kept, e), e, hot=[]),
-            history.with_intervals(history.drop_redelivered(staged[e], e), e, hot=[]),
-        )
+        once = history.drop_redelivered(staged[e], e)
+        kept = ingest.history(spark, root, e)
+        assert kept.count() == once.count() and same(kept.select(*e.columns), once.select(*e.columns))
+        assert same(ingest.intervals(spark, root, e), history.with_intervals(once, e, hot=[]))
+    assert staged[ORDERS].count() > history.drop_redelivered(staged[ORDERS], ORDERS).count()
     statuses = dims.dim_order_status(spark)
     customers, products, orders, items = (now[e] for e in ENTITIES)
     expected = (
@@ -161,6 +161,85 @@ def test_tidying_keeps_state_and_history_and_remembers_deletes(spark, feed, tmp_
     assert {str(f.relative_to(folder)) for f in folder.glob("*/part-*")} == live
 
 
+def test_repeated_deliveries_are_stored_once(spark, tmp_path):
+    """Repeats in one batch, in a later batch, and in a batch after a roll-up; with and without the batch rolled up."""
+    root = str(tmp_path)
+    rows = [record(ORDERS, k, k % 3, k, "u", status=f"s{k}") for k in range(30)]
+    same_version = [record(ORDERS, 1, 1, 99, "u", status="another row")]
+    deliveries = [rows[:20] + rows[:5], rows[10:25], rows[5:] + same_version, rows[:3] + same_version, rows]
+    for n, part in enumerate(deliveries):
+        ingest.land(spark, to_messages(log(spark, ORDERS, part), ORDERS), n, root, [ORDERS])
+        if n in (0, 2, 3):
+            ingest.tidy(spark, root, ORDERS)
+        found = ingest.history(spark, root, ORDERS)
+        expected = {r["status"]: min(m for m, d in enumerate(deliveries[: n + 1]) if r in d) for d in deliveries[: n + 1] for r in d}
+        assert sorted((r.status, r.batch_id) for r in found.collect()) == sorted(expected.items())
+    ingest.tidy(spark, root, ORDERS)
+    assert ingest.history(spark, root, ORDERS).count() == 31
+
+
+def test_stored_statistics_follow_the_history(spark, tmp_path):
+    root = str(tmp_path)
+    assert statistics.hot_keys(spark, root, ORDERS) == ([], None)
+    everything = []
+    for n in range(3):
+        rows = [record(ORDERS, 1, 1000 * n + i, i, "u", status=f"{n}-{i}") for i in range(300)]
+        rows += [record(ORDERS, 2 + i, n, i, "u", status=f"{n}") for i in range(100)]
+        everything += rows
+        ingest.land(spark, to_messages(log(spark, ORDERS, rows), ORDERS), n, root, [ORDERS])
+        statistics.update(spark, root, ORDERS, min_rows=200)
+        statistics.update(spark, root, ORDERS, min_rows=200)  # nothing new
+    hot, cuts = statistics.hot_keys(spark, root, ORDERS, min_rows=200)
+    assert hot == [1] and cuts.first()._cuts[0] > 0
+    assert statistics.hot_keys(spark, root, ORDERS) == ([], None)
+    kept = ingest.history(spark, root, ORDERS)
+    plain = history.with_intervals(kept, ORDERS, hot=[])
+    assert same(history.with_intervals(kept, ORDERS, hot=hot, cuts=cuts), plain) and plain.count() == len(everything)
+
+
+def test_stored_intervals_follow_every_batch(spark, tmp_path):
+    """Late records, repeats, ties and deletes; read before and after upkeep takes a batch in."""
+    root, rng = str(tmp_path), random.Random(8)
+    everything = []
+    for n in range(4):
+        rows = [
+            record(ORDERS, rng.randrange(12), rng.randrange(60), 50 * n + i, rng.choice("cud"), status=f"{n}-{i}")
+            for i in range(50)
+        ]
+        everything += rows + everything[:5]
+        ingest.land(spark, to_messages(log(spark, ORDERS, rows + everything[:5]), ORDERS), n, root, [ORDERS])
+        once = history.drop_redelivered(cdc.stage(log(spark, ORDERS, everything), ORDERS), ORDERS)
+        expected = history.with_intervals(once, ORDERS, hot=[])
+        assert same(ingest.intervals(spark, root, ORDERS), expected)
+        ingest.tidy(spark, root, ORDERS, buckets=4)
+        assert same(ingest.intervals(spark, root, ORDERS), expected)
+    before = last_base(spark, root, "intervals/orders")
+    late = [record(ORDERS, 5, -1, 999, "u", status="late")]
+    ingest.land(spark, to_messages(log(spark, ORDERS, late), ORDERS), 4, root, [ORDERS])
+    some = spark.createDataFrame([(5,)], "order_id bigint")
+    of_five = intervals.of_keys(spark, root, ORDERS, some)
+    assert same(of_five, ingest.intervals(spark, root, ORDERS).filter("order_id = 5")) and "late" in {r.status for r in of_five.collect()}
+    ingest.tidy(spark, root, ORDERS)
+    after = last_base(spark, root, "intervals/orders")
+    assert sum(before.files[b] != after.files[b] for b in after.files) == 1
+
+
+def test_declaring_views_starts_no_job(spark, feed, tmp_path):
+    root = str(tmp_path / "out")
+    run(spark, feed, root)
+    ingest.upkeep(spark, root)
+    context = spark.sparkContext
+    context.setJobGroup("declaring", "views")
+    try:
+        names = views.register(spark, root)
+        started = list(context.statusTracker().getJobIdsForGroup("declaring"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert started == [] and spark.table("v_orders_history").count() > 0
+    for name in names:
+        spark.catalog.dropTempView(name)
+
+
 def test_two_merges_at_once_do_not_lose_each_other(spark, tmp_path, monkeypatch):
     from tidemark.sources import stored
 
@@ -259,6 +338,13 @@ def test_marts_by_difference_equal_marts_from_state(spark, tmp_path):
             ingest.upkeep(spark, root, buckets=3)
         for name, mart in zip(marts.MARTS, expected_marts(spark, root), strict=True):
             assert same(ingest.mart(spark, root, name), mart) and not mart.isEmpty()
+        # So few customers are sketched exactly, one date at a time and over all of them.
+        sketched = differences.date_sketches(spark, root).select("delivery_date", F.hll_sketch_estimate("customers").alias("n"))
+        exact = {r.delivery_date: r.unique_customers for r in ingest.mart(spark, root, "agg_top_delivery_dates").collect()}
+        assert {r.delivery_date: r.n for r in sketched.collect() if r.n} == {d: n for d, n in exact.items() if n}
+        open_now = dims.open_orders(ingest.current(spark, root, ORDERS), dims.dim_order_status(spark)).filter("delivery_date IS NOT NULL")
+        span = differences.customers_between(spark, root, date(2024, 1, 1), date(2030, 1, 1))
+        assert span.first()[0] == open_now.select("customer_id").filter("customer_id IS NOT NULL").distinct().count()
     assert committed(spark, root, "refreshed")[-1] == 4 and committed(spark, root, "changes/orders") == [4]
 
 

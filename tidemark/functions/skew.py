@@ -16,6 +16,36 @@ MIN_HOT_ROWS = 1_000_000  # a task sorts this many rows with ease
 MAX_CUTS = 100_000  # over all hot keys; bounds what is broadcast about their slices
 
 
+def key_sketches(df: DataFrame, key: str, tracked: int, groups: int) -> DataFrame:
+    """``sketch, rows``: mergeable sketches of how often keys occur, some per ``groups`` sets of map tasks."""
+    part = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_part")
+    sketches = df.groupBy(part).agg(
+        F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    return sketches.select("sketch", "rows")
+
+
+def top_keys(sketches: DataFrame, tracked: int, most: int) -> tuple[list[tuple], int]:
+    """The most frequent keys with their counts, at most ``most``, and the number of all rows."""
+    merged = f"approx_top_k_combine(sketch, {tracked})"
+    # One group rather than none: combining fails on a task without sketches, which a grouped aggregate never makes.
+    found = (
+        sketches.groupBy((F.col("rows") * 0).alias("_all"))
+        .agg(F.expr(f"approx_top_k_estimate({merged}, {most})").alias("top"), F.sum("rows").alias("total"))
+        .first()
+    )
+    if found is None:
+        return [], 0
+    return [(t["item"], t["count"]) for t in found["top"] or [] if t["item"] is not None], found["total"]
+
+
+def too_large(top: list[tuple], total: int, tasks: int, min_rows: int | None = None) -> list:
+    """Those of the most frequent keys that hold more rows than an average shuffle partition."""
+    limit = max(MIN_HOT_ROWS if min_rows is None else min_rows, total / tasks)
+    return [key for key, count in top if count > limit]
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     """Keys holding more rows than an average shuffle partition, largest first.
 
@@ -25,27 +55,9 @@ def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tracked = min(MOST_TRACKED, max(TRACKED_KEYS, 16 * tasks))
-    groups = max(1, min(MERGE_GROUPS, tasks // 4))
-    part = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_part")
-    sketches = df.groupBy(part).agg(
-        F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("_sketch"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    merged = f"approx_top_k_combine(_sketch, {tracked})"
-    # One group rather than none: combining fails on a task without sketches, which a grouped aggregate never makes.
-    found = (
-        sketches.groupBy((F.col("_part") * 0).alias("_all"))
-        .agg(
-            F.expr(f"approx_top_k_estimate({merged}, {min(tasks, tracked)})").alias("top"),
-            F.sum("_rows").alias("total"),
-        )
-        .first()
-    )
-    if found is None:
-        return []
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    limit = max(floor, found["total"] / tasks)
-    return [t["item"] for t in found["top"] or [] if t["item"] is not None and t["count"] > limit]
+    sketches = key_sketches(df, key, tracked, max(1, min(MERGE_GROUPS, tasks // 4)))
+    top, total = top_keys(sketches, tracked, min(tasks, tracked))
+    return too_large(top, total, tasks, min_rows)
 
 
 def time_cuts(rows: DataFrame, key: str, order: str, keys: int) -> DataFrame:

@@ -22,28 +22,34 @@ def drop_redelivered(records: DataFrame, entity: Entity) -> DataFrame:
 
 
 def with_intervals(
-    history: DataFrame, entity: Entity, include_deleted: bool = True, hot: Sequence | None = None
+    history: DataFrame,
+    entity: Entity,
+    include_deleted: bool = True,
+    hot: Sequence | None = None,
+    cuts: DataFrame | None = None,
+    with_seq: bool = False,
 ) -> DataFrame:
     """Each version with ``valid_from``, ``valid_to`` and ``is_current``.
 
     A version ends when the next one of its key starts, in event time, whatever order they arrived in.
     Versions that record a delete are kept unless ``include_deleted`` is false. Records of one (key,
     version, seq) are ordered by their other columns, and of equal copies one is the last. Records without
-    a key are one group, which is never cut. ``hot`` overrides the detection of keys too large for one task;
-    it changes how rows are spread, not the result.
+    a key are one group, which is never cut. ``hot`` overrides the detection of keys too large for one task, and ``cuts`` where
+    they are cut; that changes how rows are spread, not the result.
     """
     records = history.select(*entity.columns, SEQ)
     hot = hot_keys(records, entity.key) if hot is None else list(hot)
     if hot:
         is_hot = F.coalesce(F.col(entity.key).isin(hot), F.lit(False))
         ends = _next_start(records.filter(~is_hot), entity).unionByName(
-            _next_start_sliced(records.filter(is_hot), entity, len(hot))
+            _next_start_sliced(records.filter(is_hot), entity, len(hot), cuts)
         )
     else:
         ends = _next_start(records, entity)
     end = F.coalesce(F.timestamp_millis("_next"), open_end())
     out = ends.select(
         *entity.columns,
+        *([SEQ] if with_seq else []),
         F.timestamp_millis(VERSION).alias("valid_from"),
         end.alias("valid_to"),
         (end == open_end()).cast("int").alias("is_current"),
@@ -58,10 +64,10 @@ def _position(entity: Entity) -> list[str]:
 
 def _next_start(records: DataFrame, entity: Entity) -> DataFrame:
     in_order = Window.partitionBy(entity.key).orderBy(VERSION, *_position(entity))
-    return records.withColumn("_next", F.lead(VERSION).over(in_order)).drop(SEQ)
+    return records.withColumn("_next", F.lead(VERSION).over(in_order))
 
 
-def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFrame:
+def _next_start_sliced(records: DataFrame, entity: Entity, keys: int, cuts: DataFrame | None = None) -> DataFrame:
     """:func:`_next_start` for keys whose records do not fit one task.
 
     Only distinct (key, version) points are ordered, in slices of time. The last point of a slice
@@ -72,7 +78,7 @@ def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFra
     position = F.struct(*_position(entity))
     distinct = records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("_copies"))
     points = records.groupBy(key, VERSION).agg(F.max(position).alias("_last"))
-    cuts = time_cuts(records, key, VERSION, keys)
+    cuts = time_cuts(records, key, VERSION, keys) if cuts is None else cuts
     sliced = with_time_slices(points, key, VERSION, cuts)
     following = (
         sliced.groupBy(key, "_slice")
@@ -97,7 +103,7 @@ def _next_start_sliced(records: DataFrame, entity: Entity, keys: int) -> DataFra
     )
     is_last = position.eqNullSafe(F.col("_last")) & (F.col("_copy") == F.col("_copies"))
     return copies.select(
-        *entity.columns, F.when(is_last, F.col("_point_next")).otherwise(F.col(VERSION)).alias("_next")
+        *entity.columns, SEQ, F.when(is_last, F.col("_point_next")).otherwise(F.col(VERSION)).alias("_next")
     )
 
 

@@ -19,6 +19,7 @@ from tidemark.operators.state import upsert
 from tidemark.plans.reports import checked_limit
 from tidemark.session import together
 from tidemark.sources.bases import aligned, folder_bytes, last_base, merge_base, read_base
+from tidemark.sources.pruning import Range, id_ranges, within
 from tidemark.sources.tables import (
     BATCH,
     batch_path,
@@ -33,6 +34,8 @@ from tidemark.sources.tables import (
 ORDERS_TABLE = "analytical_orders"
 ITEMS_TABLE = "analytical_order_items"
 LINES_TABLE = "extracted_lines"
+ITEMS_READ = "extracted_items"
+AT_WATERMARK = "orders_at_watermark"  # analytic orders with exactly the time of the last cycle's watermark
 
 ORDERS_KEEP = ("created_at", "created_by")  # an update leaves these as first stored
 ITEMS_KEEP = ("created_at",)
@@ -115,20 +118,34 @@ def extract_products(products: DataFrame, order_items: DataFrame) -> DataFrame:
     return _referenced(products, order_items, "product_id")
 
 
+def changed_orders(
+    source: Tables, since: datetime | None = None, inclusive: bool = True, known: DataFrame | None = None
+) -> DataFrame:
+    """Orders changed since the watermark, but for those that ``known`` analytic orders hold unchanged."""
+    orders = extract_orders(source.orders, since, inclusive)
+    return orders if known is None else orders.join(known, _same_order(orders, known), "left_anti")
+
+
 def changed(
     source: Tables, since: datetime | None = None, inclusive: bool = True, known: DataFrame | None = None
 ) -> Tables:
     """What a cycle works on: changed orders, their items, and the customers and products as they are.
 
-    Orders that ``known`` analytic orders hold unchanged are left out. The transform joins those by key, so reducing them to the referenced rows first would only scan
+    The transform joins those by key, so reducing them to the referenced rows first would only scan
     and shuffle the items twice; :func:`extract` does it for those who want the rows themselves.
     """
-    orders = extract_orders(source.orders, since, inclusive)
-    orders = orders if known is None else orders.join(known, _same_order(orders, known), "left_anti")
+    orders = changed_orders(source, since, inclusive, known)
     items = extract_items(source.order_items, orders)
     return Tables(orders, items, source.customers, source.products)
 
 
+def pruned(source: Tables, orders: DataFrame, ranges: dict[str, list[Range]]) -> Tables:
+    """Changed ``orders`` with their items and customers, read by the ranges of their ids."""
+    items = extract_items(within(source.order_items, "order_id", ranges["order_id"]), orders)
+    customers = within(source.customers, "customer_id", ranges["customer_id"])
+    return Tables(orders, items, customers, source.products)
+
+
 def _same_order(orders: DataFrame, known: DataFrame) -> Column:
     """The same order with the same contents: the columns that both tables hold as they were read."""
     same = orders["order_id"] == known["order_id"]
@@ -253,36 +270,63 @@ def run_cycle(source: Tables, root: str, inclusive: bool = True) -> int | None:
     """One extract, transform and load. Returns the cycle's id, or None when nothing has changed.
 
     Orders with exactly the watermark's time are read again and left out where they are stored
-    unchanged, so one that committed late is not missed and an unchanged source adds no cycle.
+    unchanged, so one that committed late is not missed and an unchanged source adds no cycle. Ids of the changed orders and of their
+    items go to the source as ranges, so that it reads only what may belong to them.
     A cycle that fails lacks a marker; the next one reads from the same watermark and replaces what
     it wrote.
     """
     spark = source.orders.sparkSession
     last = last_cycle(spark, root)
     since = stored_watermark(spark, root)
-    known = None
-    if inclusive and since is not None:
-        at_watermark = F.col("updated_at") == F.lit(since)
-        known = _upserted(
-            spark, root, ORDERS_TABLE, ORDERS_SCHEMA, "order_id", ORDERS_KEEP, only=at_watermark
-        )
-    extracted = changed(source, since, inclusive, known)
-    if extracted.orders.isEmpty():
+    known = _at_watermark(spark, root, last, since) if inclusive and since is not None else None
+    orders = changed_orders(source, since, inclusive, known)
+    ranges = id_ranges(orders, ["order_id", "customer_id"])
+    if not ranges["order_id"]:
         return None
     cycle = 0 if last is None else last + 1
+    extracted = pruned(source, orders, ranges)
     # Both results need the items with their products: join them once, into a table of their own.
+    write_batch(extracted.order_items, root, ITEMS_READ, cycle)
+    items = spark.read.parquet(batch_path(root, ITEMS_READ, cycle))
+    products = within(source.products, "product_id", id_ranges(items, ["product_id"])["product_id"])
+    extracted = Tables(orders, items, extracted.customers, products)
     write_batch(item_lines(extracted), root, LINES_TABLE, cycle)
     lines = spark.read.parquet(batch_path(root, LINES_TABLE, cycle))
-    items, orders = transform_items(extracted, lines), transform_orders(extracted, lines)
+    items, found = transform_items(extracted, lines), transform_orders(extracted, lines)
     together(
         spark,
         lambda: write_batch(items, root, ITEMS_TABLE, cycle, ["product_id"], ITEMS_SCHEMA),
-        lambda: write_batch(orders, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA),
+        lambda: write_batch(found, root, ORDERS_TABLE, cycle, ["delivery_date"], ORDERS_SCHEMA),
     )
-    drop_batches(spark, root, LINES_TABLE, before=cycle)
+    _save_at_watermark(spark, root, cycle, since, known)
+    for table in (LINES_TABLE, ITEMS_READ, AT_WATERMARK):
+        drop_batches(spark, root, table, before=cycle)
     return cycle
 
 
+def _at_watermark(spark: SparkSession, root: str, last: int, since: datetime) -> DataFrame:
+    """Analytic orders stored with exactly the watermark's time, as last stored.
+
+    The last cycle has put them aside; only if it broke off before that are the stored orders searched.
+    """
+    if last in committed(spark, root, AT_WATERMARK):
+        return read_batch(spark, root, AT_WATERMARK, ORDERS_SCHEMA, last)
+    only = F.col("updated_at") == F.lit(since)
+    return _upserted(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, "order_id", ORDERS_KEEP, only=only)
+
+
+def _save_at_watermark(
+    spark: SparkSession, root: str, cycle: int, since: datetime | None, known: DataFrame | None
+) -> None:
+    """Put the orders at the new watermark aside; while it stays the same, with those known before."""
+    watermark = stored_watermark(spark, root)
+    orders = read_batch(spark, root, ORDERS_TABLE, ORDERS_SCHEMA, cycle)
+    rows = orders.filter(F.col("updated_at") == F.lit(watermark))
+    if known is not None and watermark == since:
+        rows = rows.unionByName(known.join(orders.select("order_id"), "order_id", "left_anti").select(*ORDERS_SCHEMA.names))
+    write_batch(rows, root, AT_WATERMARK, cycle, schema=ORDERS_SCHEMA)
+
+
 def _upserted(
     spark: SparkSession,
     root: str,

@@ -38,11 +38,11 @@ def batch_reports(
     return {name: plans[name]() for name in REPORTS if name in chosen}
 
 
-def write_csv(report: DataFrame, path: str, single_file: bool = True) -> int:
+def write_csv(report: DataFrame, path: str, single_file: bool = False) -> int:
     """Write a report with a header; returns its rows. An empty report leaves nothing at ``path``.
 
-    A report becomes one file, whatever its size. With ``single_file=False`` every task writes its own
-    part, and the names of the parts follow the order of the report.
+    Every task writes its own part, each with the header, and the names of the parts follow the order of the report. With
+    ``single_file`` the report goes through one task; that is for small ones.
     """
     seen = Observation()
     out = report.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -54,6 +54,11 @@ def write_csv(report: DataFrame, path: str, single_file: bool = True) -> int:
     return rows
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A written report, all columns as text; equal headers of its parts are read once each."""
+    return spark.read.option("header", True).csv(path)
+
+
 def export_reports(
     spark: SparkSession,
     orders: DataFrame,
@@ -61,7 +66,7 @@ def export_reports(
     folder: str,
     selection: Iterable[str] = REPORTS,
     limit: int = 3,
-    single_file: bool = True,
+    single_file: bool = False,
 ) -> DataFrame:
     """Write the chosen reports below ``folder``; the result lists each with its number of rows."""
     chosen = batch_reports(orders, items, selection, limit)

@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 from tidemark.entities import CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS
 from tidemark.operators.dims import dim_date, dim_order_status
-from tidemark.operators.history import with_intervals
 from tidemark.plans.marts import MARTS
 from tidemark.streaming import ingest
 
@@ -33,7 +32,7 @@ def register(spark: SparkSession, root: str) -> list[str]:
         views[table] = ingest.last_records(spark, root, entity)
         views[f"{table}_hist"] = kept.select(*entity.columns, "_inserted_at")
         views[f"v_{entity.name}_current"] = ingest.current(spark, root, entity)
-        views[f"v_{entity.name}_history"] = with_intervals(kept, entity)
+        views[f"v_{entity.name}_history"] = ingest.intervals(spark, root, entity)
     views["dim_date"] = dim_date(spark)
     views["dim_order_status"] = dim_order_status(spark)
     for name in MARTS:

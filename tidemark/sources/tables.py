@@ -3,18 +3,21 @@
 A batch that is written again replaces its own folder, so a replayed batch adds nothing. A folder
 counts once its ``_SUCCESS`` marker is there; readers ask for committed batches only.
 
-Rolling up turns the small files of many batches into few large ones and keeps every row.
+Rolling up turns the small files of many batches into few large ones and keeps every row once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH = "batch_id"
 ROLLED = "from_batch"  # the batch id of a row that was rolled up
+MARK = "_mark"  # a fingerprint of what makes a rolled-up row the same as another
 
 
 def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -93,6 +96,37 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> bool:
+    """Write a small file from the driver; False if it is there already and must not be replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    try:
+        stream = fs.create(target, overwrite)
+    except Py4JJavaError as error:
+        if not overwrite and ("AlreadyExists" in str(error.java_exception) or fs.exists(target)):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, read on the driver; None where there is none."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(source):
+        return None
+    stream = fs.open(source)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
@@ -108,33 +142,76 @@ def read_batch(
 # --- segments --------------------------------------------------------------------------------------
 
 
+def first_copies(rows: DataFrame, identity: Sequence[str], position: str) -> DataFrame:
+    """Of rows that agree in ``identity`` the one of the earliest batch, by ``position`` in it."""
+    rest = [c for c in rows.columns if c not in identity and c not in (BATCH, position)]
+    found = rows.groupBy(*identity).agg(F.min(F.struct(BATCH, position, *rest)).alias("_first"))
+    return found.select(*[c if c in identity else F.col(f"_first.{c}").alias(c) for c in rows.columns])
+
+
+def _not_rolled(rows: DataFrame, rolled: DataFrame, identity: Sequence[str], key: str) -> DataFrame:
+    """``rows`` without those that a rolled-up row repeats; two are the same if key and 64-bit fingerprint agree."""
+    marked = rows.withColumn(MARK, F.xxhash64(*identity))
+    same = marked[key].eqNullSafe(rolled[key]) & (marked[MARK] == rolled[MARK])
+    return marked.join(rolled, same, "left_anti")
+
+
 def roll_up(
-    spark: SparkSession, root: str, table: str, schema: T.StructType, sort: Sequence[str]
+    spark: SparkSession,
+    root: str,
+    table: str,
+    schema: T.StructType,
+    sort: Sequence[str],
+    identity: Sequence[str],
+    position: str,
 ) -> int | None:
-    """Rewrite the batches since the last roll-up into one folder of few, large files.
+    """Rewrite the batches since the last roll-up into one folder of few, large files, without repeated rows.
 
-    Each row is rewritten once. Its batch id becomes a column. Batches that an earlier roll-up
-    covered are dropped; those of this one stay until the next, for readers that have begun.
+    Each row is rewritten once. Its batch id becomes a column. Earlier folders are asked whether they hold a row
+    already; the range of the new rows' keys (the first of ``sort``) says which parts of them are read. Batches that an
+    earlier roll-up covered are dropped; those of this one stay until the next, for readers that have begun.
     """
     rolled = committed(spark, root, f"rolled/{table}")
     reached = rolled[-1] if rolled else None
     done = committed(spark, root, table)
     if not done or (reached is not None and done[-1] <= reached):
         return reached
-    rows = read_batches(spark, root, table, schema, after=reached).withColumnRenamed(BATCH, ROLLED)
-    by_key = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    key = sort[0]
+    rows = first_copies(read_batches(spark, root, table, schema, after=reached), identity, position)
+    if rolled:
+        ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        before = _rolled(spark, root, table, schema).select(key, MARK)
+        if ends["lo"] is not None:
+            before = before.filter(F.col(key).isNull() | F.col(key).between(ends["lo"], ends["hi"]))
+        rows = _not_rolled(rows, before, identity, key)
+    else:
+        rows = rows.withColumn(MARK, F.xxhash64(*identity))
+    by_key = rows.withColumnRenamed(BATCH, ROLLED).repartitionByRange(*sort).sortWithinPartitions(*sort)
     by_key.write.mode("overwrite").parquet(batch_path(root, f"rolled/{table}", done[-1]))
     if reached is not None:
         drop_batches(spark, root, table, reached + 1)
     return done[-1]
 
 
-def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """Every committed row of a table: what was rolled up, and the batches after it."""
+def _rolled(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    stored = T.StructType([*schema, T.StructField(ROLLED, T.LongType()), T.StructField(MARK, T.LongType())])
+    return read_batches(spark, root, f"rolled/{table}", stored).drop(BATCH)
+
+
+def read_all(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, identity: Sequence[str], position: str, key: str
+) -> DataFrame:
+    """Every committed row of a table once: what was rolled up, and what the batches after it add.
+
+    Only the rows of those batches are compared, with each other and with the rolled-up ones.
+    """
     rolled = committed(spark, root, f"rolled/{table}")
     rest = read_batches(spark, root, table, schema, after=rolled[-1] if rolled else None)
+    rest = first_copies(rest, identity, position)
     if not rolled:
         return rest
-    stored = T.StructType([*schema, T.StructField(ROLLED, T.LongType())])
-    large = read_batches(spark, root, f"rolled/{table}", stored).drop(BATCH)
-    return large.withColumnRenamed(ROLLED, BATCH).unionByName(rest)
+    large = _rolled(spark, root, table, schema)
+    if committed(spark, root, table)[-1] <= rolled[-1]:
+        return large.drop(MARK).withColumnRenamed(ROLLED, BATCH)
+    rest = _not_rolled(rest, large.select(key, MARK), identity, key).drop(MARK)
+    return large.drop(MARK).withColumnRenamed(ROLLED, BATCH).unionByName(rest)
