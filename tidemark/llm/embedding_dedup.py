@@ -4,8 +4,9 @@ Equal vectors form a class and take part once. Sign codes of random planes order
 such an order, compared in blocks, give a first neighbour graph and components. Further orders hold a few members of each
 component only, so that their blocks show other components. Then neighbours of neighbours are joined: every vector compares
 the vectors around it with each other, which improves its list, until few change. A list has places for the nearest vectors and
-as many for the nearest outside the vector's component, so links inside a tight group never fill it. Whatever was
-compared anywhere and linked joins its components, listed or not. Inside each component all links are counted exactly in blocks.
+as many for the nearest outside the vector's component, so links inside a tight group never fill it. A list whose places outside are
+all links is saturated: there may be more, so its places double for the next step. Whatever was compared anywhere and linked joins
+its components, listed or not. Inside each component all links are counted exactly in blocks.
 
 Vectors chosen by hash are then compared with all others, more of them until ``SEEN`` have links. If fewer than ``RECALL``
 of these have all their links in their component, twice as many orders follow and other vectors are chosen; after
@@ -123,7 +124,9 @@ def joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
 
 
-def _best(nodes: np.ndarray, of: np.ndarray, cosines: np.ndarray, threshold: float, floors: tuple | None = None) -> Iterator[tuple]:
+def _best(
+    nodes: np.ndarray, of: np.ndarray, cosines: np.ndarray, threshold: float, floors: tuple | None = None, room: int = NEIGHBOURS
+) -> Iterator[tuple]:
     """The nearest of each row, those of other components (``of``), if above ``floors``; and the links that join components."""
     np.fill_diagonal(cosines, -2)
     other = of[:, None] != of
@@ -132,13 +135,13 @@ def _best(nodes: np.ndarray, of: np.ndarray, cosines: np.ndarray, threshold: flo
         chosen = joining(of[a], of[b])
         a, b = a[chosen], b[chosen]
         yield nodes[a], nodes[b], cosines[a, b], np.ones(len(a), dtype=bool), np.ones(len(a), dtype=bool)
-    k = min(NEIGHBOURS, len(nodes) - 1)
-    row = np.broadcast_to(np.arange(len(nodes))[:, None], (len(nodes), k))
     apart = other.sum() == other.size - len(of)  # the nearest of all are the nearest outside
     for mask, floor in zip((False, True), floors or (None, None), strict=True):
         if apart and not mask:
             continue
         values = np.where(other, cosines, -2) if mask else cosines
+        k = min(room if mask else NEIGHBOURS, len(nodes) - 1)
+        row = np.broadcast_to(np.arange(len(nodes))[:, None], (len(nodes), k))
         near = np.argpartition(-values, k - 1, axis=1)[:, :k]
         value = np.take_along_axis(values, near, axis=1)
         wanted = value > (floor[:, None] if floor is not None else -2)
@@ -190,7 +193,8 @@ def _local_join(threshold: float):
                 if around.num_rows > 1:
                     x = unit(around.column("vector").combine_chunks())
                     floors = around.column("floor").to_numpy(), around.column("floor_across").to_numpy()
-                    yield from _best(_nodes(around), _nodes(around, "component"), x @ x.T, threshold, floors)
+                    room = int(around.column("room").to_numpy().max())
+                    yield from _best(_nodes(around), _nodes(around, "component"), x @ x.T, threshold, floors, room)
 
         yield from _buffered(pieces(), _edges)
 
@@ -210,17 +214,32 @@ def ordered_edges(vectors: DataFrame, labels: DataFrame | None, first: int, orde
     return dealt.sortWithinPartitions("order", "code", "node").mapInArrow(_compare_blocks(threshold), EDGES)
 
 
-def nearest(edges: DataFrame) -> DataFrame:
-    """The best places of each list, those outside the own component, and all links that join components."""
+def nearest(edges: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
+    """The best places of each list, those outside the own component, and all links that join components.
+
+    ``rooms`` (``u``, ``room``) names the lists that have more than ``NEIGHBOURS`` places outside.
+    """
     best = [F.max("cosine").alias("cosine"), F.min("across").alias("across"), F.max("link").alias("link")]
     once = edges.groupBy("u", "v").agg(*best)
     by = [F.desc("cosine"), "v"]
     once = once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(*by)))
     once = once.withColumn("place", F.row_number().over(Window.partitionBy("u", "across").orderBy(*by)))
-    listed = (F.col("rank") <= NEIGHBOURS) | (F.col("across") & (F.col("place") <= NEIGHBOURS))
+    room = F.lit(NEIGHBOURS) if rooms is None else F.coalesce("room", F.lit(NEIGHBOURS))
+    once = (once if rooms is None else once.join(rooms, "u", "left")).withColumn("room", room)
+    listed = (F.col("rank") <= NEIGHBOURS) | (F.col("across") & (F.col("place") <= F.col("room")))
     return once.withColumn("listed", listed).filter("listed OR link")
 
 
+def enlarged(lists: DataFrame, threshold: float) -> DataFrame:
+    """``u, room`` of the lists with more than ``NEIGHBOURS`` places outside; saturated ones get twice as many as they had."""
+    outside = lists.filter("listed AND across").groupBy("u").agg(
+        F.max("room").alias("room"), F.count_if(F.col("place") <= F.col("room")).alias("held"), F.min("cosine").alias("least")
+    )
+    full = (F.col("held") >= F.col("room")) & (F.col("least") >= threshold)
+    grown = outside.select("u", F.when(full, 2 * F.col("room")).otherwise(F.col("room")).alias("room"))
+    return grown.filter(F.col("room") > NEIGHBOURS)
+
+
 def descend(vectors: DataFrame, labels: DataFrame, edges: DataFrame, threshold: float, steps: int) -> DataFrame:
     """Refine neighbour lists (rows of ``nearest``) until few places change."""
     of = labels.select(F.col("node").alias("labelled"), "component")
@@ -240,15 +259,19 @@ def descend(vectors: DataFrame, labels: DataFrame, edges: DataFrame, threshold:
             own = F.when(places, F.col("cosine"))
             return F.coalesce(F.when(F.count(own) >= NEIGHBOURS, F.min(own)), F.lit(-2.0)).alias(name)
 
-        floors = listed.groupBy("u").agg(
+        rooms = landed(enlarged(lists, threshold), "rooms")
+        outside_at = F.when(F.col("across") & (F.col("place") <= F.col("room")), F.col("cosine"))
+        lowest = F.when(F.count(outside_at) >= F.coalesce(F.max("more"), F.lit(NEIGHBOURS)), F.min(outside_at))
+        floors = listed.join(rooms.select("u", F.col("room").alias("more")), "u", "left").groupBy("u").agg(
             floor(F.col("rank") <= NEIGHBOURS, "floor"),
-            floor(F.col("across") & (F.col("place") <= NEIGHBOURS), "floor_across"),
+            F.coalesce(lowest, F.lit(-2.0)).alias("floor_across"),
+            F.coalesce(F.max("more"), F.lit(NEIGHBOURS)).cast("long").alias("room"),
         )
         floors = floors.join(of, F.col("u") == F.col("labelled"), "left").withColumn("component", F.coalesce("component", "u"))
-        held = vectors.join(floors, vectors["node"] == floors["u"]).select("node", "component", "vector", "floor", "floor_across")
+        held = vectors.join(floors, vectors["node"] == floors["u"]).select("node", "component", "vector", "floor", "floor_across", "room")
         dealt = around.join(held, "node").repartition("at").sortWithinPartitions("at")
-        better = dealt.select("at", "node", "component", "vector", "floor", "floor_across").mapInArrow(_local_join(threshold), EDGES)
-        after = landed(nearest(lists.select(*EDGES.names).unionByName(better)), "lists")
+        better = dealt.select("at", "node", "component", "vector", "floor", "floor_across", "room").mapInArrow(_local_join(threshold), EDGES)
+        after = landed(nearest(lists.select(*EDGES.names).unionByName(better), rooms), "lists")
         changed = after.filter("listed").join(listed, ["u", "v"], "left_anti").count()
         lists = after
         if changed <= MIN_CHANGE * size:
