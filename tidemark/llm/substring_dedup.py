@@ -3,8 +3,9 @@
 Anchors, short windows hashed only at positions of a difference cover modulo ``PERIOD``, are the index. For any two positions
 there is a step below the period that leads from both to cover positions, so two equal long windows share an anchor at the same
 place. Anchors that occur twice are extended: the long windows around them are hashed, and a window goes unless it is the
-first with its words. Every task first settles what it sees itself: of anchors or windows with equal words only one row
-per batch is shuffled, so a passage that a third of all documents share is no hot key.
+first with its words. Every task first settles what it sees itself: of anchors or windows with equal words one row per batch is
+left, and of those a task remembers what comes again (``Memory``), so a passage that a third of all documents share meets in
+about one row per task. What a task forgets is shuffled as any other row: the memory changes what moves, not the result.
 
 Words are runs of non-white-space bytes, unchanged. Null and empty texts have none. A null id comes first. Ids should be
 unique: rows that repeat an id count as one document, so their windows are not removed for each other.
@@ -36,6 +37,7 @@ WINDOW = 20
 # A perfect difference set; every step from 1 to 12 is a difference of two of them modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WORK_BYTES = 2 << 20  # text hashed at once; the arrays take some 50 times as much
+REMEMBERED = 1 << 19  # places in a task's memory, some 30 bytes each
 SLOTS = 1 << 20  # bounds what is broadcast to spare documents without repeats a shuffle
 NULL_ID = -(1 << 63)
 ANCHORS = schema("deal long, id long, position int, settled boolean")
@@ -52,6 +54,33 @@ def _layout(borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, np.arange(borders[-1]) - borders[text], size[text]
 
 
+class Memory:
+    """Rows a task has shuffled lately, by key, in bounded room: a key keeps its place while it returns more often than others come by."""
+
+    def __init__(self, places: int = REMEMBERED) -> None:
+        self.key = np.zeros(places, dtype=U64)
+        self.check = np.zeros(places, dtype=U64)
+        self.id, self.start = np.zeros(places, dtype=np.int64), np.zeros(places, dtype=np.int32)
+        self.worth = np.zeros(places, dtype=np.int8)  # 0: free
+        self.again = np.zeros(places, dtype=bool)  # the key came again
+
+    def recall(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether the key holds it; no key may be given twice."""
+        place = (keys % U64(len(self.key))).astype(np.int64)
+        known = (self.worth[place] > 0) & (self.key[place] == keys) & (self.check[place] == checks)
+        self.worth[place[known]] = np.minimum(self.worth[place[known]] + 2, 100)
+        self.worth[place[~known]] = np.maximum(self.worth[place[~known]] - 1, 0)
+        return place, known
+
+    def keep(self, place: np.ndarray, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        """Remember rows whose places are free; of several for one place, one."""
+        free = np.flatnonzero(self.worth[place] == 0)
+        place, first = np.unique(place[free], return_index=True)
+        rows = free[first]
+        self.key[place], self.check[place], self.id[place], self.start[place] = keys[rows], checks[rows], ids[rows], starts[rows]
+        self.worth[place], self.again[place] = 1, False
+
+
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -60,6 +89,7 @@ def _anchors(window: int):
     anchor = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in byte_batches(batches, "text", WORK_BYTES):
             data, borders = text_buffer(batch.column("text"))
             if not len(data):
@@ -74,15 +104,26 @@ def _anchors(window: int):
             settled = times[group] > 1
             other = np.ones(len(at), dtype=bool)
             other[first] = False  # seen to be repeated here, and represented by the first of its kind
-            ids = _ids(batch)[text[at]]
+            ids, position = _ids(batch)[text[at]], place[at]
+            slot, known = memory.recall(keys[first], keys[first])
+            new, old = first[~known], slot[known]
+            other[first[known]] = settled[first[known]] = True  # represented by a row of an earlier batch,
+            told = old[~memory.again[old]]  # which is now seen to be repeated
+            memory.again[old] = True
+            told_ids, told_positions = memory.id[told], memory.start[told]
+            memory.keep(slot[~known], keys[new], keys[new], ids[new], position[new])
             keys[other] = mixed(ids[other].astype(U64))  # dealt out by document
-            yield record_batch(ANCHORS, [(keys >> U64(16)).view(np.int64), ids, place[at], settled])
+            keys = np.concatenate([keys, mixed(told_ids.astype(U64))])
+            settled = np.concatenate([settled, np.ones(len(told), dtype=bool)])
+            ids, position = np.concatenate([ids, told_ids]), np.concatenate([position, told_positions])
+            yield record_batch(ANCHORS, [(keys >> U64(16)).view(np.int64), ids, position, settled])
 
     return run
 
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in byte_batches(batches, "text", WORK_BYTES):
             data, borders = text_buffer(batch.column("text"))
             if not len(data):
@@ -110,6 +151,15 @@ def _windows(window: int):
             of = np.maximum.accumulate(np.where(leads, np.arange(len(keys)), 0))
             settled = (ids > ids[of]) | (start > start[of])
             again = ~leads & ~settled  # the same place of a repeated id
+            lead = np.flatnonzero(leads)
+            slot, known = memory.recall(keys[lead], checks[lead])
+            at_id, at_start = memory.id[slot], memory.start[slot]
+            later = known & ((ids[lead] > at_id) | ((ids[lead] == at_id) & (start[lead] > at_start)))
+            earlier = known & ((ids[lead] < at_id) | ((ids[lead] == at_id) & (start[lead] < at_start)))
+            memory.id[slot[earlier]], memory.start[slot[earlier]] = ids[lead[earlier]], start[lead[earlier]]
+            new = lead[~known]
+            memory.keep(slot[~known], keys[new], checks[new], ids[new], start[new])
+            settled[lead[later]] = True  # a row of an earlier batch comes before it
             keys[settled], checks[settled] = mixed(ids[settled].astype(U64)), U64(0)  # dealt out by document
             keep = ~again
             yield record_batch(
