@@ -23,6 +23,12 @@ CACHED_CHUNKS = 400_000  # per worker; the cache starts afresh beyond it, which
 OTHER_SPACE = re.compile(
     rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81|\xe3\x80\x80|\xef\xbb\xbf"
 )
+# Bytes two of which such a sign can begin with; few other characters begin so, and the pattern decides.
+SIGN_BEGINS = np.zeros(1 << 16, dtype=bool)
+for _lead, _next in ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,))):
+    SIGN_BEGINS[[_lead << 8 | n for n in _next]] = True
+SIGN_BEGINS[0x1C00:0x2000] = True
+SIGN_LEADS = SIGN_BEGINS.reshape(256, 256).any(axis=1)
 SPACE_SIGN = re.compile("▁".encode())
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -39,6 +45,17 @@ def as_byte_signs(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
 
 
+def other_space(data: np.ndarray) -> list[int]:
+    """Where ``OTHER_SPACE`` matches."""
+    places = np.flatnonzero(SIGN_LEADS[data])
+    if not len(places):
+        return []
+    following = np.append(data[1:], 0)[places]
+    places = places[SIGN_BEGINS[data[places].astype(np.int64) << 8 | following]]
+    raw = memoryview(data)
+    return [at for at in places.tolist() if OTHER_SPACE.match(raw, at)]
+
+
 class ChunkEncoder:
     """Encodes texts with a ``tokenizers`` file, without special tokens added.
 
@@ -47,7 +64,8 @@ class ChunkEncoder:
     between an ASCII letter or digit and a full stop or comma. Chunks are told apart by 128 bits of hash.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +109,7 @@ class ChunkEncoder:
         before = np.concatenate([[True], space[:-1]])
         cut = STOP[data] & np.concatenate([[False], ALNUM[data[:-1]]])
         cut |= (~space & before) if self.drops_space else (space & ~before)
-        for place in {m.start() for m in OTHER_SPACE.finditer(data)}:
+        for place in other_space(data):
             text = np.searchsorted(borders, place, side="right") - 1
             cut[borders[text] : borders[text + 1]] = False
         starts = np.flatnonzero(cut | first)
@@ -126,7 +144,7 @@ class ChunkEncoder:
         distinct, one, place = np.unique(keys, return_index=True, return_inverse=True)
         if not np.array_equal(checks[one][place], checks):
             return self._whole(column)
-        if len(self.keys) + len(distinct) > CACHED_CHUNKS:
+        if len(self.keys) + len(distinct) > self.cached:
             self._clear()
         at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)
@@ -164,6 +182,7 @@ class PieceCounter(ChunkEncoder):
     def __init__(self, path: str):
         import sentencepiece
 
+        self.cached = CACHED_CHUNKS
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.safe = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -199,8 +218,8 @@ class PieceCounter(ChunkEncoder):
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def chunk_encoder(path: str, cached: int = CACHED_CHUNKS) -> ChunkEncoder:
+    return ChunkEncoder(path, cached)
 
 
 @lru_cache(maxsize=2)

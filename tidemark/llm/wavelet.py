@@ -26,11 +26,16 @@ from tidemark.llm.tokens import chunk_encoder
 MAGIC = b"WMX2"
 BLOCK = 512  # bits per entry of the directory
 SHARD_TOKENS = 1 << 20
+CACHED_CHUNKS = 1_000_000  # a worker that writes holds little else
 SHARDS = schema("part long, shard long, first_id long, n_docs long, n_tokens long, payload binary")
 DOCUMENTS = schema("part long, shard long, id long, start_in_shard long, n_tokens long, ids_crc32 long")
 FOUND = schema("part long, shard long, id long, position long")
 
 
+def _narrow(levels: int) -> type:
+    return np.uint16 if levels <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """``n`` numbers below ``2 ** levels`` as bit planes with rank support."""
 
@@ -48,14 +53,13 @@ class WaveletMatrix:
         planes, zeros = [], []
         if len(ids) and int(ids.max()) >> levels:
             raise ValueError(f"id {int(ids.max())} needs more than {levels} planes")
-        order = ids.astype(np.uint32)
+        order = ids.astype(_narrow(levels))
         for level in range(levels - 1, -1, -1):
-            bits = (order >> np.uint32(level)) & np.uint32(1) == 1
+            bits = (order >> level & 1).astype(np.uint8)
             packed = np.packbits(bits, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)]))
-            low = order[~bits]
-            zeros.append(len(low))
-            order = np.concatenate([low, order[bits]])
+            zeros.append(len(bits) - int(np.count_nonzero(bits)))
+            order = order[np.argsort(bits, kind="stable")]  # bytes are sorted by counting
         return cls(len(ids), planes, zeros, [cls._directory(p) for p in planes])
 
     def to_bytes(self) -> bytes:
@@ -130,14 +134,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All numbers, undoing the sort of one plane at a time."""
-        values = np.zeros(self.n, dtype=np.uint32)
+        kind = _narrow(len(self.planes))
+        values = np.zeros(self.n, dtype=kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            order = np.empty(self.n, dtype=np.uint32)
-            order[~bits] = values[: self.zeros[level]]
-            order[bits] = values[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            order = np.empty(self.n, dtype=kind)
+            order[np.flatnonzero(bits == 0)] = values[: self.zeros[level]]
+            order[np.flatnonzero(bits)] = values[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             values = order
-        return values
+        return values.astype(np.uint32)
 
 
 def shard_bytes(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
@@ -158,7 +163,7 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
 
 def _write(path: str, end_id: int, levels: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = chunk_encoder(path), TaskContext.get().partitionId()
+        encoder, part = chunk_encoder(path, CACHED_CHUNKS), TaskContext.get().partitionId()
         shard, held = 0, 0
         ids: list[np.ndarray] = []
         keys: list = []
