@@ -13,7 +13,7 @@ from tidemark.plans.batch import Tables, analytical_orders
 from tidemark.sources.changes import file_messages, saved_messages, to_messages
 from tidemark.sources import bases
 from tidemark.sources.bases import last_base
-from tidemark.sources.tables import committed
+from tidemark.sources.tables import committed, exists
 from tidemark.streaming import differences, ingest, intervals, keyed, polling, statistics
 
 
@@ -106,6 +106,21 @@ def test_restart_and_replay_add_nothing(spark, feed, tmp_path):
     assert sorted(map(repr, after)) == sorted(map(repr, before))
 
 
+def test_landing_keeps_no_messages_in_memory(spark, feed, tmp_path, monkeypatch):
+    root, parse, cached = str(tmp_path / "out"), cdc.parse, []
+
+    def seen(messages, *args):
+        cached.append(messages.is_cached or spark.sparkContext._jsc.getPersistentRDDs().size() > 0)
+        return parse(messages, *args)
+
+    monkeypatch.setattr(cdc, "parse", seen)
+    ingest.land(spark, saved_messages(spark, feed), 0, root)
+    assert len(cached) > len(ENTITIES) and not any(cached)  # the malformed message is parsed again
+    assert not exists(spark, f"{root}/messages/batch_id=0")
+    assert not ingest.history(spark, root, ORDERS).isEmpty()
+    assert {r.offset for r in ingest.quarantined(spark, root, ORDERS).collect()} == {900}
+
+
 def test_a_stream_without_its_offsets_does_not_start(spark, feed, tmp_path):
     root = str(tmp_path / "out")
     rows = log(spark, ORDERS, [record(ORDERS, 1, 1, 0, "c")])
