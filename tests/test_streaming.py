@@ -314,6 +314,27 @@ def test_a_table_that_outgrows_its_buckets_is_dealt_anew(spark, tmp_path):
     assert ingest.current(spark, root, ORDERS).count() == 200
 
 
+def test_buckets_fit_a_task(spark, tmp_path):
+    """A bucket may grow to four times its size; a table that outgrows that is merged in as many tasks as it gets buckets."""
+    assert bases.buckets_for(240 << 20) >= 30  # 9 million orders in files
+    root, dealt = str(tmp_path), []
+    for n in range(2):
+        rows = spark.createDataFrame([(k, n) for k in range(n, 100)], "order_id long, n int")
+
+        def merged(old, new):
+            dealt.extend(df.rdd.getNumPartitions() for df in (old, new))
+            return old.join(new.select("order_id"), "order_id", "left_anti").unionByName(new)
+
+        base = bases.merge_base(
+            spark, root, "numbers", rows.schema, "order_id", lambda reached, n=n, rows=rows: (n, rows, 1000 * (1 + 9 * n)), merged,
+            bucket_bytes=1000,
+        )
+        assert base.buckets == 1 + 15 * n
+    assert dealt == [16, 16]
+    found = bases.read_base(spark, root, "numbers", rows.schema, "order_id", base)
+    assert {(r.order_id, r.n) for r in found.collect()} == {(0, 0), *((k, 1) for k in range(1, 100))}
+
+
 def expected_marts(spark, root):
     """The four marts from current state, without differences."""
     statuses = dims.dim_order_status(spark)
