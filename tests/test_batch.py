@@ -1,8 +1,10 @@
+import re
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import batch, exports
 from tidemark.sources import pruning
@@ -150,6 +152,29 @@ def test_ids_of_changed_orders_reach_the_source_as_ranges(spark, tmp_path):
     assert pruning.id_ranges(nulls, ["a", "b"], most=1) == {"a": [(-3, 7)], "b": [(5, 5)]}
 
 
+def test_the_filter_by_ranges_is_small_enough_to_be_compiled(spark, capsys):
+    ids = spark.range(0, 200_000_000, 1_000_000).select((F.col("id") + F.col("id") / 1_000_000 % 7).cast("bigint").alias("id"))
+    ranges = pruning.id_ranges(ids, ["id"])["id"]
+    assert 1 < len(ranges) <= pruning.RANGES
+    kept = pruning.within(ids, "id", ranges)
+    assert kept.count() == 200  # no id is lost
+    rows = spark.range(100).select(F.when(F.col("id") > 3, F.col("id")).alias("k"))
+    widest = [(i * 10, i * 10 + 5) for i in range(pruning.RANGES)]
+    for filtered in (kept, pruning.within(rows.select(F.struct("k").alias("s")).select("s.k"), "k", widest)):
+        filtered.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8_000  # the JVM interprets larger methods
+
+
+def test_ranges_are_apart_by_the_widest_gaps(spark):
+    rows = spark.range(0, 100_000, 7).unionByName(spark.range(400_000, 500_000, 3)).unionByName(spark.range(900_000, 900_005))
+    assert pruning.id_ranges(rows, ["id"]) == {"id": [(0, 99_995), (400_000, 499_999), (900_000, 900_004)]}
+    assert pruning.id_ranges(rows, ["id"], most=2) == {"id": [(0, 499_999), (900_000, 900_004)]}
+    assert pruning.joined([(1, 2), (3, 5), (7, 7), (20, 30), (26, 31)], 9) == [(1, 5), (7, 7), (20, 31)]
+    assert pruning.joined([(1, 2), (7, 7), (20, 30)], 1) == [(1, 30)]
+    assert pruning.joined([], 3) == []
+
+
 @pytest.mark.parametrize("report", [batch.top_delivery_dates, batch.top_customers_with_pending_orders])
 def test_a_limit_below_one_is_refused(spark, report):
     with pytest.raises(ValueError, match="limit"):
