@@ -108,6 +108,23 @@ def test_the_feed_is_dealt_out_compressed_and_deleted_when_read(spark, sf, tmp_p
     assert len(list(tmp_path.glob("topics/part-*"))) <= len(saved) // 3 + 3  # those of the last micro-batch, which may be replayed
 
 
+def test_records_read_by_enough_tasks_are_not_dealt_out(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 100, 1, 2 * cores).write.parquet(f"{tmp_path}/many")
+    spark.range(0, 100, 1, 1).write.parquet(f"{tmp_path}/one")
+
+    def plan(folder):
+        rows = logs._over_all_cores(spark.read.option("openCostInBytes", 1).parquet(folder))
+        assert rows.count() == 100
+        return rows._jdf.queryExecution().optimizedPlan().toString()
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert "Repartition" not in plan(f"{tmp_path}/many") and "Repartition" in plan(f"{tmp_path}/one")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_counting_history_shuffles_keys_and_fingerprints(spark, tmp_path):
     root = str(tmp_path)
     rows = [
@@ -124,7 +141,7 @@ def test_counting_history_shuffles_keys_and_fingerprints(spark, tmp_path):
     assert len(aggregates) == 1 and "_inserted_at" not in aggregates[0] and "min(" not in aggregates[0]
 
 
-@pytest.mark.parametrize("name", ["stream_fanout_counts"])
+@pytest.mark.parametrize("name", ["stream_fanout_counts", "dq_history_ge_current"])
 def test_counts_are_the_same_in_slices(spark, sf, monkeypatch, name):
     whole = queries.QUERIES[name](spark, sf).collect()
     monkeypatch.setattr("tidemark.sources.tables.SLICE_BYTES", 20_000)
