@@ -9,8 +9,10 @@ from records import log, record
 
 from checks import logs, queries
 from tidemark.entities import ENTITIES, ORDER_ITEMS, ORDERS, SEQ
-from tidemark.operators import state
+from tidemark.operators import dims, state
+from tidemark.plans import marts
 from tidemark.session import DROP_SHUFFLES, shuffles_dropped
+from tidemark.sources import tables
 from tidemark.sources.changes import saved_messages, to_messages
 from tidemark.sources.tables import committed, exists
 from tidemark.streaming import ingest
@@ -79,8 +81,6 @@ def test_settings_are_put_back(spark):
 
 
 def test_a_batch_counts_with_its_last_part(spark, tmp_path):
-    from tidemark.sources import tables
-
     first, fails = spark.range(5), spark.range(5).select(F.raise_error("broken off").cast("long").alias("id"))
     with pytest.raises(Exception, match="broken off"):
         tables.write_parts([first, fails], str(tmp_path), "numbers", 0)
@@ -150,3 +150,29 @@ def test_counts_are_the_same_in_slices(spark, sf, monkeypatch, name):
     found = queries.QUERIES[name](spark, sf)
     assert shuffle_files(spark) <= before
     assert sorted(found.collect()) == sorted(whole) and len(whole) == len(ENTITIES)
+
+
+def test_marts_by_difference_in_slices(spark, tmp_path, sliced, monkeypatch):
+    root, parts = str(tmp_path), {}
+
+    def counted(rows, root, table, *args):
+        parts[table] = len(rows)
+        tables.write_parts(rows, root, table, *args)
+
+    monkeypatch.setattr("tidemark.streaming.differences.write_parts", counted)
+    for n in range(3):
+        ingest.land(spark, order_messages(spark, seed=n).unionByName(item_messages(spark, seed=n + 9)), n, root)
+        before = shuffle_files(spark)
+        ingest.refresh_marts(spark, root, n)
+        assert shuffle_files(spark) <= before
+        customers, products, orders, items = (ingest.current(spark, root, e) for e in ENTITIES)
+        statuses = dims.dim_order_status(spark)
+        expected = (
+            marts.orders_by_date_status(orders),
+            marts.top_delivery_dates(orders, statuses),
+            marts.pending_items_by_product(items, orders, products, statuses),
+            marts.top_customers_open(orders, customers, statuses),
+        )
+        for name, mart in zip(marts.MARTS, expected, strict=True):
+            assert sorted(map(repr, ingest.mart(spark, root, name).collect())) == sorted(map(repr, mart.collect())) and not mart.isEmpty()
+    assert parts["changes/orders"] == parts["changes/order_items"] == 3
