@@ -159,7 +159,8 @@ def test_marts_by_difference_in_slices(spark, tmp_path, sliced, monkeypatch):
         parts[table] = len(rows)
         tables.write_parts(rows, root, table, *args)
 
-    monkeypatch.setattr("tidemark.streaming.differences.write_parts", counted)
+    for module in ("streaming.differences", "sources.sums"):
+        monkeypatch.setattr(f"tidemark.{module}.write_parts", counted)
     for n in range(3):
         ingest.land(spark, order_messages(spark, seed=n).unionByName(item_messages(spark, seed=n + 9)), n, root)
         before = shuffle_files(spark)
@@ -175,4 +176,5 @@ def test_marts_by_difference_in_slices(spark, tmp_path, sliced, monkeypatch):
         )
         for name, mart in zip(marts.MARTS, expected, strict=True):
             assert sorted(map(repr, ingest.mart(spark, root, name).collect())) == sorted(map(repr, mart.collect())) and not mart.isEmpty()
-    assert parts["changes/orders"] == parts["changes/order_items"] == 3
+    in_slices = ["changes/orders", "changes/order_items", "changes/date_customers", "sums/date_customers", "sums/order_products"]
+    assert [parts[t] for t in [*in_slices, "sums/agg_pending_items_by_product"]] == [3] * 6
